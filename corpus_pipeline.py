@@ -1,8 +1,63 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline: each stage works on all that the one before kept.
 
-STAGES: list = []
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame.  All but
+the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netloom.llm import decontam, langid, linededup, neardup, packing
+from netloom.plans.session import cut
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any letter go; the language found is written over ``lang``."""
+    found = langid.predict(docs, langid.train(docs), keep=("text", "source", "n_chars"))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines go that another occurrence stands for; a document that loses all its lines goes."""
+    left = linededup.dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return neardup.keep_one(docs).select(*COLUMNS)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document has its place in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language id", language),
+    ("line dedup", lines),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("best-fit packing", packing_plan),
+]
+
+#: Fingerprints, components and packing have no SQL form here; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

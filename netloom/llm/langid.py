@@ -149,8 +149,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(float), [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score, family`` for every row, from its text alone."""
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, lang_pred, score, family`` for every row, from its text alone, and the columns ``keep``."""
+    names = ["doc_id", "lang_pred", "score", "family", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +162,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 letters = [bool(_LETTER.search(t)) for t in some]
                 lang = [x if ok else UNKNOWN for x, ok in zip(lang, letters, strict=True)]
                 family = [x if ok else UNKNOWN for x, ok in zip(family, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(family, pa.string())], ["doc_id", "lang_pred", "score", "family"])
+                own = [batch.column(2 + i).slice(first, len(some)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(family, pa.string()), *own], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, family string")
+    kinds = dict(docs.dtypes)
+    schema = "doc_id long, lang_pred string, score double, family string" + "".join(f", {c} {kinds[c]}" for c in keep)
+    return docs.select("doc_id", "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
