@@ -1,11 +1,738 @@
-"""Registry of the library's own queries and their SQL."""
+"""Registry of the library's own queries over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from netloom.functions.stats import fisher, hazen, t_one, t_pooled, t_welch, with_p_value
+from netloom.operators import evaluate, network, ontology, propagate, sampling, tailstat
+from netloom.plans import fixtures as fx
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+#: Weight cutoffs of the derived networks.
+TAU, TAU_COMPONENTS = 0.035, 0.05
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        name = f.__name__.removesuffix("_")
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def _six(df: DataFrame, *columns: str) -> DataFrame:
+    """Round to 6 decimals, as sums add up in different orders on two engines."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# --- networks ---------------------------------------------------------------------------------
+
+A, B = f"WITH {fx.NET_A}", f"WITH {fx.NET_A}, {fx.NET_B}"
+CUT = f"{A}, e AS (SELECT * FROM net_a WHERE w >= {TAU}), arcs AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), v AS (SELECT CAST(p_partkey AS STRING) AS id FROM part)"
+
+
+def _net(spark: SparkSession, sf_dir: str, tau: float = TAU) -> network.Network:
+    return network.filter_edges(fx.net_a(spark, sf_dir), tau)
+
+
+def _few(spark: SparkSession, sf_dir: str, digit: str = "7") -> DataFrame:
+    """Vertices whose id ends in a digit, as a list of interest."""
+    return fx.genes(spark, sf_dir).where(F.col("id").endswith(digit)).select("id")
+
+
+@query(f"{A} SELECT src, dst, round(w, 6) AS w FROM net_a")
+def net_build(spark, sf_dir):
+    return _six(fx.net_a(spark, sf_dir).edges, "w")
+
+
+LOAD = "SELECT CAST(l_partkey AS STRING) AS src, CAST(l_suppkey + 5 AS STRING) AS dst, l_discount - 0.05 AS weight, l_orderkey * 10 + l_linenumber AS line FROM lineitem"
+
+
+def _rows(spark, sf_dir):
+    line = fx.table(spark, sf_dir, "lineitem")
+    return line.select(F.col("l_partkey").cast("string").alias("src"), (F.col("l_suppkey") + 5).cast("string").alias("dst"), (F.col("l_discount") - 0.05).alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+
+
+@query(f"WITH r AS ({LOAD}), c AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, abs(weight) AS w, line FROM r WHERE src <> dst), t AS (SELECT src, dst, max(line) AS line FROM c GROUP BY src, dst), m AS (SELECT src, dst, max(w) AS w FROM c JOIN t USING (src, dst, line) GROUP BY src, dst) SELECT src, dst, round(w, 6) AS w FROM m WHERE w > 0")
+def net_load(spark, sf_dir):
+    return _six(network.from_edges(_rows(spark, sf_dir)).edges, "w")
+
+
+@query(f"WITH r AS ({LOAD}), n AS (SELECT CAST(s_suppkey + 5 AS STRING) AS id FROM supplier), c AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, abs(weight) AS w, line FROM r WHERE src <> dst AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)), t AS (SELECT src, dst, max(line) AS line FROM c GROUP BY src, dst), m AS (SELECT src, dst, max(w) AS w FROM c JOIN t USING (src, dst, line) GROUP BY src, dst) SELECT src, dst, round(w, 6) AS w FROM m WHERE w > 0")
+def net_build_nodes(spark, sf_dir):
+    nodes = fx.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 5).cast("string").alias("id"))
+    return _six(network.from_edges(_rows(spark, sf_dir), nodes).edges, "w")
+
+
+@query(f"WITH r AS ({LOAD}) SELECT src AS id FROM r UNION SELECT dst FROM r")
+def net_vertices(spark, sf_dir):
+    return network.from_edges(_rows(spark, sf_dir)).vertices
+
+
+@query(f"{CUT} SELECT src, dst, round(w, 6) AS w FROM e")
+def edge_filter(spark, sf_dir):
+    return _six(_net(spark, sf_dir).edges, "w")
+
+
+@query(f"{CUT} SELECT src AS id, dst AS neighbor, round(w, 6) AS w FROM arcs WHERE src LIKE '%7'")
+def neighbors(spark, sf_dir):
+    return _six(network.neighbors(_net(spark, sf_dir), _few(spark, sf_dir)), "w")
+
+
+@query(f"{CUT}, p AS (SELECT CAST(p_partkey AS STRING) AS src, CAST(p_partkey + 1 AS STRING) AS dst FROM part) SELECT p.src, p.dst, round(coalesce(e.w, 0), 6) AS w, e.w IS NOT NULL AS has_edge FROM p LEFT JOIN e ON e.src = least(p.src, p.dst) AND e.dst = greatest(p.src, p.dst)")
+def edge_weight(spark, sf_dir):
+    pairs = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("src"), (F.col("p_partkey") + 1).cast("string").alias("dst"))
+    return _six(network.edge_weights(_net(spark, sf_dir), pairs), "w")
+
+
+@query(f"{CUT}, c AS (SELECT src, dst, CASE WHEN src LIKE '%7' THEN 0 ELSE 0.5 END AS w FROM e WHERE src LIKE '%7' OR src LIKE '%3') SELECT src, dst, round(w, 6) AS w FROM (SELECT e.src, e.dst, coalesce(CAST(c.w AS DOUBLE), e.w) AS w FROM e LEFT JOIN c USING (src, dst)) WHERE w > 0")
+def edge_update(spark, sf_dir):
+    net = _net(spark, sf_dir)
+    changes = net.edges.where(F.col("src").endswith("7") | F.col("src").endswith("3")).select("src", "dst", F.when(F.col("src").endswith("7"), 0.0).otherwise(0.5).alias("w"))
+    return _six(network.set_edges(net, changes).edges, "w")
+
+
+DEGREE = "d AS (SELECT v.id, count(a.src) AS degree, coalesce(sum(a.w), 0) AS wd FROM v LEFT JOIN arcs a ON a.src = v.id GROUP BY v.id)"
+
+
+@query(f"{CUT}, {DEGREE} SELECT id, degree FROM d")
+def degree(spark, sf_dir):
+    return network.degrees(_net(spark, sf_dir)).select("id", "degree")
+
+
+@query(f"{CUT}, {DEGREE} SELECT id, round(wd, 6) AS weighted_degree FROM d")
+def weighted_degree(spark, sf_dir):
+    return _six(network.degrees(_net(spark, sf_dir)).select("id", "weighted_degree"), "weighted_degree")
+
+
+@query(f"{CUT}, {DEGREE} SELECT id FROM d WHERE degree = 0")
+def singletons(spark, sf_dir):
+    return network.singletons(_net(spark, sf_dir))
+
+
+@query(f"{CUT}, {DEGREE} SELECT id FROM d WHERE degree > 0")
+def remove_singletons(spark, sf_dir):
+    return network.remove_singletons(_net(spark, sf_dir)).vertices
+
+
+@query(f"{CUT} SELECT src, dst, round(w, 6) AS w FROM e WHERE src NOT LIKE '%7' AND dst NOT LIKE '%7'")
+def disconnect(spark, sf_dir):
+    return _six(network.disconnect(_net(spark, sf_dir), _few(spark, sf_dir)).edges, "w")
+
+
+@query(f"{CUT}, {DEGREE} SELECT id, degree FROM d WHERE degree >= (SELECT degree FROM d ORDER BY degree DESC LIMIT 1 OFFSET 19)")
+def hubs_topk(spark, sf_dir):
+    return network.hubs(_net(spark, sf_dir), 20)
+
+
+@query(f"{CUT} SELECT src, dst, round(w, 6) AS w FROM e WHERE src LIKE '%7' AND dst LIKE '%7'")
+def subgraph(spark, sf_dir):
+    return _six(network.subgraph(_net(spark, sf_dir), _few(spark, sf_dir)).edges, "w")
+
+
+@query(f"{CUT}, l AS (SELECT id FROM v WHERE id LIKE '%7' UNION SELECT 'x' || id FROM v WHERE id LIKE '%7') SELECT l.id, count(a.src) AS degree FROM l LEFT JOIN arcs a ON a.src = l.id AND a.dst IN (SELECT id FROM l) GROUP BY l.id")
+def project(spark, sf_dir):
+    few = _few(spark, sf_dir)
+    return network.degrees(network.project(_net(spark, sf_dir), few.union(few.select(F.concat(F.lit("x"), "id"))))).select("id", "degree")
+
+
+@query(f"{CUT}, {DEGREE} SELECT count(*) AS n_vertices, CAST(sum(degree) / 2 AS BIGINT) AS n_edges, count(*) FILTER (degree = 0) AS n_singletons, round((sum(degree) / 2) / (count(*) * (count(*) - 1) / 2.0), 6) AS sparsity FROM d")
+def net_summary(spark, sf_dir):
+    return _six(network.summary(_net(spark, sf_dir)), "sparsity")
+
+
+@query(f"{CUT}, {DEGREE} SELECT count(*) AS n_listed, count(*) FILTER (degree >= 2) AS n_connected FROM d WHERE id LIKE '%7'")
+def goi_degree(spark, sf_dir):
+    return network.interest(_net(spark, sf_dir), _few(spark, sf_dir))
+
+
+@query(f"{CUT}, s AS (SELECT src AS id, sum(w) AS s FROM arcs GROUP BY src) SELECT a.src, a.dst, round(a.w / s.s, 6) AS out_w FROM arcs a JOIN s ON s.id = a.src")
+def out_norm(spark, sf_dir):
+    return _six(network.normalised(_net(spark, sf_dir)).select("src", "dst", "out_w"), "out_w")
+
+
+@query(f"{CUT}, s AS (SELECT src AS id, sum(w) AS s FROM arcs GROUP BY src) SELECT a.src, a.dst, round(a.w / s.s, 6) AS in_w FROM arcs a JOIN s ON s.id = a.dst")
+def in_norm(spark, sf_dir):
+    return _six(network.normalised(_net(spark, sf_dir)).select("src", "dst", "in_w"), "in_w")
+
+
+def _merge(scheme: str, expr: str) -> None:
+    both = f"{B}, a AS (SELECT * FROM net_a WHERE w >= {TAU}), b AS (SELECT * FROM net_b WHERE w >= {TAU}), m AS (SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, {expr} AS w FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst)"
+
+    def merged(spark, sf_dir):
+        return _six(network.merge(_net(spark, sf_dir), network.filter_edges(fx.net_b(spark, sf_dir), TAU), scheme).edges, "w")
+
+    merged.__name__ = f"merge_{scheme}"
+    query(f"{both} SELECT src, dst, round(w, 6) AS w FROM m WHERE w > 0")(merged)
+
+
+_merge("min", "least(coalesce(a.w, 0), coalesce(b.w, 0))")
+_merge("max", "greatest(coalesce(a.w, 0), coalesce(b.w, 0))")
+_merge("add", "coalesce(a.w, 0) + coalesce(b.w, 0)")
+
+SPARSE = CUT.replace(f"w >= {TAU})", f"w >= {TAU_COMPONENTS})")
+COMPONENTS = SPARSE.replace("WITH ", "WITH RECURSIVE ", 1) + ", reach AS (SELECT id, id AS low FROM v UNION SELECT a.dst, r.low FROM reach r JOIN arcs a ON a.src = r.id WHERE r.low < a.dst), c AS (SELECT id, min(low) AS component FROM reach GROUP BY id)"
+
+
+@query(f"{COMPONENTS} SELECT id, component FROM c")
+def components(spark, sf_dir):
+    return network.components(_net(spark, sf_dir, TAU_COMPONENTS))
+
+
+@query(f"{COMPONENTS} SELECT count(DISTINCT component) AS n_components FROM c")
+def components_count(spark, sf_dir):
+    return network.components(_net(spark, sf_dir, TAU_COMPONENTS)).agg(F.countDistinct("component").alias("n_components"))
+
+
+@query(f"{COMPONENTS} SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM c GROUP BY component) GROUP BY size")
+def component_sizes(spark, sf_dir):
+    return network.components(_net(spark, sf_dir, TAU_COMPONENTS)).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+
+
+@query(f"{COMPONENTS}, b AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT id FROM c WHERE component = (SELECT component FROM b)")
+def largest_component(spark, sf_dir):
+    return network.largest_component(_net(spark, sf_dir, TAU_COMPONENTS)).vertices
+
+
+def _adjacency(df: DataFrame) -> DataFrame:
+    return df.select("idx", "id", F.concat_ws(" ", F.transform("neighbors", lambda x: x.cast("string"))).alias("neighbors"))
+
+
+INDEXED = f"{SPARSE}, i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM v)"
+
+
+@query(f"{INDEXED} SELECT i.idx, i.id, coalesce(string_agg(CAST(j.idx AS STRING), ' ' ORDER BY j.idx), '') AS neighbors FROM i LEFT JOIN arcs a ON a.src = i.id LEFT JOIN i j ON j.id = a.dst GROUP BY i.idx, i.id")
+def adjacency_bilateral(spark, sf_dir):
+    return _adjacency(network.adjacency(_net(spark, sf_dir, TAU_COMPONENTS)))
+
+
+@query(f"{INDEXED} SELECT i.idx, i.id, coalesce(string_agg(CAST(j.idx AS STRING), ' ' ORDER BY j.idx), '') AS neighbors FROM i LEFT JOIN e a ON a.src = i.id LEFT JOIN i j ON j.id = a.dst GROUP BY i.idx, i.id")
+def adjacency_upper(spark, sf_dir):
+    return _adjacency(network.adjacency(_net(spark, sf_dir, TAU_COMPONENTS), bilateral=False))
+
+
+@query(f"{CUT}, {DEGREE} SELECT id, degree FROM d")
+def rewire_degree_check(spark, sf_dir):
+    return network.degrees(network.rewire(_net(spark, sf_dir), rounds=2, seed=1)).select("id", "degree")
+
+
+@query(f"{SPARSE} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM e) AS n_different")
+def er_graph_size(spark, sf_dir):
+    like = _net(spark, sf_dir, TAU_COMPONENTS)
+    drawn = network.random_network(like.vertices, like.edges.count(), seed=1)
+    return drawn.vertices.agg(F.count("*").alias("n_vertices")).join(drawn.edges.where("src < dst").agg(F.count("*").alias("n_edges"), F.countDistinct("src", "dst").alias("n_different")))
+
+
+# --- propagation ------------------------------------------------------------------------------
+
+
+def _flow_sql(cap: str, seeds: str, fold: bool = False, steps: int = 5) -> str:
+    k, on = ("fold, ", "AND t.fold = s.fold") if fold else ("", "")
+    using = "USING (fold, id)" if fold else "USING (id)"
+    who = "(SELECT * FROM v CROSS JOIN (SELECT DISTINCT fold FROM seeds))" if fold else "v"
+    parts = [
+        f"{CUT}, s AS (SELECT src AS id, sum(w) AS s FROM arcs GROUP BY src)",
+        "f AS (SELECT a.src, a.dst, a.w / so.s AS o, " + {"raw": "a.w", "out": "a.w / so.s", "in": "a.w / si.s"}[cap] + " AS cap FROM arcs a JOIN s so ON so.id = a.src JOIN s si ON si.id = a.dst)",
+        f"seeds AS ({seeds})",
+        f"s0 AS (SELECT {k}id, CASE WHEN seed THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS r, 0.0::DOUBLE AS score FROM {who} LEFT JOIN (SELECT DISTINCT {k}id, TRUE AS seed FROM seeds) {using})",
+    ]
+    for i in range(steps):
+        sk = "s.fold, " if fold else ""
+        parts.append(f"m{i} AS (SELECT {sk}f.src, f.dst, least(f.cap, s.r * f.o) AS flow FROM f JOIN s{i} s ON s.id = f.src JOIN s{i} t ON t.id = f.dst {on} WHERE s.r > t.r AND s.r - t.r >= 1e-8)")
+        parts.append(f"c{i} AS (SELECT {k}id, sum(net) AS net, sum(got) AS got FROM (SELECT {k}dst AS id, flow AS net, flow AS got FROM m{i} UNION ALL SELECT {k}src, -flow, 0 FROM m{i}) GROUP BY {k}id)")
+        parts.append(f"s{i + 1} AS (SELECT {k}id, r + coalesce(net, 0) AS r, score + coalesce(got, 0) AS score FROM s{i} LEFT JOIN c{i} {using})")
+    return ", ".join(parts)
+
+
+SEEDS = "SELECT CAST(p_partkey AS STRING) AS id FROM part WHERE p_size <= 5"
+
+
+def _seeds(spark, sf_dir):
+    return fx.genes(spark, sf_dir).where("label").select("id")
+
+
+def _flow(capacity: str, name: str) -> None:
+    def flow(spark, sf_dir):
+        return _six(propagate.functional_flow(_net(spark, sf_dir), _seeds(spark, sf_dir), 5, capacity), "score")
+
+    flow.__name__ = name
+    query(f"{_flow_sql(capacity, SEEDS)} SELECT id, round(score, 6) AS score FROM s5")(flow)
+
+
+_flow("raw", "flow_raw")
+_flow("out", "flow_no")
+_flow("in", "flow_ni")
+
+
+@query(f"{_flow_sql('raw', SEEDS)}, g AS ({fx.GENES}), n AS (SELECT id, score / (SELECT max(score) FROM s5) AS score FROM s5) SELECT g.id, g.label, round(CASE WHEN g.label THEN 1.0 ELSE coalesce(n.score, 0) END, 6) AS score FROM g LEFT JOIN n USING (id) WHERE g.label OR n.score > 0")
+def flow_normalized(spark, sf_dir):
+    genes = fx.genes(spark, sf_dir)
+    scores = propagate.functional_flow(_net(spark, sf_dir), genes.where("label").select("id"))
+    return _six(propagate.one_time(scores, genes), "score")
+
+
+FOLDED = "SELECT CAST(p_partkey AS STRING) AS id, p_size <= 5 AS label, CAST(p_partkey % 3 AS INT) AS fold FROM part"
+
+
+@query(f"{_flow_sql('raw', f'SELECT a.id, f.fold FROM ({FOLDED}) a, (SELECT DISTINCT p_partkey % 3 AS fold FROM part) f WHERE a.label AND a.fold <> f.fold', fold=True)}, g AS ({FOLDED}), j AS (SELECT g.id, g.label, g.fold, coalesce(s.score, 0) AS score FROM g LEFT JOIN s5 s ON s.id = g.id AND s.fold = g.fold) SELECT id, label, fold, round(score / (SELECT max(score) FROM j), 6) AS score FROM j")
+def flow_cv(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part")
+    genes = part.select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") <= 5).alias("label"), (F.col("p_partkey") % 3).cast("int").alias("fold"))
+    return _six(propagate.cross_validated(_net(spark, sf_dir), genes), "score")
+
+
+@query()
+def mrf_scores(spark, sf_dir):
+    return propagate.random_field(_net(spark, sf_dir), _seeds(spark, sf_dir), alpha=-1.0, beta=0.9, gamma=1.2, seed=1)
+
+
+@query("SELECT count(*) FILTER (p_size <= 5) AS n_positive, count(*) AS n, CAST(greatest(1, floor(0.2 * count(*) FILTER (p_size <= 5))) AS BIGINT) AS n_swapped FROM part")
+def label_shuffle(spark, sf_dir):
+    genes = fx.genes(spark, sf_dir)
+    new = propagate.shuffle_labels(genes, 0.2, 3).withColumnRenamed("label", "new")
+    both = genes.join(new, "id")
+    return both.agg(F.sum(F.col("new").cast("long")).alias("n_positive"), F.count("*").alias("n"), F.sum((F.col("label") & ~F.col("new")).cast("long")).alias("n_swapped"))
+
+
+# --- labels and scores ------------------------------------------------------------------------
+
+
+@query(f"WITH g AS ({fx.GENES}) SELECT id, CAST(label AS INT) AS label FROM g UNION SELECT 'x' || id, 1 FROM g WHERE label")
+def gene_labels(spark, sf_dir):
+    genes = fx.genes(spark, sf_dir)
+    positive = genes.where("label").select("id").union(genes.where("label").select(F.concat(F.lit("x"), "id"))).distinct()
+    everyone = genes.select("id").union(positive).distinct()
+    return everyone.join(positive.withColumn("label", F.lit(1)), "id", "left").na.fill({"label": 0})
+
+
+@query(f"WITH g AS ({fx.GENE_SCORES}) SELECT CAST(p_partkey AS STRING) AS id, round(coalesce(g.score, 0), 8) AS score FROM part LEFT JOIN g ON g.id = CAST(p_partkey AS STRING) AND g.id LIKE '%7'")
+def align_scores(spark, sf_dir):
+    return evaluate.align(fx.genes(spark, sf_dir), fx.gene_scores(spark, sf_dir).where("id like '%7'"))
+
+
+@query(f"WITH g AS ({fx.GENE_SCORES}) SELECT id, round(CASE WHEN id LIKE '%3' THEN 0 WHEN id LIKE '%7' THEN 1 ELSE score END, 8) AS score FROM g")
+def align_clamped(spark, sf_dir):
+    return evaluate.align(fx.genes(spark, sf_dir), fx.gene_scores(spark, sf_dir), _few(spark, sf_dir, "7"), _few(spark, sf_dir, "3"))
+
+
+VAR = f"var AS ({fx.VARIANTS}), gs AS ({fx.GENE_SCORES}), vs AS (SELECT id, max(vscore) AS score FROM var GROUP BY id)"
+COMBINED = f"WITH {VAR}, comb AS (SELECT DISTINCT var.grp, var.id, coalesce(vs.score * gs.score, 0) AS score FROM var LEFT JOIN vs ON vs.id = var.id LEFT JOIN gs ON gs.id = var.gene)"
+
+
+def _variant_scores(spark, sf_dir):
+    return tailstat.last_score(fx.variants(spark, sf_dir).select("id", F.col("vscore").alias("score")))
+
+
+def _combined(spark, sf_dir, **more):
+    return tailstat.combine(fx.variants(spark, sf_dir), _variant_scores(spark, sf_dir), fx.gene_scores(spark, sf_dir), **more)
+
+
+@query(f"{COMBINED} SELECT grp, id, round(score, 6) AS score FROM comb")
+def variant_combine(spark, sf_dir):
+    return _six(_combined(spark, sf_dir), "score")
+
+
+@query(f"WITH {VAR} SELECT DISTINCT var.grp, var.id, round(coalesce(vs.score + gs.score, -999999), 6) AS score FROM var LEFT JOIN vs ON vs.id = var.id LEFT JOIN gs ON gs.id = var.gene AND gs.id LIKE '%7'")
+def variant_combine_log(spark, sf_dir):
+    return _six(tailstat.combine(fx.variants(spark, sf_dir), _variant_scores(spark, sf_dir), fx.gene_scores(spark, sf_dir).where("id like '%7'"), log=True), "score")
+
+
+@query(f"WITH {VAR} SELECT id, round(CASE WHEN score < 0.5 THEN 0 ELSE score END, 6) AS score FROM vs")
+def variant_vcutoff(spark, sf_dir):
+    return _six(tailstat.cut_low(_variant_scores(spark, sf_dir), 0.5), "score")
+
+
+@query(f"WITH {VAR} SELECT id, round(CASE WHEN id LIKE '%-3' THEN 0 ELSE score END, 6) AS score FROM vs")
+def variant_mild(spark, sf_dir):
+    scores = _variant_scores(spark, sf_dir)
+    return _six(tailstat.mild(scores, scores.where("id like '%-3'")), "score")
+
+
+@query(f"WITH gs AS ({fx.GENE_SCORES}) SELECT id, round(CASE WHEN id LIKE '%7' THEN 1 ELSE score END, 6) AS score FROM gs")
+def gene_enforce(spark, sf_dir):
+    return _six(tailstat.enforce(fx.gene_scores(spark, sf_dir), _few(spark, sf_dir)), "score")
+
+
+@query(f"{COMBINED} SELECT grp, id, round(score, 6) AS score FROM comb WHERE split_part(id, '_', 1) NOT LIKE '%7'")
+def gene_exclude(spark, sf_dir):
+    return _six(_combined(spark, sf_dir, excluded=_few(spark, sf_dir)), "score")
+
+
+def _hazen_sql(rows: str, p: str, group: str = "") -> str:
+    """Hazen quantile of ``rows(x)`` at the SQL value ``p``; ``group`` names one grouping column."""
+    part, g = (f"PARTITION BY {group} ", f"{group}, ") if group else ("", "")
+    return f"(SELECT {g}max(CASE WHEN k = floor(h) THEN x END) + max(h - floor(h)) * (max(CASE WHEN k = ceil(h) THEN x END) - max(CASE WHEN k = floor(h) THEN x END)) AS q FROM (SELECT {g}x, row_number() OVER ({part}ORDER BY x) - 1 AS k, greatest(0, least(count(*) OVER ({part.strip()}) - 1, {p} * count(*) OVER ({part.strip()}) - 0.5)) AS h FROM {rows}) {'GROUP BY ' + group if group else ''})"
+
+
+CUTOFF = f"{COMBINED}, cut AS (SELECT greatest(q, 1e-16) AS cutoff FROM {_hazen_sql('''(SELECT score AS x FROM comb WHERE grp = 'control')''', '0.95')})"
+TABLE = f"{CUTOFF}, tab AS (SELECT count(*) FILTER (grp = 'control' AND score < cutoff) AS a, count(*) FILTER (grp = 'control' AND score >= cutoff) AS b, count(*) FILTER (grp = 'case' AND score < cutoff) AS c, count(*) FILTER (grp = 'case' AND score >= cutoff) AS d FROM comb, cut)"
+
+
+def _fisher_sql(table: str, tail: str, keys: str = "") -> str:
+    k = f"{keys}, " if keys else ""
+    ln = lambda x: f"lgamma(CAST({x} AS DOUBLE) + 1)"
+    const = f"{ln('a + b')} + {ln('c + d')} + {ln('a + c')} + {ln('b + d')} - {ln('a + b + c + d')}"
+    pk = lambda x: f"exp({const} - {ln(x)} - {ln(f'a + b - {x}')} - {ln(f'a + c - {x}')} - {ln(f'd - a + {x}')})"
+    cond = {"left": "k <= a", "right": "k >= a", "both": f"{pk('k')} <= {pk('a')}"}[tail]
+    return f"(SELECT {k}a, b, c, d, least(1, sum({pk('k')}) FILTER ({cond})) AS p FROM (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k FROM {table}) GROUP BY {k}a, b, c, d)"
+
+
+@query(f"{CUTOFF} SELECT round(cutoff, 6) AS cutoff FROM cut")
+def tail_cutoff(spark, sf_dir):
+    return _six(tailstat.cutoff(_combined(spark, sf_dir)), "cutoff")
+
+
+def _table(spark, sf_dir):
+    scores = _combined(spark, sf_dir)
+    return tailstat.contingency(scores, tailstat.cutoff(scores))
+
+
+@query(f"{TABLE} SELECT a, b, c, d FROM tab")
+def tail_contingency(spark, sf_dir):
+    return _table(spark, sf_dir)
+
+
+@query(f"{TABLE} SELECT round(p, 6) AS p FROM {_fisher_sql('tab', 'right')}")
+def tail_pvalue(spark, sf_dir):
+    return _six(tailstat.statistics(_table(spark, sf_dir)).select("p"), "p")
+
+
+@query(f"{TABLE} SELECT round((d / (d + c)) / nullif(b / (b + a), 0), 6) AS lr FROM tab")
+def tail_lr(spark, sf_dir):
+    return _six(tailstat.statistics(_table(spark, sf_dir)).select("lr"), "lr")
+
+
+@query(f"{TABLE} SELECT round(CAST(d AS DOUBLE) * a / nullif(CAST(b AS DOUBLE) * c, 0), 6) AS dor FROM tab")
+def tail_dor(spark, sf_dir):
+    return _six(tailstat.statistics(_table(spark, sf_dir)).select("dor"), "dor")
+
+
+@query(f"{COMBINED} SELECT id, round(score, 6) AS score, CASE grp WHEN 'case' THEN 'c' ELSE 't' END AS flag FROM comb")
+def tail_scores(spark, sf_dir):
+    return _six(tailstat.tail_scores(_combined(spark, sf_dir)), "score")
+
+
+BY = f"WITH {VAR}, brand AS (SELECT CAST(p_partkey AS STRING) AS gene, p_brand AS brand FROM part), comb AS (SELECT DISTINCT brand, var.grp, var.id, coalesce(vs.score * gs.score, 0) AS score FROM var JOIN brand ON brand.gene = var.gene LEFT JOIN vs ON vs.id = var.id LEFT JOIN gs ON gs.id = var.gene)"
+BY_CUT = f"{BY}, cut AS (SELECT brand, greatest(q, 1e-16) AS cutoff FROM {_hazen_sql('''(SELECT brand, score AS x FROM comb WHERE grp = 'control')''', '0.95', 'brand')})"
+BY_TABLE = f"{BY_CUT}, tab AS (SELECT brand, count(*) FILTER (grp = 'control' AND score < cutoff) AS a, count(*) FILTER (grp = 'control' AND score >= cutoff) AS b, count(*) FILTER (grp = 'case' AND score < cutoff) AS c, count(*) FILTER (grp = 'case' AND score >= cutoff) AS d FROM comb JOIN cut USING (brand) GROUP BY brand)"
+
+
+@query(f"{BY_TABLE} SELECT brand, a, b, c, d, round(p, 6) AS p FROM {_fisher_sql('tab', 'right', 'brand')}")
+def tail_by_group(spark, sf_dir):
+    brand = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("gene"), F.col("p_brand").alias("brand"))
+    variants = fx.variants(spark, sf_dir).join(brand, "gene")
+    scores = tailstat.combine(variants, _variant_scores(spark, sf_dir), fx.gene_scores(spark, sf_dir), keys=("brand", "grp"))
+    table = tailstat.contingency(scores, tailstat.cutoff(scores, keys=["brand"]), ["brand"])
+    return _six(tailstat.statistics(table).select("brand", "a", "b", "c", "d", "p"), "p")
+
+
+@query()
+def tail_bootstrap(spark, sf_dir):
+    drawn = tailstat.bootstrap(fx.variants(spark, sf_dir), 20, seed=1)
+    scores = tailstat.combine(drawn, _variant_scores(spark, sf_dir), fx.gene_scores(spark, sf_dir), keys=("rep", "grp"))
+    table = tailstat.contingency(scores, tailstat.cutoff(scores, keys=["rep"]), ["rep"])
+    return tailstat.statistics(table)
+
+
+# --- evaluation -------------------------------------------------------------------------------
+
+CM = "cm AS (SELECT DISTINCT score AS tau, sum(CASE WHEN label THEN 1.0 ELSE 0 END) OVER w AS tp, sum(CASE WHEN label THEN 0.0 ELSE 1 END) OVER w AS fp, sum(CASE WHEN label THEN 1.0 ELSE 0 END) OVER () AS p, sum(CASE WHEN label THEN 0.0 ELSE 1 END) OVER () AS n FROM roc WINDOW w AS (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+ROC = f"WITH {fx.LABELLED}, {CM}, pts AS (SELECT DISTINCT CAST(fp / n AS DOUBLE) AS x, CAST(tp / p AS DOUBLE) AS y FROM cm)"
+AREA = "SELECT round(coalesce(sum((y + py) * (x - px) / 2), 0), 6) AS {name} FROM (SELECT x, y, lag(x) OVER (ORDER BY x, y) AS px, lag(y) OVER (ORDER BY x, y) AS py FROM {pts})"
+
+
+def _cm(spark, sf_dir):
+    return evaluate.confusion(fx.labelled_scores(spark, sf_dir))
+
+
+@query(f"WITH {fx.LABELLED}, {CM} SELECT tau, round(CAST(fp / n AS DOUBLE), 6) AS fpr, round(CAST(tp / p AS DOUBLE), 6) AS tpr FROM cm")
+def roc_points(spark, sf_dir):
+    return _six(evaluate.roc(_cm(spark, sf_dir)).select("tau", F.col("x").alias("fpr"), F.col("y").alias("tpr")), "fpr", "tpr")
+
+
+@query(f"{ROC} {AREA.format(name='auc', pts='pts')}")
+def auc_ref(spark, sf_dir):
+    return _six(evaluate.auc(fx.labelled_scores(spark, sf_dir)), "auc")
+
+
+@query(f"{ROC} {AREA.format(name='auc', pts='(SELECT * FROM pts UNION SELECT 0.0, 0.0)')}")
+def auc_standard(spark, sf_dir):
+    return _six(evaluate.auc(fx.labelled_scores(spark, sf_dir), standard=True), "auc")
+
+
+@query(f"WITH {fx.LABELLED}, {CM} SELECT tau, round(CAST(tp / p AS DOUBLE), 6) AS recall, round(CAST(tp / (tp + fp) AS DOUBLE), 6) AS precision FROM cm")
+def pr_points(spark, sf_dir):
+    return _six(evaluate.prc(_cm(spark, sf_dir)).select("tau", F.col("x").alias("recall"), F.col("y").alias("precision")), "recall", "precision")
+
+
+@query(f"WITH {fx.LABELLED}, {CM} SELECT round(max(CAST(2 * tp / (tp + fp + p) AS DOUBLE)), 6) AS fmax FROM cm")
+def fmax(spark, sf_dir):
+    return _six(evaluate.fmax(evaluate.prc(_cm(spark, sf_dir))), "fmax")
+
+
+@query(f"WITH {fx.LABELLED}, {CM} SELECT tau, round(CAST((p - tp) / (p + fp) AS DOUBLE), 6) AS nru, round(CAST(fp / (p + fp) AS DOUBLE), 6) AS nmi FROM cm")
+def rmc_points(spark, sf_dir):
+    return _six(evaluate.rmc(_cm(spark, sf_dir)).select("tau", F.col("x").alias("nru"), F.col("y").alias("nmi")), "nru", "nmi")
+
+
+@query(f"WITH {fx.LABELLED}, {CM} SELECT round(sqrt(min(CAST((p - tp) * (p - tp) + fp * fp AS DOUBLE))), 6) AS sdmin FROM cm")
+def sdmin(spark, sf_dir):
+    return _six(evaluate.sdmin(_cm(spark, sf_dir)), "sdmin")
+
+
+@query(f"{COMBINED}, cut AS (SELECT greatest(q, 1e-16) AS cutoff FROM {_hazen_sql('''(SELECT score AS x FROM comb WHERE grp = 'control')''', '0.95')}), roc AS (SELECT round(score, 9) AS score, grp = 'case' AS label FROM comb, cut WHERE score >= cutoff), {CM}, pts AS (SELECT DISTINCT CAST(fp / n AS DOUBLE) AS x, CAST(tp / p AS DOUBLE) AS y FROM cm) {AREA.format(name='auc', pts='pts')}")
+def tail_auc(spark, sf_dir):
+    scores = _combined(spark, sf_dir)
+    top = tailstat.in_tail(scores, tailstat.cutoff(scores)).select(F.round("score", 9).alias("score"), (F.col("grp") == "case").alias("label"))
+    return _six(evaluate.auc(top), "auc")
+
+
+PANEL_CM = f"WITH {fx.PANEL}, k AS (SELECT DISTINCT entity, p AS tau, sum(CASE WHEN t THEN 1.0 ELSE 0 END) OVER w AS tp, sum(CASE WHEN t THEN 0.0 ELSE 1 END) OVER w AS fp, sum(CASE WHEN t THEN 1.0 ELSE 0 END) OVER (PARTITION BY entity) AS pos, sum(CASE WHEN t THEN 0.0 ELSE 1 END) OVER (PARTITION BY entity) AS neg FROM panel WINDOW w AS (PARTITION BY entity ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+
+
+def _panel(spark, sf_dir):
+    return fx.panel(spark, sf_dir).select("entity", "item", F.col("p").alias("score"), F.col("t").alias("label"))
+
+
+@query(f"{PANEL_CM}, pts AS (SELECT DISTINCT entity, CAST(fp / neg AS DOUBLE) AS x, CAST(tp / pos AS DOUBLE) AS y FROM k WHERE pos > 0 AND neg > 0), l AS (SELECT *, lag(x) OVER (PARTITION BY entity ORDER BY x, y) AS px, lag(y) OVER (PARTITION BY entity ORDER BY x, y) AS py FROM pts), a AS (SELECT entity, coalesce(sum((y + py) * (x - px) / 2), 0) AS auc FROM l GROUP BY entity) SELECT round(avg(auc), 6) AS auc, count(*) AS n_used, (SELECT count(DISTINCT entity) FROM panel) - count(*) AS n_skipped FROM a")
+def macro_auc(spark, sf_dir):
+    return _six(evaluate.macro_average(_panel(spark, sf_dir), "entity", "auc"), "auc")
+
+
+@query(f"{PANEL_CM}, a AS (SELECT entity, max(CAST(2 * tp / (tp + fp + pos) AS DOUBLE)) AS fmax FROM k WHERE pos > 0 AND neg > 0 GROUP BY entity) SELECT round(avg(fmax), 6) AS fmax, count(*) AS n_used, (SELECT count(DISTINCT entity) FROM panel) - count(*) AS n_skipped FROM a")
+def macro_fmax(spark, sf_dir):
+    return _six(evaluate.macro_average(_panel(spark, sf_dir), "entity", "fmax"), "fmax")
+
+
+MICRO = f"WITH {fx.PANEL}, q AS (SELECT CAST(i AS DOUBLE) / 100 AS pr FROM range(101) t(i)), o AS (SELECT p AS x, row_number() OVER (ORDER BY p) - 1 AS k, count(*) OVER () AS n FROM panel WHERE p > 0), h AS (SELECT DISTINCT pr, greatest(0, least(n - 1, pr * n - 0.5)) AS h FROM q, o), taus AS (SELECT a.x + (h.h - floor(h.h)) * (b.x - a.x) AS tau FROM h JOIN o a ON a.k = floor(h.h) JOIN o b ON b.k = ceil(h.h) UNION SELECT 0 UNION SELECT 1), r AS (SELECT DISTINCT round(tau, 12) AS tau FROM taus)"
+
+
+@query(f"{MICRO} SELECT round(tau, 6) AS tau, CAST(count(*) FILTER (p >= tau AND t) AS DOUBLE) AS tp, CAST(count(*) FILTER (p >= tau AND NOT t) AS DOUBLE) AS fp, CAST(count(*) FILTER (p < tau AND NOT t) AS DOUBLE) AS tn, CAST(count(*) FILTER (p < tau AND t) AS DOUBLE) AS fn FROM r, panel GROUP BY r.tau")
+def micro_curve(spark, sf_dir):
+    panel = _panel(spark, sf_dir)
+    taus = evaluate.micro_thresholds(panel).select(F.round("tau", 12).alias("tau")).distinct()
+    return _six(evaluate.confusion_at(panel, taus), "tau")
+
+
+@query(f"WITH v AS (SELECT CAST(l_linenumber AS BIGINT) AS g, l_extendedprice AS x FROM lineitem) SELECT g, 0.05 AS p, round(q, 6) AS q FROM {_hazen_sql('v', '0.05', 'g')} UNION ALL SELECT g, 0.5, round(q, 6) FROM {_hazen_sql('v', '0.5', 'g')} UNION ALL SELECT g, 0.95, round(q, 6) FROM {_hazen_sql('v', '0.95', 'g')}")
+def hazen_quantiles(spark, sf_dir):
+    v = fx.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("g"), F.col("l_extendedprice").alias("x"))
+    return _six(hazen(v, "x", [0.05, 0.5, 0.95], ["g"]), "q")
+
+
+TABLES = "SELECT p_brand AS brand, count(*) FILTER (p_size <= 5 AND p_retailprice < 1300) AS a, count(*) FILTER (p_size <= 5 AND p_retailprice >= 1300) AS b, count(*) FILTER (p_size > 5 AND p_retailprice < 1300) AS c, count(*) FILTER (p_size > 5 AND p_retailprice >= 1300) AS d FROM part GROUP BY p_brand"
+
+
+def _fisher(tail: str) -> None:
+    def tested(spark, sf_dir):
+        small, cheap = F.col("p_size") <= 5, F.col("p_retailprice") < 1300
+        n = lambda c: F.sum(c.cast("long"))
+        tables = fx.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(n(small & cheap).alias("a"), n(small & ~cheap).alias("b"), n(~small & cheap).alias("c"), n(~small & ~cheap).alias("d"))
+        return _six(fisher(tables, tail), "p")
+
+    tested.__name__ = f"fisher_{tail}"
+    # with "both" a table may tie with its mirror image, so that side has no SQL that must agree
+    query(f"WITH tab AS ({TABLES}) SELECT brand, a, b, c, d, round(p, 6) AS p FROM {_fisher_sql('tab', tail, 'brand')}" if tail != "both" else None)(tested)
+
+
+for _tail in ("left", "right", "both"):
+    _fisher(_tail)
+
+GROUPS = "s AS (SELECT p_brand AS brand, avg(p_retailprice - 1400) FILTER (p_size <= 25) AS m1, stddev_samp(p_retailprice - 1400) FILTER (p_size <= 25) AS s1, count(*) FILTER (p_size <= 25) AS n1, avg(p_retailprice - 1400) FILTER (p_size > 25) AS m2, stddev_samp(p_retailprice - 1400) FILTER (p_size > 25) AS s2, count(*) FILTER (p_size > 25) AS n2 FROM part GROUP BY p_brand)"
+
+
+def _groups(spark, sf_dir):
+    x, small = F.col("p_retailprice") - 1400, F.col("p_size") <= 25
+    side = lambda i, c: (F.avg(F.when(c, x)).alias(f"m{i}"), F.stddev_samp(F.when(c, x)).alias(f"s{i}"), F.count(F.when(c, x)).alias(f"n{i}"))
+    return fx.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(*side(1, small), *side(2, ~small))
+
+
+_SIDES = ("m1", "s1", "n1", "m2", "s2", "n2")
+
+
+@query(f"WITH {GROUPS} SELECT brand, round(m1 / (s1 / sqrt(n1)), 6) AS t, CAST(n1 - 1 AS DOUBLE) AS df FROM s")
+def ttest_one(spark, sf_dir):
+    t, df = t_one(*map(F.col, _SIDES[:3]))
+    return _six(_groups(spark, sf_dir).select("brand", t.alias("t"), df.alias("df")), "t")
+
+
+@query(f"WITH {GROUPS} SELECT brand, round(CASE WHEN n1 <= 1 THEN (m2 - m1) / (s2 / sqrt(n2)) WHEN n2 <= 1 THEN (m1 - m2) / (s1 / sqrt(n1)) ELSE (m1 - m2) / (sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / (n1 + n2 - 2)) * sqrt(1.0 / n1 + 1.0 / n2)) END, 6) AS t, CAST(CASE WHEN n1 <= 1 THEN n2 - 1 WHEN n2 <= 1 THEN n1 - 1 ELSE n1 + n2 - 2 END AS DOUBLE) AS df FROM s")
+def ttest_pooled(spark, sf_dir):
+    t, df = t_pooled(*map(F.col, _SIDES))
+    return _six(_groups(spark, sf_dir).select("brand", t.alias("t"), df.alias("df")), "t")
+
+
+@query(f"WITH {GROUPS} SELECT brand, round((m1 - m2) / sqrt(s1 * s1 / n1 + s2 * s2 / n2), 6) AS t, round((s1 * s1 / n1 + s2 * s2 / n2) ** 2 / ((s1 * s1 / n1) ** 2 / (n1 - 1) + (s2 * s2 / n2) ** 2 / (n2 - 1)), 6) AS df FROM s")
+def ttest_welch(spark, sf_dir):
+    t, df = t_welch(*map(F.col, _SIDES))
+    return _six(_groups(spark, sf_dir).select("brand", t.alias("t"), df.alias("df")), "t", "df")
+
+
+@query()
+def ttest_p_values(spark, sf_dir):
+    t, df = t_welch(*map(F.col, _SIDES))
+    return with_p_value(_groups(spark, sf_dir).select("brand", t.alias("t"), df.alias("df")))
+
+
+CAL = f"WITH gs AS ({fx.GENE_SCORES}), r AS (SELECT id, CASE WHEN score >= 1 - 1e-8 THEN 1.0 ELSE 0.1 * score / (1 - score) END AS p FROM gs)"
+
+
+@query(f"{CAL} SELECT id, round(least(greatest(p, 0), 1), 6) AS score FROM r")
+def calibrate_clamp(spark, sf_dir):
+    return _six(evaluate.calibrate(fx.gene_scores(spark, sf_dir), 0.1), "score")
+
+
+@query(f"{CAL} SELECT id, round(least(greatest((p - (SELECT min(p) FROM r)) / (3 * (SELECT stddev_samp(p) FROM r)), 0), 1), 6) AS score FROM r")
+def calibrate_norm(spark, sf_dir):
+    return _six(evaluate.calibrate(fx.gene_scores(spark, sf_dir), 0.1, option=2), "score")
+
+
+@query(f"{CAL} SELECT id, CASE WHEN p > 0 THEN round(ln(p), 6) ELSE CAST('-inf' AS DOUBLE) END AS score FROM r")
+def calibrate_log(spark, sf_dir):
+    return evaluate.calibrate(fx.gene_scores(spark, sf_dir), 0.1, option=3).withColumn("score", F.when(F.col("score") > float("-inf"), F.round("score", 6)).otherwise(F.col("score")))
+
+
+@query("SELECT event_type AS tag, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY event_type")
+def auc_mean_std(spark, sf_dir):
+    return _six(evaluate.auc_summary(fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("tag"), F.col("value").alias("auc")), ["tag"]), "mean", "std")
+
+
+@query("WITH r AS (SELECT event_type AS tag, event_id AS line, 1 / (1 + abs(value)) AS p FROM events), m AS (SELECT tag, max(line) AS last_line FROM r GROUP BY tag) SELECT tag, round(max(CASE WHEN line = last_line THEN -log10(p) END), 6) AS neglog10, round(stddev_samp(CASE WHEN line < last_line THEN -log10(p) END), 6) AS std FROM r JOIN m USING (tag) GROUP BY tag")
+def neglog10_summary(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("tag"), F.col("event_id").alias("line"), (1 / (1 + F.abs("value"))).alias("p"))
+    return _six(evaluate.p_value_summary(rows, ["tag"]), "neglog10", "std")
+
+
+# --- ontologies and annotations ---------------------------------------------------------------
+
+ONT = f"WITH RECURSIVE {fx.ONTOLOGY}, term AS (SELECT child AS id FROM ont UNION SELECT parent FROM ont), clo AS (SELECT id, id AS ancestor FROM term UNION SELECT c.id, o.parent FROM clo c JOIN ont o ON o.child = c.ancestor)"
+
+
+@query(f"{ONT} SELECT id FROM term WHERE id NOT IN (SELECT child FROM ont)")
+def ont_roots(spark, sf_dir):
+    return ontology.roots(fx.ontology(spark, sf_dir))
+
+
+@query(f"{ONT} SELECT id FROM term WHERE id NOT IN (SELECT parent FROM ont)")
+def ont_leaves(spark, sf_dir):
+    return ontology.leaves(fx.ontology(spark, sf_dir))
+
+
+WALK = f"WITH RECURSIVE {fx.ONTOLOGY}, term AS (SELECT child AS id FROM ont UNION SELECT parent FROM ont), walk AS (SELECT id, 0 AS d FROM term WHERE id NOT IN (SELECT child FROM ont) UNION SELECT o.child, w.d + 1 FROM walk w JOIN ont o ON o.parent = w.id)"
+
+
+@query(f"{WALK} SELECT id, min(d) AS depth FROM walk GROUP BY id")
+def ont_depth(spark, sf_dir):
+    return ontology.depths(fx.ontology(spark, sf_dir))
+
+
+@query(f"{WALK} SELECT id, max(d) AS level FROM walk GROUP BY id")
+def ont_topological(spark, sf_dir):
+    return ontology.topological(fx.ontology(spark, sf_dir))
+
+
+@query(f"{ONT} SELECT round(count(*) / count(DISTINCT parent), 6) AS branching FROM ont")
+def ont_branching(spark, sf_dir):
+    return _six(ontology.branching_factor(fx.ontology(spark, sf_dir)), "branching")
+
+
+@query(f"{ONT} SELECT id, ancestor FROM clo")
+def ont_closure(spark, sf_dir):
+    return ontology.closure(fx.ontology(spark, sf_dir))
+
+
+@query(f"{ONT} SELECT id, count(*) AS n FROM clo GROUP BY id")
+def ont_ancestor_counts(spark, sf_dir):
+    return ontology.closure(fx.ontology(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("n"))
+
+
+SEL = "sel AS (SELECT id FROM term WHERE id LIKE 'S:%' OR id LIKE 'R:%' OR id = 'ROOT')"
+
+
+def _selected(rel):
+    return ontology.terms(rel).where("id like 'S:%' or id like 'R:%' or id = 'ROOT'")
+
+
+@query(f"WITH RECURSIVE {fx.ONTOLOGY}, term AS (SELECT child AS id FROM ont UNION SELECT parent FROM ont), {SEL}, way AS (SELECT child, parent FROM ont WHERE child IN (SELECT id FROM sel) UNION SELECT w.child, o.parent FROM way w JOIN ont o ON o.child = w.parent WHERE w.parent NOT IN (SELECT id FROM sel)) SELECT child, parent FROM way WHERE parent IN (SELECT id FROM sel)")
+def ont_subontology(spark, sf_dir):
+    rel = fx.ontology(spark, sf_dir)
+    return ontology.subontology(rel, _selected(rel))
+
+
+@query(f"{ONT}, rts AS (SELECT id FROM term WHERE id NOT IN (SELECT child FROM ont)), u AS (SELECT c.ancestor AS root, c.id FROM clo c JOIN rts ON rts.id = c.ancestor) SELECT u.root, ont.child, ont.parent FROM ont JOIN u ON u.id = ont.child JOIN u p ON p.id = ont.parent AND p.root = u.root")
+def ont_split(spark, sf_dir):
+    return ontology.split(fx.ontology(spark, sf_dir))
+
+
+@query(f"{ONT}, sel AS (SELECT id FROM term WHERE id LIKE 'N:%' OR id LIKE 'R:%') SELECT id FROM sel WHERE id NOT IN (SELECT c.ancestor FROM clo c WHERE c.id <> c.ancestor AND c.id IN (SELECT id FROM sel))")
+def ont_leaves_of(spark, sf_dir):
+    rel = fx.ontology(spark, sf_dir)
+    return ontology.leaves_of(rel, ontology.terms(rel).where("id like 'N:%' or id like 'R:%'"))
+
+
+@query(f"{ONT}, {fx.ANNOTATION} SELECT DISTINCT a.seq, c.ancestor AS term FROM anno a JOIN clo c ON c.id = a.term")
+def anno_replenish(spark, sf_dir):
+    return ontology.replenish(fx.annotation(spark, sf_dir), fx.ontology(spark, sf_dir))
+
+
+@query(f"{ONT}, {fx.ANNOTATION} SELECT a.seq, CAST(max(CASE WHEN c.ancestor = 'R:0' THEN 1 ELSE 0 END) AS INT) AS r0, CAST(max(CASE WHEN c.ancestor = 'R:1' THEN 1 ELSE 0 END) AS INT) AS r1, CAST(max(CASE WHEN c.ancestor = 'R:2' THEN 1 ELSE 0 END) AS INT) AS r2 FROM anno a JOIN clo c ON c.id = a.term GROUP BY a.seq")
+def anno_matrix(spark, sf_dir):
+    full = ontology.replenish(fx.annotation(spark, sf_dir), fx.ontology(spark, sf_dir))
+    return ontology.annotation_matrix(full, ["R:0", "R:1", "R:2"]).withColumnsRenamed({f"R:{i}": f"r{i}" for i in range(3)})
+
+
+@query(f"{ONT}, {fx.ANNOTATION} SELECT a.seq, c.ancestor AS term, round(max(a.score), 6) AS score FROM anno a JOIN clo c ON c.id = a.term GROUP BY 1, 2")
+def score_propagate(spark, sf_dir):
+    return _six(ontology.propagate_scores(fx.annotation(spark, sf_dir), fx.ontology(spark, sf_dir)), "score")
+
+
+@query(f"WITH {fx.ANNOTATION}, k AS (SELECT seq, term, round(score, 6) AS score, row_number() OVER (PARTITION BY seq ORDER BY round(score, 6) DESC, term) AS rank FROM anno WHERE round(score, 6) > 0) SELECT seq, term, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3")
+def cafa_topk(spark, sf_dir):
+    return ontology.top_terms(fx.annotation(spark, sf_dir), 3)
+
+
+# --- samples and matrices ---------------------------------------------------------------------
+
+
+@query("SELECT p_size <= 5 AS label, CAST(k AS INT) AS fold, count(*) // 4 + CASE WHEN k < count(*) % 4 THEN 1 ELSE 0 END AS n FROM part, range(4) t(k) GROUP BY p_size <= 5, k")
+def cv_fold_sizes(spark, sf_dir):
+    return propagate.folds_by_hash(fx.genes(spark, sf_dir), ["label"], 4, 1).groupBy("label", "fold").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 0 AS part, CAST(floor(0.6 * count(*) + 1e-9) AS BIGINT) AS n FROM part UNION ALL SELECT 1, CAST(floor(0.9 * count(*) + 1e-9) - floor(0.6 * count(*) + 1e-9) AS BIGINT) FROM part UNION ALL SELECT 2, CAST(count(*) - floor(0.9 * count(*) + 1e-9) AS BIGINT) FROM part")
+def partition_sizes(spark, sf_dir):
+    return sampling.partition(fx.genes(spark, sf_dir), [0.6, 0.3, 0.1], ["id"]).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query()
+def randsample(spark, sf_dir):
+    return sampling.sample(fx.genes(spark, sf_dir), 50, ["id"], 1)
+
+
+@query()
+def randsample_replaced(spark, sf_dir):
+    return sampling.sample_with_replacement(fx.genes(spark, sf_dir), 50, ["id"], 1)
+
+
+@query("SELECT p_partkey AS id, round((p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER (), 6) AS size, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 6) AS price FROM part")
+def zscore(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    return _six(sampling.zscore(part, ["size", "price"]), "size", "price")
