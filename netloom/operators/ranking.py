@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of the order hash that a group is dealt into.
-RANGES = 1024
+RANGES = 256
 
 
 def gapless_rank(df: DataFrame, keys: list[str], identity: list[Column], name: str = "rank", ranges: int = RANGES) -> DataFrame:
@@ -18,17 +18,16 @@ def gapless_rank(df: DataFrame, keys: list[str], identity: list[Column], name: s
     sums give each range's first rank, and only one range is sorted at a time.
     The order is that of the hash, so it is stable when tasks are run again.
     Rows that are equal in ``identity`` and ``keys`` get ranks next to each
-    other in any order; nulls count as values.
+    other in any order; ``identity`` may hold nulls, ``keys`` may not.
+    Counts, local ranks and their join are dealt by the same columns, so rows
+    are shuffled once.
     """
     ordered = df.withColumn("_order", F.xxhash64(*identity)).withColumn("_range", F.pmod(F.col("_order"), F.lit(ranges)).cast("int"))
     firsts = (
         ordered.groupBy(*keys, "_range")
         .count()
         .withColumn("_first", F.sum("count").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_key_range"), F.coalesce("_first", F.lit(0)).alias("_first"))
+        .select(*keys, "_range", F.coalesce("_first", F.lit(0)).alias("_first"))
     )
     local = ordered.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_order", *identity)))
-    same = F.col("_range") == F.col("_key_range")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return local.join(firsts, same).withColumn(name, (F.col("_first") + F.col("_local") - 1).cast("long")).select(*df.columns, name)
+    return local.join(firsts, [*keys, "_range"]).withColumn(name, (F.col("_first") + F.col("_local") - 1).cast("long")).select(*df.columns, name)
