@@ -106,7 +106,8 @@ def _normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.n
         for frame in frames:
             for i, row in zip(frame["i"], frame["row"], strict=True):
                 sums[i] = sums[i] + row if i in sums else np.array(row)
-        yield pd.DataFrame({"i": list(sums), "row": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"i": list(sums), "row": list(sums.values())})
 
     found = rows.mapInPandas(partial, "i int, row array<double>").repartition(ADDERS, "i").mapInPandas(add, "i int, row array<double>").collect()
     whole = np.array([r["row"] for r in sorted(found, key=lambda r: r["i"])])
