@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.stats import fisher, hazen, t_one, t_pooled, t_welch, with_p_value
-from netloom.operators import evaluate, network, ontology, propagate, sampling, tailstat
+from netloom.operators import evaluate, learn, network, ontology, propagate, sampling, tailstat
 from netloom.plans import fixtures as fx
+from netloom.plans.session import shared_dir
+from netloom.sources import sinks, text
+from netloom.streaming import scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -736,3 +739,131 @@ def randsample_replaced(spark, sf_dir):
 def zscore(spark, sf_dir):
     part = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
     return _six(sampling.zscore(part, ["size", "price"]), "size", "price")
+
+
+# --- readers and writers ----------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/io-{uuid.uuid4().hex}"
+
+
+@query(f"{A} SELECT src, dst, round(w, 6) AS w FROM net_a")
+def io_edge_file(spark, sf_dir):
+    path = _scratch(spark)
+    sinks.save_edges(fx.net_a(spark, sf_dir), path)
+    return _six(text.read_network(spark, path).edges, "w")
+
+
+@query(f"{A} SELECT src, dst, round(w, 6) AS w FROM net_a")
+def io_network_table(spark, sf_dir):
+    path = _scratch(spark)
+    sinks.save_network(fx.net_a(spark, sf_dir), path)
+    return _six(sinks.load_network(spark, path).edges, "w")
+
+
+@query(fx.GENES)
+def io_label_file(spark, sf_dir):
+    path = _scratch(spark)
+    sinks.save_table(fx.genes(spark, sf_dir).select("id", F.col("label").cast("int")), path)
+    return text.read_labels(spark, path).select("id", "label")
+
+
+@query(f"WITH g AS ({fx.GENE_SCORES}) SELECT id, round(score, 6) AS score FROM g")
+def io_score_file(spark, sf_dir):
+    path = _scratch(spark)
+    sinks.save_table(fx.gene_scores(spark, sf_dir), path)
+    return _six(text.read_scores(spark, path), "score")
+
+
+@query(f"WITH {fx.ANNOTATION}, k AS (SELECT seq, term, round(score, 6) AS score, row_number() OVER (PARTITION BY seq ORDER BY round(score, 6) DESC, term) AS rank FROM (SELECT seq, term, least(score, 1) AS score FROM anno) WHERE round(score, 6) > 0) SELECT seq, term, score FROM k WHERE rank <= 5")
+def io_prediction_file(spark, sf_dir):
+    path = _scratch(spark)
+    sinks.save_predictions(fx.annotation(spark, sf_dir).withColumn("score", F.least("score", F.lit(1.0))), path, 5)
+    return text.read_predictions(spark, path)
+
+
+def _sequences(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("comment"), F.col("text").alias("data"))
+
+
+@query("SELECT CAST(doc_id AS STRING) AS id, source AS comment, md5(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', '', 'g')) AS data_md5 FROM documents WHERE regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', '', 'g') <> ''")
+def seq_parse(spark, sf_dir):
+    path = _scratch(spark)
+    sinks.save_fasta(_sequences(spark, sf_dir), path)
+    return text.read_fasta(spark, path).select("id", "comment", F.md5("data").alias("data_md5"))
+
+
+@query("SELECT CAST(doc_id AS STRING) AS id, NOT regexp_matches(upper(text), '[^A-Z]') AS valid FROM documents")
+def seq_alphabet(spark, sf_dir):
+    return text.alphabet(_sequences(spark, sf_dir)).select("id", "valid")
+
+
+@query(f"WITH {fx.ONTOLOGY} SELECT child, parent FROM ont")
+def io_ontology_file(spark, sf_dir):
+    rel = fx.ontology(spark, sf_dir)
+    up = rel.groupBy("child").agg(F.sort_array(F.collect_list("parent")).alias("p"))
+    stanza = ontology.terms(rel).join(up.withColumnRenamed("child", "id"), "id", "left")
+    is_a = F.array_join(F.transform(F.coalesce("p", F.array().cast("array<string>")), lambda x: F.concat(F.lit("is_a: "), x, F.lit(" ! parent"))), "\n")
+    path = _scratch(spark)
+    stanza.select(F.concat(F.lit("[Term]\nid: "), "id", F.lit("\nname: n "), "id", F.lit("\n"), is_a, F.lit("\n")).alias("value")).write.text(path)
+    return text.read_obo(spark, path)["rel"]
+
+
+# --- learning ---------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.array(*[(F.col("label") == k).cast("double") for k in range(10)]).alias("y"))
+
+
+def _series(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
+    return e.select("id", F.col("s.value").alias("x"))
+
+
+@query()
+def nn_predict(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return learn.predict(rows, learn.train(rows, learn.Settings(epochs=12)))
+
+
+@query()
+def ensemble_predict(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return learn.predict_out_of_bag(rows, learn.train(rows, learn.Settings(epochs=8, models=4)))
+
+
+@query()
+def term_ensemble_predict(spark, sf_dir):
+    names = [f"t{k}" for k in range(10)]
+    rows = _vectors(spark, sf_dir).withColumn("y", F.transform("y", lambda v, k: F.when(k == 0, F.aggregate(F.slice("y", 1, 5), F.lit(0.0), lambda a, b: F.greatest(a, b))).otherwise(v)))
+    model = learn.train_terms(rows, names, [(n, "t0") for n in names[1:5]], learn.Settings(epochs=6, models=2, loss="mse_con_reg"))
+    return learn.predict_terms(rows, model)
+
+
+@query()
+def pca_variance(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return learn.scaled(rows, learn.fit_scaler(rows, list(range(64)), 0.9)).select("id", F.size("x").alias("n_axes"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("square"))
+
+
+@query("WITH s AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1) SELECT id, n - 16 AS n_windows FROM s WHERE n > 16")
+def vq_windows(spark, sf_dir):
+    return learn.windows(_series(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("n_windows"))
+
+
+@query()
+def vq_features(spark, sf_dir):
+    series = _series(spark, sf_dir)
+    return learn.quantised(series, learn.codebook(series))
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, CAST(user_id AS STRING) AS id, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS top FROM events GROUP BY 1, 2")
+def windowed_scores(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select("ts", F.col("user_id").cast("string").alias("id"), F.col("value").alias("score"))
+    return _six(scores.windowed_scores(e).select(F.col("window.start").alias("day"), "id", "n", "mean", "top"), "mean", "top")
