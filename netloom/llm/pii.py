@@ -33,7 +33,11 @@ LONGEST, FITTED_ON, PASSES, RATE, PENALTY = 28, 1200, 6, 0.5, 1e-3
 FEATURES = ("bias", "valid", "letter before", "digit before", "letter after", "digit after", "joiner before", "joiner after", "grouped", "longer exists", "twelve or more digits", "starts stretch", "ends stretch")
 
 _SEED = re.compile(r"[0-9@]")
-_STRETCH = re.compile(r"[A-Za-z0-9._%+@()\-]*[0-9@][A-Za-z0-9._%+@()\-]*(?:\x20[0-9()+.\-][A-Za-z0-9._%+@()\-]*)*")
+_STRETCH = re.compile(r"[A-Za-z0-9._%+@()\-]+(?:\x20[0-9()+.\-][A-Za-z0-9._%+@()\-]*)*")
+# the same matches in linear time: no second look at a run of digits, and e-mail addresses by their @
+_IP = re.compile(r"(?<![0-9])" + PATTERNS["ip"].pattern)
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 
 Span = tuple[int, int, str]
@@ -52,14 +56,28 @@ def valid(kind: str, text: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(int(p) <= 255 for p in text.split(".") if p)
+        return all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in text.split("."))
     digits = re.sub(r"[^0-9]", "", text)
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def _emails(text: str) -> Iterator[Span]:
+    """What the e-mail pattern finds, without trying every start of a long word."""
+    free = 0
+    for m in _DOMAIN.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start():
+            yield start, m.end(), "email"
+            free = m.end()
+
+
 def base_spans(text: str) -> list[Span]:
     """(start, end, kind) of the base patterns, by start, then kind as listed."""
-    found = [(m.start(), m.end(), k) for k in KINDS for m in PATTERNS[k].finditer(text) if valid(k, m[0])]
+    found = list(_emails(text))
+    for kind, pattern in (("ip", _IP), ("card", PATTERNS["card"]), ("phone", PATTERNS["phone"])):
+        found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if valid(kind, m[0])]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -156,7 +174,8 @@ def decode(grid: Lattice, weights: dict[str, np.ndarray]) -> list[Span]:
 def stretches(text: str) -> Iterator[tuple[int, str, str, str]]:
     """(start, stretch, character before, character after) of what the field reads."""
     for m in _STRETCH.finditer(text):
-        yield m.start(), m[0], text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        if _SEED.search(m[0]):
+            yield m.start(), m[0], text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
 
 
 def spans_of(text: str, weights: dict[str, np.ndarray]) -> tuple[list[Span], list[Span]]:
