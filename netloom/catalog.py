@@ -535,6 +535,23 @@ def micro_curve(spark, sf_dir):
     return _six(evaluate.confusion_at(panel, taus), "tau")
 
 
+@query(f"{MICRO}, cm AS (SELECT r.tau, CAST(count(*) FILTER (p >= tau AND t) AS DOUBLE) AS tp, CAST(count(*) FILTER (p >= tau AND NOT t) AS DOUBLE) AS fp, CAST(count(*) FILTER (t) AS DOUBLE) AS pos, CAST(count(*) FILTER (NOT t) AS DOUBLE) AS neg FROM r, panel GROUP BY r.tau) SELECT round(max(2 * tp / (tp + fp + pos)), 6) AS fmax FROM cm")
+def micro_fmax(spark, sf_dir):
+    panel = _panel(spark, sf_dir)
+    taus = evaluate.micro_thresholds(panel).select(F.round("tau", 12).alias("tau")).distinct()
+    return _six(evaluate.fmax(evaluate.prc(evaluate.confusion_at(panel, taus))), "fmax")
+
+
+@query(f"{PANEL_CM}, a AS (SELECT entity, sqrt(min(CAST((pos - tp) * (pos - tp) + fp * fp AS DOUBLE))) AS sdmin FROM k WHERE pos > 0 AND neg > 0 GROUP BY entity) SELECT round(avg(sdmin), 6) AS sdmin, count(*) AS n_used, (SELECT count(DISTINCT entity) FROM panel) - count(*) AS n_skipped FROM a")
+def macro_sdmin(spark, sf_dir):
+    return _six(evaluate.macro_average(_panel(spark, sf_dir), "entity", "sdmin"), "sdmin")
+
+
+@query(f"{PANEL_CM.replace('entity', 'item').replace('CAST(user_id AS STRING) AS item, event_type AS item', 'CAST(user_id AS STRING) AS entity, event_type AS item').replace('SELECT item, item, round', 'SELECT entity, item, round')}, pts AS (SELECT DISTINCT item, CAST(fp / neg AS DOUBLE) AS x, CAST(tp / pos AS DOUBLE) AS y FROM k WHERE pos > 0 AND neg > 0), l AS (SELECT *, lag(x) OVER (PARTITION BY item ORDER BY x, y) AS px, lag(y) OVER (PARTITION BY item ORDER BY x, y) AS py FROM pts), a AS (SELECT item, coalesce(sum((y + py) * (x - px) / 2), 0) AS auc FROM l GROUP BY item) SELECT round(avg(auc), 6) AS auc, count(*) AS n_used, (SELECT count(DISTINCT item) FROM panel) - count(*) AS n_skipped FROM a")
+def macro_auc_by_label(spark, sf_dir):
+    return _six(evaluate.macro_average(_panel(spark, sf_dir), "item", "auc"), "auc")
+
+
 @query(f"WITH v AS (SELECT CAST(l_linenumber AS BIGINT) AS g, l_extendedprice AS x FROM lineitem) SELECT g, 0.05 AS p, round(q, 6) AS q FROM {_hazen_sql('v', '0.05', 'g')} UNION ALL SELECT g, 0.5, round(q, 6) FROM {_hazen_sql('v', '0.5', 'g')} UNION ALL SELECT g, 0.95, round(q, 6) FROM {_hazen_sql('v', '0.95', 'g')}")
 def hazen_quantiles(spark, sf_dir):
     v = fx.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("g"), F.col("l_extendedprice").alias("x"))
@@ -712,6 +729,53 @@ def cafa_topk(spark, sf_dir):
     return ontology.top_terms(fx.annotation(spark, sf_dir), 3)
 
 
+@query(f"{ONT}, {fx.ANNOTATION} SELECT (SELECT count(DISTINCT seq) FROM anno) AS n_sequences, (SELECT count(*) FROM term) AS n_terms, (SELECT count(*) FROM anno) AS n_annotations")
+def anno_counts(spark, sf_dir):
+    return ontology.counts(fx.annotation(spark, sf_dir).select("seq", "term"), ontology.terms(fx.ontology(spark, sf_dir)))
+
+
+@query(f"WITH {fx.ANNOTATION} SELECT seq, term FROM anno UNION SELECT 'copy', term FROM anno WHERE seq = '1'")
+def anno_transfer_terms(spark, sf_dir):
+    return ontology.transfer_terms(fx.annotation(spark, sf_dir).select("seq", "term"), "1", "copy")
+
+
+@query(f"WITH {fx.ANNOTATION} SELECT seq, term FROM anno UNION SELECT seq, 'S:2' FROM anno WHERE term = 'S:1' AND EXISTS (SELECT 1 FROM anno WHERE term = 'S:2')")
+def anno_transfer_sequences(spark, sf_dir):
+    return ontology.transfer_sequences(fx.annotation(spark, sf_dir).select("seq", "term"), "S:1", "S:2")
+
+
+@query(f"{ONT}, alt AS (SELECT id, 'alt-' || id AS alt_id FROM term WHERE id LIKE 'S:%'), ask AS (SELECT alt_id AS id FROM alt UNION ALL SELECT id FROM term WHERE id LIKE 'N:%' UNION ALL SELECT 'nothing') SELECT ask.id, coalesce(t.id, alt.id) AS valid FROM ask LEFT JOIN term t ON t.id = ask.id LEFT JOIN alt ON alt.alt_id = ask.id")
+def ont_resolve(spark, sf_dir):
+    known = ontology.terms(fx.ontology(spark, sf_dir))
+    alt = known.where("id like 'S:%'").select(F.concat(F.lit("alt-"), "id").alias("alt_id"), "id")
+    asked = alt.select(F.col("alt_id").alias("id")).union(known.where("id like 'N:%'").select("id")).union(spark.range(1).select(F.lit("nothing").alias("id")))
+    return ontology.resolve(asked, known, alt)
+
+
+@query(f"{ONT} SELECT DISTINCT c.ancestor AS id FROM clo c WHERE c.id IN ('S:1', 'S:2')")
+def ont_ancestors(spark, sf_dir):
+    rel = fx.ontology(spark, sf_dir)
+    return ontology.ancestors(rel, ontology.terms(rel).where("id in ('S:1', 'S:2')"))
+
+
+@query(f"{ONT} SELECT DISTINCT c.id FROM clo c WHERE c.ancestor IN ('R:1', 'R:2')")
+def ont_offspring(spark, sf_dir):
+    rel = fx.ontology(spark, sf_dir)
+    return ontology.offspring(rel, ontology.terms(rel).where("id in ('R:1', 'R:2')"))
+
+
+@query(f"{ONT} SELECT child, parent FROM ont WHERE child LIKE 'S:%'")
+def ont_parents(spark, sf_dir):
+    rel = fx.ontology(spark, sf_dir)
+    return ontology.parents(rel, ontology.terms(rel).where("id like 'S:%'"))
+
+
+@query(f"{ONT} SELECT DISTINCT child AS id FROM ont WHERE (parent LIKE 'R:%' OR parent = 'ROOT') AND child NOT LIKE 'R:%'")
+def ont_children(spark, sf_dir):
+    rel = fx.ontology(spark, sf_dir)
+    return ontology.children(rel, ontology.terms(rel).where("id like 'R:%' or id = 'ROOT'"))
+
+
 # --- samples and matrices ---------------------------------------------------------------------
 
 
