@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.plans.session import cut
+
 
 def hazen(values: DataFrame, column: str, probabilities: list[float], keys: list[str] | None = None) -> DataFrame:
     """Hazen quantiles, ``keys, p, q``: positions (k + 1/2) / n, linear between, clamped at the ends.
@@ -19,12 +21,9 @@ def hazen(values: DataFrame, column: str, probabilities: list[float], keys: list
     """
     keys = keys or []
     counted = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    if keys:
-        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
-        ranked = counted.withColumn("_hi", upto).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    else:
-        ranked = running(counted, "_v", ["_c"]).withColumnRenamed("_c_upto", "_hi")
-        ranked = ranked.join(F.broadcast(counted.agg(F.sum("_c").alias("_n"))))
+    ranked = running(counted, "_v", ["_c"], keys=keys).withColumnRenamed("_c_upto", "_hi")
+    total = F.broadcast(counted.agg(F.sum("_c").alias("_n"))) if not keys else counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    ranked = ranked.join(total, keys) if keys else ranked.join(total)
     asked = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
     h = F.greatest(F.lit(0.0), F.least((F.col("_n") - 1).cast("double"), F.col("p") * F.col("_n") - 0.5))
     low, high = F.floor(h), F.ceil(h)
@@ -36,23 +35,24 @@ def hazen(values: DataFrame, column: str, probabilities: list[float], keys: list
     return found.select(*keys, "p", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("q"))
 
 
-def running(rows: DataFrame, order: str, columns: list[str], descending: bool = False) -> DataFrame:
-    """Add ``<column>_upto``: running sums over all rows in the order of a unique column.
+def running(rows: DataFrame, order: str, columns: list[str], descending: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Add ``<column>_upto``: running sums within ``keys``, or over all rows, in the order of a column that is unique there.
 
-    Rows are dealt into ranges of ``order``; each range is summed on its own and
-    starts from the totals of the ranges before it, so no task sees all rows.
+    Rows are dealt into ranges of keys and order; each range is summed on its
+    own and starts from its key's totals in the ranges before it, so no task
+    sees all rows of a key.  Keys that are null have no running sums.
     """
-    from netloom.plans.session import cut
-
+    keys = keys or []
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = F.desc(order) if descending else F.asc(order)
-    dealt = cut(rows.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(columns)])
-    totals = totals.select("_part", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(columns))])
-    inside = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    known = rows.na.drop(subset=keys) if keys else rows
+    dealt = cut(known.repartitionByRange(parts, *keys, by).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(columns)])
+    totals = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(columns))])
+    inside = Window.partitionBy(*keys, "_part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     local = dealt.select("*", *[F.sum(c).over(inside).alias(f"_l{i}") for i, c in enumerate(columns)])
-    return local.join(F.broadcast(totals), "_part").select(*rows.columns, *[(F.col(f"_l{i}") + F.col(f"_b{i}")).alias(f"{c}_upto") for i, c in enumerate(columns)])
+    return local.join(totals, [*keys, "_part"]).select(*rows.columns, *[(F.col(f"_l{i}") + F.col(f"_b{i}")).alias(f"{c}_upto") for i, c in enumerate(columns)])
 
 
 def log_factorial(n: Column) -> Column:

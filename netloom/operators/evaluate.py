@@ -18,13 +18,9 @@ def confusion(rows: DataFrame, keys: list[str] | None = None, weight: str | None
     keys = keys or []
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     by = rows.where("score is not null and label is not null").groupBy(*keys, F.col("score").alias("tau")).agg(F.sum(F.when(F.col("label"), w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("label"), 0.0).otherwise(w)).alias("n"))
-    if keys:
-        over = Window.partitionBy(*keys).orderBy(F.desc("tau"))
-        whole = Window.partitionBy(*keys)
-        told = by.select("*", F.sum("p").over(over).alias("tp"), F.sum("n").over(over).alias("fp"), F.sum("p").over(whole).alias("_P"), F.sum("n").over(whole).alias("_N"))
-    else:
-        told = running(by, "tau", ["p", "n"], descending=True).withColumnsRenamed({"p_upto": "tp", "n_upto": "fp"})
-        told = told.join(F.broadcast(by.agg(F.sum("p").alias("_P"), F.sum("n").alias("_N"))))
+    told = running(by, "tau", ["p", "n"], descending=True, keys=keys).withColumnsRenamed({"p_upto": "tp", "n_upto": "fp"})
+    whole = by.groupBy(*keys).agg(F.sum("p").alias("_P"), F.sum("n").alias("_N"))
+    told = told.join(whole, keys) if keys else told.join(F.broadcast(whole))
     return told.select(*keys, "tau", "tp", "fp", (F.col("_N") - F.col("fp")).alias("tn"), (F.col("_P") - F.col("tp")).alias("fn"))
 
 
@@ -60,27 +56,24 @@ def rmc(cm: DataFrame) -> DataFrame:
 def trapezoid(points: DataFrame, keys: list[str] | None = None, name: str = "auc", start: bool = False) -> DataFrame:
     """Area under different points ordered by x, then y; 0 if there are fewer than two.
 
-    ``start`` adds the point (0, 0).  Points come from different scores only,
-    far fewer than items; without ``keys`` they are handed from range to range.
+    ``start`` adds the point (0, 0).  Points are dealt into ranges of keys and
+    place; each range is added up on its own, and neighbouring ranges of a key
+    are joined by their end points.
     """
     keys = keys or []
     own = points.where("x is not null and y is not null").select(*keys, "x", "y").distinct()
-    if keys:
-        over = Window.partitionBy(*keys).orderBy("x", "y")
-        area = (F.col("y") + F.lag("y").over(over)) * (F.col("x") - F.lag("x").over(over)) / 2
-        first = F.when(F.row_number().over(over) == 1, F.col("x") * F.col("y") / 2).otherwise(0.0) if start else F.lit(0.0)
-        return own.select(*keys, (F.coalesce(area, F.lit(0.0)) + first).alias("_a")).groupBy(*keys).agg(F.sum("_a").alias(name))
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.repartitionByRange(parts, "x", "y").withColumn("_p", F.spark_partition_id())
-    over = Window.partitionBy("_p").orderBy("x", "y")
+    dealt = own.repartitionByRange(parts, *keys, "x", "y").withColumn("_p", F.spark_partition_id())
+    over = Window.partitionBy(*keys, "_p").orderBy("x", "y")
     area = (F.col("y") + F.lag("y").over(over)) * (F.col("x") - F.lag("x").over(over)) / 2
-    inner = dealt.select("_p", "x", "y", F.coalesce(area, F.lit(0.0)).alias("_a"))
+    inner = dealt.select(*keys, "_p", "x", "y", F.coalesce(area, F.lit(0.0)).alias("_a"))
     edge = F.struct("x", "y")
-    ranges = inner.groupBy("_p").agg(F.sum("_a").alias("_a"), F.min(edge).alias("lo"), F.max(edge).alias("hi"))
-    join = Window.orderBy("_p")
+    ranges = inner.groupBy(*keys, "_p").agg(F.sum("_a").alias("_a"), F.min(edge).alias("lo"), F.max(edge).alias("hi"))
+    join = Window.partitionBy(*keys).orderBy("_p")
     gap = (F.col("lo.y") + F.lag("hi.y").over(join)) * (F.col("lo.x") - F.lag("hi.x").over(join)) / 2
     first = F.when(F.row_number().over(join) == 1, F.col("lo.x") * F.col("lo.y") / 2).otherwise(0.0) if start else F.lit(0.0)
-    return ranges.select((F.col("_a") + F.coalesce(gap, F.lit(0.0)) + first).alias("_a")).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias(name))
+    area = ranges.select(*keys, (F.col("_a") + F.coalesce(gap, F.lit(0.0)) + first).alias("_a"))
+    return area.groupBy(*keys).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias(name))
 
 
 def auc(rows: DataFrame, keys: list[str] | None = None, standard: bool = False) -> DataFrame:
