@@ -197,21 +197,35 @@ def joined(spans: list[Span]) -> str:
 
 
 def train(docs: DataFrame, fitted_on: int = FITTED_ON) -> dict[str, np.ndarray]:
-    """Fit on about ``fitted_on`` texts with a digit or ``@``, chosen by a hash, and their base spans."""
+    """Fit on about ``fitted_on`` of all stretches, chosen by a hash of document and place, and the base spans inside them.
+
+    A first pass counts the stretches, so that the second hands over no more
+    than those, however many partitions there are.
+    """
     seeded = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
 
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"n": [sum(1 for frame in frames for text in frame["text"] for _ in stretches(text))]})
+
+    total = seeded.mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
+    share = fitted_on / max(total, 1)
+
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for text in frame["text"]:
-                base = base_spans(text)
+            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+                base = None
                 for start, stretch, before, after in stretches(text):
-                    own = [f"{s - start}:{e - start}:{k}" for s, e, k in base if start <= s and e <= start + len(stretch)]
-                    if len(stretch) <= 400:
-                        rows.append((int(hashlib.sha256(f"{before}{stretch}{after}".encode()).hexdigest()[:12], 16), stretch, before, after, own))
-            yield pd.DataFrame(rows, columns=["turn", "stretch", "before", "after", "own"])
-
-    rows = seeded.mapInPandas(draw, "turn long, stretch string, before string, after string, own array<string>").orderBy("turn", "stretch", "before", "after").limit(fitted_on).collect()
+                    turn = int(hashlib.sha256(f"{doc} {start} {stretch}".encode()).hexdigest()[:12], 16)
+                    if turn < share * (1 << 48) and len(stretch) <= 400:
+                        base = base_spans(text) if base is None else base
+                        own = [f"{s - start}:{e - start}:{k}" for s, e, k in base if start <= s and e <= start + len(stretch)]
+                        rows.append((turn, stretch, before, after, own))
+            if rows:
+                yield pd.DataFrame(rows, columns=["turn", "stretch", "before", "after", "own"])
+
+    rows = seeded.mapInPandas(draw, "turn long, stretch string, before string, after string, own array<string>").collect()
+    rows.sort(key=lambda r: (r["turn"], r["stretch"], r["before"], r["after"]))
     return fit([(r["stretch"], r["before"], r["after"], [(int(s), int(e), k) for s, e, k in (x.split(":") for x in r["own"])]) for r in rows])
 
 
