@@ -130,7 +130,7 @@ def _windows(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words."""
     h = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - width + 1 + k]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(h)]
     return h ^ (h >> np.uint64(29))
 
 
@@ -141,15 +141,16 @@ def search(words: np.ndarray, hits: dict[int, np.ndarray], hashes: dict[int, np.
     size = 64 // TABLES
     for n in items.lengths:
         width = min(SHINGLE, n)
-        if len(words) < n or not len(hits[width]) or not hits[width].any():
+        if not len(hits[width]) or not hits[width].any():
             continue
         if width not in upto:
             marks = np.zeros((len(hashes[width]) + 1, 64), np.int32)
             np.cumsum(_bits(hashes[width]), axis=0, out=marks[1:])
             upto[width] = np.concatenate(([0], np.cumsum(hits[width]))), marks
         known, marks = upto[width]
-        m = n - width + 1
-        start = np.flatnonzero((known[m:] - known[:-m]) >= 2 * least / (1 + least) * m - 1e-9)
+        # a shorter document is its own one window
+        m = min(n, len(words)) - width + 1
+        start = np.flatnonzero((known[m:] - known[:-m]) >= least / (1 + least) * (m + n - width + 1) - 1e-9)
         if not len(start):
             continue
         marked = _packed(marks[start + m] - marks[start])
@@ -203,7 +204,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITE
     Words are runs of letters and digits, lower-cased.  A row is returned when
     some window of as many words as the item has a weighted Jaccard similarity
     of five-word shingles of 0.8 or more and a SimHash within 15 bits; it tells
-    the most similar such window, the first on a tie.  An item of fewer than
+    the most similar such window, the first on a tie.  A row of fewer words
+    than the item is one window as a whole.  An item of fewer than
     five words is one shingle.  Null and wordless texts and items match
     nothing; repeated rows and items are matched one by one; null ids are kept;
     an empty table gives an empty result; other columns are ignored.
@@ -227,4 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITE
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is not that of a contaminated one; rows without an id are judged by their text."""
     found = contaminated(docs.where("doc_id is not null"), benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    named = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    bare = docs.where("doc_id is null").withColumn("_body", F.xxhash64("text"))
+    held = contaminated(bare.select(F.col("_body").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_id")).distinct()
+    return named.union(bare.join(held, F.col("_body") == F.col("_id"), "left_anti").drop("_body"))
