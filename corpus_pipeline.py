@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go that another occurrence stands for; a document that loses all its lines goes."""
-    left = linededup.dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    left = linededup.dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.textops import Block, blocks
+from netloom.operators.hubs import needed
+from netloom.plans.session import cut
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 #: Blocks of a fingerprint; some block of two within RADIUS differs in at most RADIUS // TABLES bits.
@@ -193,9 +195,11 @@ def _matches(docs: DataFrame, rows: list[tuple[int | None, str | None]]) -> Data
                         out.append((ids[first + d], items.ids[k], *rest))
             if out:
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "similarity", "start_word", "bits_apart"])
+                kinds = (batch.column(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "similarity", "start_word", "bits_apart"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long, bits_apart int")
+    asked = docs.select("doc_id", "text")
+    return asked.mapInArrow(run, f"doc_id {asked.dtypes[0][1]}, item_id long, similarity double, start_word long, bits_apart int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
@@ -227,9 +231,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITE
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not that of a contaminated one; rows without an id are judged by their text."""
-    found = contaminated(docs.where("doc_id is not null"), benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_id"), "left_anti")
-    bare = docs.where("doc_id is null").withColumn("_body", F.xxhash64("text"))
-    held = contaminated(bare.select(F.col("_body").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return named.union(bare.join(held, F.col("_body") == F.col("_id"), "left_anti").drop("_body"))
+    """The rows of ``docs`` whose text holds no benchmark item, whatever their ids; only rows that may go are shuffled."""
+    body = F.unhex(F.md5("text"))
+    found = cut(contaminated(docs.select(body.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("body")).distinct())
+    touched, untouched = needed(docs, body, found)
+    packed = touched.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    free = packed.join(found, F.unhex(F.md5("row.text")) == F.col("body"), "left_anti")
+    return untouched.union(free.select("row.*"))

@@ -7,7 +7,6 @@ features are hashed letter trigrams of the whole text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -31,7 +30,6 @@ BUCKETS, PER_LANGUAGE = 4096, 400
 #: Weight of errors against the margin, passes of the solver, slope from margins to probabilities.
 COST, PASSES, SLOPE = 4.0, 30, 4.0
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -159,7 +157,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
             for first, raw in blocks([t.encode() for t in texts]):
                 some = texts[first : first + len(raw)]
                 lang, score, family = model.predict(features(some))
-                letters = [bool(_LETTER.search(t)) for t in some]
+                letters = [any(map(str.isalpha, t)) for t in some]
                 lang = [x if ok else UNKNOWN for x, ok in zip(lang, letters, strict=True)]
                 family = [x if ok else UNKNOWN for x, ok in zip(family, letters, strict=True)]
                 own = [batch.column(2 + i).slice(first, len(some)) for i in range(len(keep))]

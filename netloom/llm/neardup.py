@@ -20,10 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators.components import connected_components
+from netloom.operators.hubs import join_by_key, needed
 from netloom.plans.session import cut
 
 WORDS, SEED, RADIUS = 3, 42, 2
@@ -31,6 +32,8 @@ WORDS, SEED, RADIUS = 3, 42, 2
 LEAVES = 1 << 16
 #: How many bits further down.
 STEP = 12
+#: A task is one subtree of a trie, or a pair of them.
+TASK = ("trie", "x", "y")
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -64,15 +67,18 @@ def majority(h: np.ndarray) -> np.uint64:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` for every row; a text without words, null included, has fingerprint 0."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, also: list[Column] | None = None) -> DataFrame:
+    """``doc_id, fp`` for every row, and columns ``also`` as ``c0`` ..; a text without words, null included, has fingerprint 0."""
+    more = [c.alias(f"c{i}") for i, c in enumerate(also or [])]
+    asked = docs.select("doc_id", "text", *more)
+    names = ["doc_id", "fp", *asked.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprint(t or b"", words, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), *batch.columns[2:]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return asked.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} {kind}" for c, kind in asked.dtypes[2:]))
 
 
 def _orders(radius: int) -> list[list[tuple[int, int]]]:
@@ -154,12 +160,16 @@ def _join_tasks(radius: int, depth: list[int]):
     a link: as many rows as leaves at most, whatever the number of links.
     """
 
+    def changes(table: pa.Table) -> np.ndarray:
+        """For each row but the first, whether another task begins."""
+        columns = [table.column(c).to_numpy() for c in TASK]
+        return np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+
     def work(table: pa.Table) -> pa.RecordBatch:
-        key = table.column("task").to_numpy()
         side = table.column("side").to_numpy()
         codes = table.column("code").to_numpy().view(np.uint64)
-        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (side[1:] != side[:-1]))))
-        last = np.append(first[1:], len(key))
+        first = np.flatnonzero(np.concatenate(([True], changes(table) | (side[1:] != side[:-1]))))
+        last = np.append(first[1:], len(side))
         ranges = np.column_stack((first, last))
         two = np.flatnonzero(side[first] == 1)
         own = np.setdiff1d(np.arange(len(first)), np.concatenate((two, two - 1)))
@@ -172,8 +182,8 @@ def _join_tasks(radius: int, depth: list[int]):
             b = np.concatenate((ranges[o], ranges[t]))
             links.append(descend(a, b, int(top), np.concatenate((spent[o], spent[t])).astype(np.int64), radius, codes))
         i, j = np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links])
-        low = _stars(i, j, len(key))
-        moved = np.flatnonzero(low != np.arange(len(key)))
+        low = _stars(i, j, len(side))
+        moved = np.flatnonzero(low != np.arange(len(side)))
         fp = table.column("fp").to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[low[moved]])], ["src", "dst"])
 
@@ -184,9 +194,9 @@ def _join_tasks(radius: int, depth: list[int]):
                 continue
             new = pa.Table.from_batches([batch])
             held = new if held is None else pa.concat_tables([held, new])
-            key = held.column("task").to_numpy()
-            whole = int(np.searchsorted(key, key[-1]))
-            if whole:
+            ends = np.flatnonzero(changes(held))
+            if len(ends):
+                whole = int(ends[-1]) + 1
                 yield work(held.slice(0, whole).combine_chunks())
                 held = held.slice(whole).combine_chunks()
         if held is not None and held.num_rows:
@@ -212,7 +222,7 @@ def trie_self_join(distinct: DataFrame, radius: int = RADIUS, leaves: int = LEAV
     leaf = leaf.withColumn("node", F.expr("shiftrightunsigned(code, top)"))
     sized = leaf.groupBy("trie", "node").count().where("count > 1")
     leaf = cut(leaf.join(sized, ["trie", "node"]))
-    small = leaf.where(F.col("count") <= leaves).select(F.xxhash64("trie", "node").alias("task"), "trie", "node", F.lit(0).alias("side"), F.lit(0).alias("spent"), "top", "code", "fp")
+    small = leaf.where(F.col("count") <= leaves).select("trie", F.col("node").alias("x"), F.lit(-1).cast("long").alias("y"), F.lit(0).alias("side"), F.lit(0).alias("spent"), "top", "code", "fp")
     big = leaf.where(F.col("count") > leaves)
     work = small
     if not big.isEmpty():
@@ -224,14 +234,21 @@ def trie_self_join(distinct: DataFrame, radius: int = RADIUS, leaves: int = LEAV
         there = children.select("trie", F.col("child").alias("other"))
         pair = turned.join(there, ["trie", "other"]).withColumn("spent", F.bit_count(F.col("child").bitwiseXOR(F.col("other"))))
         ends = F.when(F.col("child") == F.col("other"), F.array(F.struct(F.lit(0).alias("side"), F.col("child").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("child").alias("at")), F.struct(F.lit(1).alias("side"), F.col("other").alias("at"))))
-        tagged = pair.select("trie", "node", F.xxhash64("trie", "child", "other", F.lit(1)).alias("task"), "spent", F.explode(ends).alias("e")).select("trie", "task", "spent", "e.side", F.col("e.at").alias("child"))
-        deep = tagged.join(big.select("trie", "child", "low_top", "code", "fp", "node"), ["trie", "child"])
-        work = small.unionByName(deep.select("task", "trie", "node", "side", "spent", F.col("low_top").alias("top"), "code", "fp"))
-    dealt = work.repartition("task").sortWithinPartitions("task", "side", "code").select("task", F.col("side").cast("int"), F.col("spent").cast("int"), F.col("top").cast("int"), "code", "fp")
+        tagged = pair.select("trie", F.col("child").alias("x"), F.col("other").alias("y"), "spent", F.explode(ends).alias("e")).select("trie", "x", "y", "spent", "e.side", F.col("e.at").alias("child"))
+        deep = tagged.join(big.select("trie", "child", "low_top", "code", "fp"), ["trie", "child"])
+        work = small.unionByName(deep.select(*TASK, "side", "spent", F.col("low_top").alias("top"), "code", "fp"))
+    dealt = work.repartition(*TASK).sortWithinPartitions(*TASK, "side", "code").select(*TASK, F.col("side").cast("int"), F.col("spent").cast("int"), F.col("top").cast("int"), "code", "fp")
     return dealt.mapInArrow(_join_tasks(radius, depth), "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def components_of(marked: DataFrame, radius: int) -> DataFrame:
+    """``fp, n, low, component``: how many rows of ``marked`` (``doc_id, fp``) have a fingerprint, their smallest id, and its group."""
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    component = connected_components(trie_self_join(distinct, radius)).select(F.col("id").alias("fp"), "component")
+    return distinct.join(component, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
     Rows are linked when their fingerprints differ in at most ``radius`` bits;
@@ -241,25 +258,35 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     own; a null ``doc_id`` keeps its row and never names a group that has an
     id; other columns are ignored; an empty table gives an empty result.
     """
-    marked = cut(fingerprints(docs))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    component = connected_components(trie_self_join(distinct, radius)).select(F.col("id").alias("fp"), "component")
-    grouped = distinct.join(component, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    marked = cut(fingerprints(docs, words))
+    grouped = components_of(marked, radius)
     named = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    group = grouped.select("fp", "component").join(named, "component").select("fp", "component_id")
-    return marked.join(group, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    group = grouped.select("fp", "n", "component").join(named, "component").select("fp", "n", "component_id")
+    told = join_by_key(marked, group, ["fp"], "n", marked.count())
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group does: the one with the smallest id.
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each group does: the one with the smallest id, then the smallest text hash.
 
-    Of rows that share that id one stays, the smallest by all its columns; a
-    group without any id keeps one row the same way.
+    Rows are told by id and text, so unlinked texts that share an id, or have
+    none, all stay; a row without an id stands for a group only where no row
+    has one.  Of rows with equal id and text one stays, the smallest by all its
+    columns.  Texts are shuffled only for rows that share an id with one that
+    goes.
     """
-    columns = docs.columns
-    group = near_duplicates(docs, radius)
-    chosen = group.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    order = [F.col(c) for c in columns if c != "doc_id"]
-    ranked = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    return ranked.where("_n = 1").select(*columns)
+    body = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    marked = cut(fingerprints(docs, words, also=[body]).withColumnRenamed("c0", "body"))
+    total = marked.count()
+    group = components_of(marked, radius).select("fp", "n", "component")
+    rows = cut(join_by_key(marked, group, ["fp"], "n", total).select("component", F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "body").alias("row")))
+    best = rows.groupBy("component").agg(F.min("row").alias("best"), F.count("*").alias("n")).where("n > 1")
+    judged = join_by_key(rows, best, ["component"], "n", total)
+    goes = cut(judged.groupBy("row").agg(F.count("*").alias("copies"), F.max((F.col("row") == F.col("best")).cast("int")).alias("stays")).where("stays = 0 or copies > 1").select("row.doc_id", "row.body", "stays"))
+    touched, untouched = needed(docs, F.col("doc_id"), goes.select("doc_id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = touched.select(F.struct(*columns).alias("row"), F.struct(F.col("doc_id").alias("id"), body.alias("body")).alias("key"))
+    told = goes.select(F.struct(F.col("doc_id").alias("id"), "body").alias("key"), "stays")
+    free = packed.join(told, packed["key"].eqNullSafe(told["key"]), "left_anti").select("row.*")
+    one = packed.join(told.where("stays = 1").withColumnRenamed("key", "of"), F.col("key").eqNullSafe(F.col("of"))).groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+    return untouched.union(free).union(one)
