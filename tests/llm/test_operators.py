@@ -255,6 +255,63 @@ def test_field_adds_and_base_stays(spark, docs):
     assert by_id(pii.redact(spark.createDataFrame(rows, "doc_id long, text string"), weights))[5]["text"] == "é <ip> é"
 
 
+def _drawn_stretches(spark, n=150):
+    """Stretches with base spans, of texts that the field was not fitted on."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 7 = 3").where(F.col("text").rlike("[0-9@]")).select("text").collect()
+    out = []
+    for r in rows:
+        base = pii.base_spans(r["text"])
+        for at, stretch, before, after in pii.stretches(r["text"]):
+            own = [(s - at, e - at, k) for s, e, k in base if at <= s and e <= at + len(stretch)]
+            out.append((stretch, before, after, own))
+    return out
+
+
+def test_field_finds_what_the_patterns_cannot(spark):
+    """Recall and precision on held-out stretches whose spans were rewritten so that most match no base pattern."""
+    weights = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 7 <> 3"))
+    draw, found, true, both, by_base = np.random.default_rng(1), 0, 0, 0, 0
+    for stretch, before, after, own in _drawn_stretches(spark):
+        text, spans = pii.spoiled(stretch, own, draw)
+        base, every = pii.spans_of(before + text + after, weights)
+        got = {(s - len(before), e - len(before), k) for s, e, k in every}
+        found, true, both = found + len(got), true + len(spans), both + len(got & set(spans))
+        by_base += len({(s - len(before), e - len(before), k) for s, e, k in base} & set(spans))
+    assert true > 80 and by_base < 0.4 * true
+    assert both >= 0.95 * true and both >= 0.95 * found
+    for text in ("Version 2.0.1 of 2024-01-02", "GNU GPL 3.0, Apache 2.0", "9807915762804490", "token = 9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "look at the dot above"):
+        assert pii.spans_of(text, weights) == ([], [])
+
+
+def test_rewritten_spans_lie_where_they_are_said_to():
+    draw = np.random.default_rng(2)
+    for _ in range(50):
+        spans = pii.base_spans(PERSONAL)
+        text, moved = pii.spoiled(PERSONAL, spans, draw)
+        digits = lambda t: re.sub("[^0-9a-z]|dot|at", "", t)
+        assert [k for _, _, k in moved] == [k for _, _, k in spans]
+        assert all(digits(text[s:e]).lstrip("0") == digits(PERSONAL[x:y]) for (s, e, _), (x, y, _) in zip(moved, spans, strict=True))
+
+
+def test_decode_against_enumeration():
+    draw = np.random.default_rng(3)
+    for _ in range(30):
+        segments = [(i, j, pii.KINDS[int(draw.integers(4))], draw.normal(size=3)) for i in range(6) for j in range(i + 1, 7) if draw.random() < 0.4]
+        weights = {k: draw.normal(size=3) for k in pii.KINDS}
+
+        def best(at, segments=segments, weights=weights):
+            if at == 6:
+                return 0.0, []
+            options = [best(at + 1)]
+            for i, j, k, x in segments:
+                if i == at:
+                    s, rest = best(j)
+                    options.append((s + float(weights[k] @ x), [(i, j, k), *rest]))
+            return max(options, key=lambda o: o[0])
+
+        assert pii.decode(pii.Lattice(list(range(7)), segments), weights) == best(0)[1]
+
+
 def test_expectations_match_enumeration():
     draw = np.random.default_rng(2)
     scored = [(i, j, float(draw.normal())) for i in range(5) for j in range(i + 1, 6) if draw.random() < 0.6]
@@ -338,10 +395,12 @@ def test_quality_against_dense_algebra(spark):
     learn = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(len(texts))])
     kernel = quality_model.Kernel(x[learn].mean(0), x[learn].std(0))
     z = kernel(x)
-    near = z[:, :-1] @ z[:, :-1].T
+    # with many features the products come to the Gaussian kernel itself
+    wide = quality_model.Kernel(kernel.mean, kernel.sd, features=40_000)(x)[:, :-1]
+    near = wide @ wide.T
     unit = np.clip((x - kernel.mean) / kernel.sd, -8, 8)
     gauss = np.exp(-((unit[:, None] - unit[None]) ** 2).sum(2) / (2 * quality_model.WIDTH**2))
-    assert np.abs(near - gauss).mean() < 0.06
+    assert np.abs(near - gauss).max() < 0.04
     n, target = int(learn.sum()), np.array(y, float)
     weights = np.linalg.solve(z[learn].T @ z[learn] + quality_model.RIDGE * n * np.diag([1.0] * quality_model.FEATURES + [1e-9]), z[learn].T @ target[learn])
     raw = z @ weights
@@ -486,7 +545,7 @@ CLASH = ["gone", "_b", "_id", "_n", "row", "key", "of", "id", "body", "at", "lin
 def test_clashing_column_names(spark):
     rows = [(1, "the same line of a text\nand one more of it", "x"), (2, "the same line of a text", "y"), (None, "quite another text without an id", "z")]
     plain = spark.createDataFrame(rows, "doc_id long, text string, a string")
-    docs = plain.select("doc_id", "text", *[F.col("a").alias(c) for c in CLASH])
+    docs = plain.select("doc_id", "text", F.lit("en").alias("lang"), *[F.col("a").alias(c) for c in CLASH])
     from netloom.llm import linededup
 
     assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "", None: rows[2][1]}
