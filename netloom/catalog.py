@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.stats import fisher, hazen, t_one, t_pooled, t_welch, with_p_value
-from netloom.operators import evaluate, learn, network, ontology, propagate, sampling, tailstat
+from netloom.operators import evaluate, learn, matrix, network, ontology, propagate, sampling, tailstat
 from netloom.plans import fixtures as fx
-from netloom.plans.session import shared_dir
+from netloom.plans.session import cut, shared_dir
 from netloom.sources import sinks, text
 from netloom.streaming import scores
 
@@ -46,6 +46,11 @@ def _six(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _log_p():
+    """Small p-values differ in their logarithm, where plain rounding would make them all 0."""
+    return F.round(F.log10(F.greatest("p", F.lit(1e-250))), 4).alias("log_p")
+
+
 # --- networks ---------------------------------------------------------------------------------
 
 A, B = f"WITH {fx.NET_A}", f"WITH {fx.NET_A}, {fx.NET_B}"
@@ -106,13 +111,29 @@ def edge_weight(spark, sf_dir):
     return _six(network.edge_weights(_net(spark, sf_dir), pairs), "w")
 
 
-@query(f"{CUT}, c AS (SELECT src, dst, CASE WHEN src LIKE '%7' THEN 0 ELSE 0.5 END AS w FROM e WHERE src LIKE '%7' OR src LIKE '%3') SELECT src, dst, round(w, 6) AS w FROM (SELECT e.src, e.dst, coalesce(CAST(c.w AS DOUBLE), e.w) AS w FROM e LEFT JOIN c USING (src, dst)) WHERE w > 0")
+@query(f"{CUT}, u AS (SELECT src, dst, CASE WHEN src LIKE '%7' THEN 0 WHEN src LIKE '%3' THEN 0.5 ELSE w END AS w FROM e) SELECT src, dst, round(w, 6) AS w FROM u WHERE w > 0")
 def edge_update(spark, sf_dir):
     net = _net(spark, sf_dir)
     changes = net.edges.where(F.col("src").endswith("7") | F.col("src").endswith("3")).select("src", "dst", F.when(F.col("src").endswith("7"), 0.0).otherwise(0.5).alias("w"))
     return _six(network.set_edges(net, changes).edges, "w")
 
 
+@query(f"{CUT} SELECT CASE WHEN src LIKE '%7' THEN 'x' || src ELSE src END AS a, CASE WHEN dst LIKE '%7' THEN 'x' || dst ELSE dst END AS b, round(w, 6) AS w FROM e")
+def net_renamed(spark, sf_dir):
+    to = _few(spark, sf_dir).withColumn("name", F.concat(F.lit("x"), "id"))
+    e = network.renamed(_net(spark, sf_dir), to).edges
+    # ends of an undirected edge in the order of the old names, as the SQL has them
+    old = lambda c: F.regexp_replace(c, "^x", "")
+    swap = old("src") > old("dst")
+    return _six(e.select(F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("b"), "w"), "w")
+
+
+@query(f"{CUT} SELECT id FROM v WHERE id LIKE '%7'")
+def net_cleared(spark, sf_dir):
+    net = network.with_vertices(_net(spark, sf_dir), _few(spark, sf_dir))
+    return net.vertices.join(network.without_edges(net).edges.select(F.col("src").alias("id")), "id", "left_anti")
+
+
 DEGREE = "d AS (SELECT v.id, count(a.src) AS degree, coalesce(sum(a.w), 0) AS wd FROM v LEFT JOIN arcs a ON a.src = v.id GROUP BY v.id)"
 
 
@@ -234,7 +255,7 @@ def adjacency_upper(spark, sf_dir):
 
 @query(f"{CUT}, {DEGREE} SELECT id, degree FROM d")
 def rewire_degree_check(spark, sf_dir):
-    return network.degrees(network.rewire(_net(spark, sf_dir), rounds=2, seed=1)).select("id", "degree")
+    return network.degrees(network.rewire(_net(spark, sf_dir), 0.5, seed=1)).select("id", "degree")
 
 
 @query(f"{SPARSE} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM e) AS n_different")
@@ -304,7 +325,7 @@ def flow_cv(spark, sf_dir):
 
 @query()
 def mrf_scores(spark, sf_dir):
-    return propagate.random_field(_net(spark, sf_dir), _seeds(spark, sf_dir), alpha=-1.0, beta=0.9, gamma=1.2, seed=1)
+    return propagate.random_field(_net(spark, sf_dir), _seeds(spark, sf_dir), alpha=-1.0, beta=0.9, gamma=1.2, burn_in=20, sweeps=20, lag=2, seed=1)
 
 
 @query("SELECT count(*) FILTER (p_size <= 5) AS n_positive, count(*) AS n, CAST(greatest(1, floor(0.2 * count(*) FILTER (p_size <= 5))) AS BIGINT) AS n_swapped FROM part")
@@ -404,7 +425,7 @@ def tail_cutoff(spark, sf_dir):
 
 
 def _table(spark, sf_dir):
-    scores = _combined(spark, sf_dir)
+    scores = cut(_combined(spark, sf_dir))
     return tailstat.contingency(scores, tailstat.cutoff(scores))
 
 
@@ -413,9 +434,9 @@ def tail_contingency(spark, sf_dir):
     return _table(spark, sf_dir)
 
 
-@query(f"{TABLE} SELECT round(p, 6) AS p FROM {_fisher_sql('tab', 'right')}")
+@query(f"{TABLE} SELECT round(log10(greatest(p, 1e-250)), 4) AS log_p FROM {_fisher_sql('tab', 'right')}")
 def tail_pvalue(spark, sf_dir):
-    return _six(tailstat.statistics(_table(spark, sf_dir)).select("p"), "p")
+    return tailstat.statistics(_table(spark, sf_dir)).select(_log_p())
 
 
 @query(f"{TABLE} SELECT round((d / (d + c)) / nullif(b / (b + a), 0), 6) AS lr FROM tab")
@@ -438,18 +459,18 @@ BY_CUT = f"{BY}, cut AS (SELECT brand, greatest(q, 1e-16) AS cutoff FROM {_hazen
 BY_TABLE = f"{BY_CUT}, tab AS (SELECT brand, count(*) FILTER (grp = 'control' AND score < cutoff) AS a, count(*) FILTER (grp = 'control' AND score >= cutoff) AS b, count(*) FILTER (grp = 'case' AND score < cutoff) AS c, count(*) FILTER (grp = 'case' AND score >= cutoff) AS d FROM comb JOIN cut USING (brand) GROUP BY brand)"
 
 
-@query(f"{BY_TABLE} SELECT brand, a, b, c, d, round(p, 6) AS p FROM {_fisher_sql('tab', 'right', 'brand')}")
+@query(f"{BY_TABLE} SELECT brand, a, b, c, d, round(log10(greatest(p, 1e-250)), 4) AS log_p FROM {_fisher_sql('tab', 'right', 'brand')}")
 def tail_by_group(spark, sf_dir):
     brand = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("gene"), F.col("p_brand").alias("brand"))
     variants = fx.variants(spark, sf_dir).join(brand, "gene")
     scores = tailstat.combine(variants, _variant_scores(spark, sf_dir), fx.gene_scores(spark, sf_dir), keys=("brand", "grp"))
     table = tailstat.contingency(scores, tailstat.cutoff(scores, keys=["brand"]), ["brand"])
-    return _six(tailstat.statistics(table).select("brand", "a", "b", "c", "d", "p"), "p")
+    return tailstat.statistics(table).select("brand", "a", "b", "c", "d", _log_p())
 
 
 @query()
 def tail_bootstrap(spark, sf_dir):
-    drawn = tailstat.bootstrap(fx.variants(spark, sf_dir), 20, seed=1)
+    drawn = tailstat.bootstrap(fx.variants(spark, sf_dir), 100, seed=1)
     scores = tailstat.combine(drawn, _variant_scores(spark, sf_dir), fx.gene_scores(spark, sf_dir), keys=("rep", "grp"))
     table = tailstat.contingency(scores, tailstat.cutoff(scores, keys=["rep"]), ["rep"])
     return tailstat.statistics(table)
@@ -566,11 +587,11 @@ def _fisher(tail: str) -> None:
         small, cheap = F.col("p_size") <= 5, F.col("p_retailprice") < 1300
         n = lambda c: F.sum(c.cast("long"))
         tables = fx.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(n(small & cheap).alias("a"), n(small & ~cheap).alias("b"), n(~small & cheap).alias("c"), n(~small & ~cheap).alias("d"))
-        return _six(fisher(tables, tail), "p")
+        return fisher(tables, tail).select("brand", "a", "b", "c", "d", _log_p())
 
     tested.__name__ = f"fisher_{tail}"
     # with "both" a table may tie with its mirror image, so that side has no SQL that must agree
-    query(f"WITH tab AS ({TABLES}) SELECT brand, a, b, c, d, round(p, 6) AS p FROM {_fisher_sql('tab', tail, 'brand')}" if tail != "both" else None)(tested)
+    query(f"WITH tab AS ({TABLES}) SELECT brand, a, b, c, d, round(log10(greatest(p, 1e-250)), 4) AS log_p FROM {_fisher_sql('tab', tail, 'brand')}" if tail != "both" else None)(tested)
 
 
 for _tail in ("left", "right", "both"):
@@ -877,6 +898,97 @@ def io_ontology_file(spark, sf_dir):
     return text.read_obo(spark, path)["rel"]
 
 
+TERMS = "SELECT DISTINCT id FROM term"
+
+
+@query(f"{ONT} SELECT s.id, CASE WHEN t.id IS NULL THEN NULL ELSE 'name of ' || t.id END AS name FROM (SELECT 'S:' || CAST(s_suppkey + 3 AS STRING) AS id FROM supplier) s LEFT JOIN ({TERMS}) t ON t.id = s.id")
+def ont_names(spark, sf_dir):
+    known = ontology.terms(fx.ontology(spark, sf_dir)).select("id", F.concat(F.lit("name of "), "id").alias("name"))
+    return ontology.names(known, fx.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S:"), (F.col("s_suppkey") + 3).cast("string")).alias("id")))
+
+
+@query(f"{ONT} SELECT child, parent FROM ont")
+def ont_saved(spark, sf_dir):
+    rel, path = fx.ontology(spark, sf_dir), _scratch(spark)
+    known = ontology.terms(rel).withColumn("name", F.lit(""))
+    sinks.save_ontology({"terms": known, "rel": rel, "alt": known.limit(0).select(F.col("id").alias("alt_id"), "id")}, path)
+    return sinks.load_ontology(spark, path)["rel"]
+
+
+def _some_parts(spark, sf_dir):
+    return fx.genes(spark, sf_dir).where("id like '%7'").select(F.col("id").alias("seq"))
+
+
+@query(f"WITH {fx.ANNOTATION} SELECT seq, term FROM anno WHERE seq LIKE '%7'")
+def anno_terms_of(spark, sf_dir):
+    return ontology.terms_of(fx.annotation(spark, sf_dir), _some_parts(spark, sf_dir))
+
+
+@query(f"WITH {fx.ANNOTATION} SELECT term, seq FROM anno WHERE term IN ('S:1', 'S:2', 'S:3')")
+def anno_sequences_of(spark, sf_dir):
+    wanted = fx.table(spark, sf_dir, "supplier").where("s_suppkey between 1 and 3").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("term"))
+    return ontology.sequences_of(fx.annotation(spark, sf_dir), wanted)
+
+
+@query(f"WITH {fx.ANNOTATION} SELECT seq, term FROM anno WHERE NOT (seq LIKE '%7' AND term <> 'S:1') UNION SELECT id, 'S:1' FROM ({fx.GENES}) WHERE id LIKE '%7'")
+def anno_edited(spark, sf_dir):
+    anno = fx.annotation(spark, sf_dir).select("seq", "term")
+    some = _some_parts(spark, sf_dir)
+    gone = ontology.terms_of(anno, some).where("term <> 'S:1'")
+    return ontology.add_annotations(ontology.remove_annotations(anno, gone), some.withColumn("term", F.lit("S:1")))
+
+
+@query(f"{ONT}, {fx.ANNOTATION}, p AS (SELECT a.seq, c.ancestor AS term, max(a.score) AS score FROM anno a JOIN clo c ON c.id = a.term WHERE a.seq LIKE '%7' GROUP BY 1, 2) SELECT g.seq, t.id AS term, round(coalesce(p.score, 0), 6) AS score FROM (SELECT DISTINCT seq FROM anno WHERE seq LIKE '%7') g CROSS JOIN ({TERMS}) t LEFT JOIN p ON p.seq = g.seq AND p.term = t.id")
+def cafa_load(spark, sf_dir):
+    """Terms come in under other names and a term that the ontology does not know."""
+    rel = fx.ontology(spark, sf_dir)
+    known = ontology.terms(rel)
+    alt = known.select(F.concat(F.lit("alt "), "id").alias("alt_id"), "id")
+    rows = fx.annotation(spark, sf_dir).join(_some_parts(spark, sf_dir), "seq", "left_semi")
+    odd = F.when(F.length("seq") % 2 == 0, F.col("term")).otherwise(F.concat(F.lit("alt "), "term"))
+    rows = rows.select("seq", odd.alias("term"), "score").union(rows.select("seq", F.lit("none").alias("term"), "score"))
+    return _six(ontology.load_predictions(rows, known, alt, rel), "score")
+
+
+# --- matrices ---------------------------------------------------------------------------------
+
+CELLS = "cells AS (SELECT CAST(user_id AS STRING) AS row_tag, event_type AS col_tag, max(value) AS v FROM events GROUP BY 1, 2)"
+
+
+def _cells(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("row_tag"), F.col("event_type").alias("col_tag")).agg(F.max("value").alias("v"))
+
+
+@query(f"WITH {CELLS} SELECT w.at, c.row_tag, c.col_tag, round(c.v, 6) AS v FROM (SELECT c_custkey AS at, CAST(c_custkey % 50 AS STRING) AS row_tag FROM customer) w JOIN cells c USING (row_tag)")
+def matrix_subset(spark, sf_dir):
+    wanted = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("at"), (F.col("c_custkey") % 50).cast("string").alias("row_tag"))
+    return _six(matrix.subset(_cells(spark, sf_dir), wanted), "v")
+
+
+@query(f"WITH {CELLS}, r AS (SELECT DISTINCT CAST(c_custkey AS STRING) AS row_tag FROM customer), k AS (SELECT DISTINCT col_tag FROM cells) SELECT r.row_tag, k.col_tag, round(coalesce(c.v, 0), 6) AS v FROM r CROSS JOIN k LEFT JOIN cells c ON c.row_tag = r.row_tag AND c.col_tag = k.col_tag")
+def matrix_project(spark, sf_dir):
+    return _six(matrix.project(_cells(spark, sf_dir), fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("row_tag"))), "v")
+
+
+@query(f"WITH {CELLS}, k AS (SELECT min(col_tag) AS gone FROM cells) SELECT row_tag, col_tag, CASE WHEN row_tag LIKE '%3' THEN 1.5 ELSE round(v, 6) END AS v FROM cells, k WHERE row_tag NOT LIKE '%7' AND col_tag <> gone")
+def matrix_edited(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    kept = matrix.remove(cells, cells.where("row_tag like '%7'"), cells.agg(F.min("col_tag").alias("col_tag")))
+    return _six(matrix.put(kept, kept.where("row_tag like '%3'").withColumn("v", F.lit(1.5))), "v")
+
+
+@query(f"WITH {CELLS} SELECT row_tag, col_tag, round(v, 6) AS v FROM cells")
+def matrix_saved(spark, sf_dir):
+    path = _scratch(spark)
+    sinks.save_matrix(_cells(spark, sf_dir), path)
+    return _six(sinks.load_matrix(spark, path), "v")
+
+
+@query(f"WITH {CELLS} SELECT count(DISTINCT row_tag) AS n_rows, count(DISTINCT col_tag) AS n_cols, count(*) AS n_cells FROM cells")
+def matrix_size(spark, sf_dir):
+    return matrix.size(_cells(spark, sf_dir))
+
+
 # --- learning ---------------------------------------------------------------------------------
 
 
@@ -893,20 +1005,20 @@ def _series(spark, sf_dir):
 @query()
 def nn_predict(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return learn.predict(rows, learn.train(rows, learn.Settings(epochs=12)))
+    return learn.predict(rows, learn.train(rows, learn.Settings()))
 
 
 @query()
 def ensemble_predict(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return learn.predict_out_of_bag(rows, learn.train(rows, learn.Settings(epochs=8, models=4)))
+    return learn.predict_out_of_bag(rows, learn.train(rows, learn.Settings(models=4)))
 
 
 @query()
 def term_ensemble_predict(spark, sf_dir):
     names = [f"t{k}" for k in range(10)]
     rows = _vectors(spark, sf_dir).withColumn("y", F.transform("y", lambda v, k: F.when(k == 0, F.aggregate(F.slice("y", 1, 5), F.lit(0.0), lambda a, b: F.greatest(a, b))).otherwise(v)))
-    model = learn.train_terms(rows, names, [(n, "t0") for n in names[1:5]], learn.Settings(epochs=6, models=2, loss="mse_con_reg"))
+    model = learn.train_terms(rows, names, [(n, "t0") for n in names[1:5]], learn.Settings(models=2, loss="mse_con_reg"))
     return learn.predict_terms(rows, model)
 
 

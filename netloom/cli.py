@@ -36,7 +36,9 @@ def nbp(spark: SparkSession, o: argparse.Namespace) -> None:
     elif o.algo == 0:
         scores = propagate.one_time(propagate.functional_flow(net, seeds, o.d, capacity), genes)
     else:
-        raw = propagate.random_field(net, seeds, o.alpha, o.beta, o.gamma, o.pi, o.burn_in, o.nsim, o.lag_period, o.chains, o.seed)
+        # nsim sweeps are shared out between the chains; each keeps one sample at least
+        sweeps = o.lag_period * -(-o.nsim // (o.chains * o.lag_period))
+        raw = propagate.random_field(net, seeds, o.alpha, o.beta, o.gamma, o.pi, o.burn_in, sweeps, o.lag_period, o.chains, o.seed)
         scores = propagate.one_time(raw, genes)
     sinks.save_table(scores.select("id", "score"), o.o)
 
@@ -129,7 +131,7 @@ def quantile(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
 PROGRAMS = {
     "make-net": (make_net, ["e", "o"], {"n": None, "d": "\t"}, []),
     "merge-net": (merge_net, ["n1", "n2", "o"], {"scheme": "min", "remove-singletons": "y"}, []),
-    "nbp": (nbp, ["n", "g", "o"], {"algo": 0, "cutoff": 0.5, "nfolds": 1, "rewire": 0, "shuffle": 0.0, "seed": 0, "ctype": 0, "d": 5, "pi": None, "alpha": 0.0, "beta": 0.0, "gamma": 0.0, "burn-in": 4, "lag-period": 2, "nsim": 8, "chains": 16}, []),
+    "nbp": (nbp, ["n", "g", "o"], {"algo": 0, "cutoff": 0.5, "nfolds": 1, "rewire": 0.0, "shuffle": 0.0, "seed": 0, "ctype": 0, "d": 5, "pi": None, "alpha": 0.0, "beta": 0.0, "gamma": 0.0, "burn-in": 100, "lag-period": 10, "nsim": 2000, "chains": 16}, []),
     "tail-stat": (tail_stat, ["c", "t", "v", "g"], {"vcutoff": 0.0, "vmild": None, "excl": None, "enforce": None, "stat": "pvalue", "q": 0.95, "log": "n", "outfmt": 0, "bootstrap": 0, "seed": 0}, []),
     "align-score": (align_score, ["g", "s", "o"], {"pos": None, "neg": None}, []),
     "get-auc": (get_auc, [], {}, ["labels", "predictions"]),
@@ -159,11 +161,13 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame | None:
-    """Run one program; one that only prints shows its result and returns it."""
+    """Run one program; one that only prints writes all rows of its result, a partition at a time, and returns it."""
     options = parser().parse_args(arguments)
     shown = PROGRAMS[options.program][0](spark or local_session(), options)
     if shown is not None:
-        shown.show(1000, truncate=False)
+        print("\t".join(shown.columns))
+        for row in shown.toLocalIterator():
+            print("\t".join("" if v is None else str(v) for v in row))
     return shown
 
 

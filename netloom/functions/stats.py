@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,36 +55,106 @@ def running(rows: DataFrame, order: str, columns: list[str], descending: bool =
     return local.join(totals, [*keys, "_part"]).select(*rows.columns, *[(F.col(f"_l{i}") + F.col(f"_b{i}")).alias(f"{c}_upto") for i, c in enumerate(columns)])
 
 
-def log_factorial(n: Column) -> Column:
-    """Natural logarithm of n!: exact sums up to 255, Stirling's series beyond."""
-    x = n.cast("double") + 1
-    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5))
-    small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(255)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + F.log(k.cast("double")))
-    return F.when(n <= 255, small).otherwise(series)
+TAILS = ("left", "right", "both")
 
 
-TAILS = ("left", "right", "both")
+def _stirling_error(n: np.ndarray) -> np.ndarray:
+    """log n! less Stirling's formula for it: exact for small n, the first terms of the series beyond."""
+    small = np.array([math.lgamma(k + 1) - ((k + 0.5) * math.log(k) - k + 0.5 * math.log(2 * math.pi)) if k else 0.0 for k in range(16)])
+    x = np.maximum(n, 16)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
+    return np.where(n < 16, small[np.minimum(n, 15).astype(int)], series)
+
+
+def _deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """x log(x / mean) + mean - x, without cancellation where x is near the mean."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v = (x - mean) / (x + mean)
+        out, term = (x - mean) * v, 2 * x * v
+        for j in range(1, 12):
+            term = term * v * v
+            out = out + term / (2 * j + 1)
+        far = x * np.log(np.where(x > 0, x, 1) / mean) + mean - x
+    return np.where(np.abs(x - mean) < 0.1 * (x + mean), out, np.where(x > 0, far, mean))
+
+
+def _log_binomial(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log of the binomial probability of ``x``, by its saddle point."""
+    q = 1 - p
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inner = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q) + 0.5 * np.log(n / (2 * math.pi * np.where((x > 0) & (x < n), x * (n - x), 1)))
+        edge = np.where(x == 0, n * np.log1p(-p), n * np.log(np.where(p > 0, p, 1)))
+    return np.where((x > 0) & (x < n), inner, np.where(n > 0, edge, 0.0))
+
+
+def _log_hypergeometric(a: np.ndarray, ab: np.ndarray, cd: np.ndarray, ac: np.ndarray) -> np.ndarray:
+    p = np.where(ab + cd > 0, ac / np.maximum(ab + cd, 1), 0.0)
+    return _log_binomial(a, ab, p) + _log_binomial(ac - a, cd, p) - _log_binomial(ac, ab + cd, p)
+
+
+def _tail_sum(a: float, ab: float, cd: float, ac: float, up: bool) -> float:
+    """The sum of the probabilities from ``a`` on outwards, relative to that of ``a``, until terms no longer count."""
+    total, term, at = 1.0, 1.0, a
+    while True:
+        steps = at + np.arange(0, 4096) * (1 if up else -1)
+        if up:
+            ratio = (ab - steps) * (ac - steps) / ((steps + 1) * (cd - ac + steps + 1))
+        else:
+            ratio = steps * (cd - ac + steps) / ((ab - steps + 1) * (ac - steps + 1))
+        terms = term * np.cumprod(np.maximum(ratio, 0.0))
+        total += terms.sum()
+        term, at = terms[-1], steps[-1] + (1 if up else -1)
+        if term <= total * 1e-17:
+            return total
+
+
+def exact_p(a: float, b: float, c: float, d: float, tail: str) -> float:
+    """p-value of one 2 x 2 table; sums run outwards from the observed cell, away from the mode, so small ones are exact too."""
+    ab, cd, ac = a + b, c + d, a + c
+    mode = math.floor((ab + 1) * (ac + 1) / (ab + cd + 2))
+    log_p = lambda k: float(_log_hypergeometric(*(np.array([float(v)]) for v in (k, ab, cd, ac)))[0])
+    own = log_p(a)
+    side = lambda k, up: math.exp(min(0.0, log_p(k) + math.log(_tail_sum(k, ab, cd, ac, up))))
+    low, high = max(0.0, ac - cd), min(ab, ac)
+    if tail != "both":
+        up = tail == "right"
+        if (a >= mode) == up or a == mode:
+            return side(a, up)
+        other = a - 1 if up else a + 1
+        return 1.0 - side(other, not up) if low <= other <= high else 1.0
+    if a == mode:
+        return 1.0
+    up = a > mode
+    # the first cell on the other side of the mode that is not likelier
+    near, far = (mode, low) if up else (mode, high)
+    most = own + 1e-7
+    if log_p(far) > most:
+        return min(1.0, side(a, up))
+    while abs(near - far) > 1:
+        middle = float((near + far) // 2)
+        near, far = (near, middle) if log_p(middle) <= most else (middle, far)
+    edge = near if log_p(near) <= most else far
+    return min(1.0, side(a, up) + side(edge, not up))
 
 
 def fisher(tables: DataFrame, tail: str = "right", cells: tuple[str, str, str, str] = ("a", "b", "c", "d"), name: str = "p") -> DataFrame:
     """Add the exact test's p-value of 2 x 2 tables.
 
     ``left`` sums the hypergeometric probabilities up to ``a``, ``right`` from
-    ``a``, ``both`` all that are not above that of ``a``.  The possible values of
-    ``a`` are rows of their own while they are summed; a null cell gives null.
+    ``a``, ``both`` all that are not above that of ``a``, but for a share of
+    1e-7.  Each row is summed from its own cell outwards; only terms that count
+    are formed, so the work grows with the spread of the distribution and not
+    with the cells.  A null cell gives null.
     """
     if tail not in TAILS:
         raise ValueError(f"tail is one of {TAILS}")
-    a, b, c, d = (F.col(x).cast("long") for x in cells)
-    low, high = F.greatest(F.lit(0).cast("long"), a - d), F.least(a + b, a + c)
-    fixed = log_factorial(a + b) + log_factorial(c + d) + log_factorial(a + c) + log_factorial(b + d) - log_factorial(a + b + c + d)
-    log_p = lambda k: F.col("_fixed") - log_factorial(k) - log_factorial(F.col("_ab") - k) - log_factorial(F.col("_ac") - k) - log_factorial(F.col("_d_a") + k)
-    keyed = tables.withColumn("_row", F.monotonically_increasing_id())
-    spread = keyed.select("_row", a.alias("_a"), (a + b).alias("_ab"), (a + c).alias("_ac"), (d - a).alias("_d_a"), fixed.alias("_fixed"), F.explode(F.sequence(low, high)).alias("_k"))
-    point = spread.withColumn("_pk", F.exp(log_p(F.col("_k")))).withColumn("_pa", F.exp(log_p(F.col("_a"))))
-    counts = {"left": F.col("_k") <= F.col("_a"), "right": F.col("_k") >= F.col("_a"), "both": F.col("_pk") <= F.col("_pa")}[tail]
-    summed = point.where(counts).groupBy("_row").agg(F.least(F.sum("_pk"), F.lit(1.0)).alias(name))
-    return keyed.join(summed, "_row", "left").drop("_row")
+
+    @F.pandas_udf("double")
+    def tested(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        rows = zip(a, b, c, d, strict=True)
+        return pd.Series([None if any(pd.isna(v) for v in row) else exact_p(*map(float, row), tail) for row in rows], dtype="float64")
+
+    return tables.withColumn(name, tested(*[F.col(x).cast("long") for x in cells]))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -103,30 +173,39 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return out
 
 
-def student_cdf(t: float, df: float) -> float:
-    """Distribution function of Student's t."""
+def student_tail(t: float, df: float) -> float:
+    """Probability of a value above ``abs(t)`` of Student's t, worked out from that tail, so small ones keep their digits."""
     if not (df > 0) or math.isnan(t):
         return math.nan
     if math.isinf(t):
-        return float(t > 0)
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + (b * math.log1p(-x) if x < 1 else 0.0)) if t else 1.0
+        return 0.0
     if t == 0:
         return 0.5
-    tail = front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-    return 1 - tail / 2 if t > 0 else tail / 2
+    square = t * t
+    x, rest, a, b = df / (df + square), square / (df + square), df / 2, 0.5
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - a * math.log1p(square / df) + b * math.log(rest))
+    whole = front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, rest) / b
+    return whole / 2
+
+
+def student_p(t: float, df: float, tail: str = "both") -> float:
+    """p-value of ``t``: the probability of a value under it, above it, or further from 0 than it."""
+    beyond = student_tail(t, df)
+    if tail == "both":
+        return 2 * beyond
+    return beyond if (t > 0) == (tail == "right") else 1 - beyond
 
 
 def with_p_value(rows: DataFrame, tail: str = "both") -> DataFrame:
-    """Add ``p`` to rows with ``t`` and ``df``."""
+    """Add ``p`` to rows with ``t`` and ``df``; a null or a number that is none gives NaN."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            cdf = [student_cdf(t, d) if pd.notna(t) and pd.notna(d) else math.nan for t, d in zip(frame["t"], frame["df"], strict=True)]
-            frame["p"] = [c if tail == "left" else 1 - c if tail == "right" else 2 * min(c, 1 - c) for c in cdf]
-            yield frame
+    @F.pandas_udf("double")
+    def p(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([student_p(x, d, tail) if pd.notna(x) and pd.notna(d) else math.nan for x, d in zip(t, df, strict=True)], dtype="float64")
 
-    return rows.mapInPandas(run, ", ".join(f"{c} {k}" for c, k in rows.dtypes) + ", p double")
+    if tail not in TAILS:
+        raise ValueError(f"tail is one of {TAILS}")
+    return rows.withColumn("p", p(F.col("t").cast("double"), F.col("df").cast("double")))
 
 
 def t_one(mean: Column, sd: Column, n: Column) -> tuple[Column, Column]:

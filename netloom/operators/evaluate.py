@@ -24,18 +24,37 @@ def confusion(rows: DataFrame, keys: list[str] | None = None, weight: str | None
     return told.select(*keys, "tau", "tp", "fp", (F.col("_N") - F.col("fp")).alias("tn"), (F.col("_P") - F.col("tp")).alias("fn"))
 
 
+#: Most thresholds that confusion_at takes.
+MOST_TAUS = 1024
+
+
+def _reached(score: Column, taus: list[float], first: int = 0, last: int | None = None) -> Column:
+    """How many of the ordered thresholds a score reaches, by halving."""
+    last = len(taus) if last is None else last
+    if first == last:
+        return F.lit(first)
+    middle = (first + last) // 2
+    return F.when(score >= F.lit(taus[middle]), _reached(score, taus, middle + 1, last)).otherwise(_reached(score, taus, first, middle))
+
+
 def confusion_at(rows: DataFrame, taus: DataFrame, weight: str | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Confusion counts at the thresholds of a small table ``tau``.
+    """Confusion counts at the thresholds of a small table ``tau``, of MOST_TAUS at most.
 
-    The thresholds, a hundred or so, are sent to the scores; sums are combined
-    before they are shuffled.
+    Each row is put between two thresholds once; sums of the intervals are
+    combined before they are shuffled, and added up from the top.
     """
     keys = keys or []
+    listed = sorted(r["tau"] for r in taus.select("tau").where("tau is not null").distinct().limit(MOST_TAUS + 1).collect())
+    if len(listed) > MOST_TAUS:
+        raise ValueError(f"over {MOST_TAUS} thresholds; confusion() takes every different score")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    hit = F.col("score") >= F.col("tau")
-    n = lambda cond: F.sum(F.when(cond, w).otherwise(0.0))
     counted = rows.where("score is not null and label is not null")
-    return counted.crossJoin(F.broadcast(taus.select("tau").distinct())).groupBy(*keys, "tau").agg(n(hit & F.col("label")).alias("tp"), n(hit & ~F.col("label")).alias("fp"), n(~hit & ~F.col("label")).alias("tn"), n(~hit & F.col("label")).alias("fn"))
+    told = counted.groupBy(*keys, _reached(F.col("score"), listed).alias("i")).agg(F.sum(F.when(F.col("label"), w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("label"), 0.0).otherwise(w)).alias("n"))
+    whole = told.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "p", "n"))).alias("b")).where(F.size("b") > 0)
+    asked = F.array(*[F.struct(F.lit(t).alias("tau"), F.lit(j + 1).alias("j")) for j, t in enumerate(listed)]) if listed else F.array().cast("array<struct<tau:double,j:int>>")
+    at = whole.select(*keys, "b", F.explode(asked).alias("t")).select(*keys, "b", "t.tau", "t.j")
+    add = lambda field, over: F.aggregate(F.filter("b", lambda x: (x["i"] >= F.col("j")) if over else (x["i"] < F.col("j"))), F.lit(0.0), lambda s, x: s + x[field])
+    return at.select(*keys, "tau", add("p", True).alias("tp"), add("n", True).alias("fp"), add("n", False).alias("tn"), add("p", False).alias("fn"))
 
 
 def roc(cm: DataFrame) -> DataFrame:

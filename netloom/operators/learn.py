@@ -9,15 +9,16 @@ of row and member, so no bag is ever stored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.stats import t_welch, with_p_value
+from netloom.functions.stats import student_p
 from netloom.plans.session import cut
 
 ADDERS = 8
@@ -80,7 +81,7 @@ def loss(name: str, f: Array, y: Array, a: Array | None = None) -> tuple[Array,
 
 
 LOSSES = ("mse", "mae", "cross_entropy", "mse_con", "mse_con_reg", "sd")
-TRAINERS = ("gd", "rprop", "rmsprop", "minibatch")
+TRAINERS = ("gd", "sgd", "rprop", "rmsprop", "minibatch")
 
 
 @dataclass(frozen=True)
@@ -168,6 +169,8 @@ class Stepper:
         if self.s.trainer == "rmsprop":
             self.square = 0.9 * self.square + 0.1 * g * g
             return -self.s.rate * g / (np.sqrt(self.square) + 1e-8)
+        if self.s.trainer == "sgd":
+            return -g
         return -self.s.rate * g
 
 
@@ -181,6 +184,19 @@ def bag_weights(key: Array, member: int, seed: int) -> Array:
     return np.searchsorted(np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(12)]), u).astype(float)
 
 
+def _passed(net: Net, x: Array, y: Array, weight: Array) -> tuple[Array, float]:
+    """Stochastic descent, row after row, through a batch: how far it went back, times the batch's weight, and the loss on the way.
+
+    Summed over all batches and divided by the whole weight this is the mean of
+    the batches' ways, so an epoch averages what each batch learned by itself.
+    """
+    at, value = net, 0.0
+    for i in np.flatnonzero(weight > 0):
+        g, one = at.gradient(x[i : i + 1], y[i : i + 1], weight[i : i + 1])
+        at, value = at.moved(at.flat() - net.settings.rate * g), value + one
+    return (net.flat() - at.flat()) * weight.sum(), value
+
+
 def _total(rows: DataFrame, nets: list[Net], active: list[int], epoch: int) -> dict[int, tuple[Array, float, float, float, float]]:
     """For each active member: gradient, training loss and weight, validation loss and weight."""
     s = nets[0].settings
@@ -196,7 +212,7 @@ def _total(rows: DataFrame, nets: list[Net], active: list[int], epoch: int) -> d
             drawn = ((key >> 16) + epoch * 40503 & 0xFFFF) / 65536.0 < s.batch_share if s.trainer == "minibatch" else np.ones(len(key), bool)
             for m in active:
                 w = bag_weights(key, m, s.seed) if len(nets) > 1 else np.ones(len(key))
-                g, train = nets[m].gradient(x, y, w * ~check * drawn)
+                g, train = _passed(nets[m], x, y, w * ~check) if s.trainer == "sgd" else nets[m].gradient(x, y, w * ~check * drawn)
                 v = loss(s.loss, nets[m].layers(x)[-1], y, s.ancestors)[0]
                 part = np.concatenate((g, [train, (w * ~check * drawn).sum(), (v * w * check).sum(), (w * check).sum()]))
                 sums[m] = sums[m] + part if m in sums else part
@@ -250,8 +266,10 @@ def train(rows: DataFrame, settings: Settings = Settings()) -> list[Net]:
 
 
 def predict(rows: DataFrame, nets: list[Net]) -> DataFrame:
-    """``id, f``: the members' mean prediction."""
+    """``id, f``: the members' mean prediction; null without any member."""
     kind = dict(rows.dtypes)["id"]
+    if not nets:
+        return rows.select("id", F.lit(None).cast("array<double>").alias("f"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -264,6 +282,8 @@ def predict(rows: DataFrame, nets: list[Net]) -> DataFrame:
 
 def predict_out_of_bag(rows: DataFrame, nets: list[Net]) -> DataFrame:
     """``id, f, n``: mean prediction of the members whose bag lacks the row; null if there is none."""
+    if not nets:
+        return rows.select("id", F.lit(None).cast("array<double>").alias("f"), F.lit(0).cast("long").alias("n"))
     seed, kind = nets[0].settings.seed, dict(rows.dtypes)["id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,24 +304,58 @@ def combine(one: list[Net], two: list[Net], same_targets: bool = True) -> list[N
     return [*one, *two] if same_targets else one
 
 
+def _moments(rows: DataFrame) -> Array:
+    """For each target and label 0 or 1 of it: the number of rows, and for each feature the sum and the sum of squares.
+
+    Partitions add up matrices; a few tasks add those of the partitions.
+    """
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for frame in frames:
+            if len(frame):
+                x, y = np.stack(frame["x"]).astype(float), np.stack(frame["y"]).astype(float) > 0.5
+                sides = np.column_stack((~y, y)).astype(float)
+                part = sides.T @ np.column_stack((np.ones(len(x)), x, x * x))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, Array] = {}
+        for frame in frames:
+            for i, row in zip(frame["i"], frame["row"], strict=True):
+                sums[i] = sums[i] + row if i in sums else np.array(row)
+        if sums:
+            yield pd.DataFrame({"i": list(sums), "row": list(sums.values())})
+
+    kinds = "i int, row array<double>"
+    found = rows.select("x", "y").mapInPandas(partial, kinds).repartition(ADDERS, "i").mapInPandas(add, kinds).collect()
+    return np.array([r["row"] for r in sorted(found, key=lambda r: r["i"])])
+
+
 def select_features(rows: DataFrame, n_features: int, n_targets: int, level: float = 1e-10, least: int = 5) -> list[int]:
     """Features whose means differ between the labels of some target (Welch's test), at least ``least`` per target.
 
-    One aggregation for all pairs of feature and target; the driver gets one row
-    per pair.
+    The driver gets one row of sums per label of each target.
     """
     if n_features <= least:
         return list(range(n_features))
-    long = rows.select(F.posexplode("x").alias("j", "v"), "y").select("j", "v", F.posexplode("y").alias("k", "t"))
-    yes = F.col("t") > 0.5
-    side = lambda i, c: (F.avg(F.when(c, F.col("v"))).alias(f"m{i}"), F.stddev_samp(F.when(c, F.col("v"))).alias(f"s{i}"), F.count(F.when(c, F.col("v"))).alias(f"n{i}"))
-    told = long.groupBy("k", "j").agg(*side(0, ~yes), *side(1, yes))
-    t, df = t_welch(*[F.col(c) for c in ("m0", "s0", "n0", "m1", "s1", "n1")])
-    exact = (F.col("s0") == 0) & (F.col("s1") == 0) & (F.col("m0") != F.col("m1"))
-    p = with_p_value(told.select("k", "j", F.when(exact, float("inf")).otherwise(t).alias("t"), F.when(exact, 1.0).otherwise(df).alias("df"))).collect()
+    sums = _moments(rows).reshape(2, n_targets, 1 + 2 * n_features)
+    n, one, two = sums[:, :, :1], sums[:, :, 1 : 1 + n_features], sums[:, :, 1 + n_features :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = one / n
+        spread = np.maximum(two / n - mean * mean, 0) * n / (n - 1)
+        # squares that only rounding keeps from being equal
+        spread = np.where(spread < 1e-12 * np.maximum(mean * mean, 1e-300), 0.0, spread)
+        v = spread / n
+        t = (mean[0] - mean[1]) / np.sqrt(v[0] + v[1])
+        df = (v[0] + v[1]) ** 2 / (v[0] ** 2 / (n[0] - 1) + v[1] ** 2 / (n[1] - 1))
+        exact = (spread[0] == 0) & (spread[1] == 0) & (mean[0] != mean[1])
     chosen: set[int] = set()
     for k in range(n_targets):
-        own = sorted((r["p"] if r["p"] is not None and r["p"] == r["p"] else 2.0, r["j"]) for r in p if r["k"] == k)
+        p = [0.0 if exact[k, j] else student_p(t[k, j], df[k, j]) if np.isfinite(t[k, j]) else 2.0 for j in range(n_features)]
+        own = sorted((2.0 if v != v else v, j) for j, v in enumerate(p))
         good = [j for v, j in own if v < level]
         chosen |= set(good if len(good) >= least else [j for _, j in own[:least]])
     return sorted(chosen)
@@ -392,6 +446,8 @@ def ancestor_matrix(terms: list[str], closure: list[tuple[str, str]]) -> Array:
 def train_terms(rows: DataFrame, terms: list[str], closure: list[tuple[str, str]], settings: Settings = Settings(models=5)) -> TermEnsemble:
     """Select features, scale them, and train an ensemble whose outputs are ``terms``."""
     first = rows.first()
+    if first is None:
+        return TermEnsemble(Scaler([], np.zeros(0), np.ones(0), np.zeros((0, 0))), [], terms)
     chosen = select_features(rows, len(first["x"]), len(terms))
     scaler = fit_scaler(rows, chosen)
     a = ancestor_matrix(terms, closure)
@@ -400,12 +456,68 @@ def train_terms(rows: DataFrame, terms: list[str], closure: list[tuple[str, str]
 
 def predict_terms(rows: DataFrame, model: TermEnsemble) -> DataFrame:
     """``id, f``: predictions where no term scores less than one of its descendants."""
+    if not model.nets:
+        return predict(rows, [])
     a = model.nets[0].settings.ancestors
     raw = predict(scaled(rows.select("id", "x"), model.scaler), model.nets)
     best = F.array(*[F.greatest(*([F.col("f")[j] for j in np.flatnonzero(a[i])] if a[i].sum() > 1 else [F.col("f")[i], F.col("f")[i]])) for i in range(len(model.terms))])
     return raw.select("id", best.alias("f"))
 
 
+def is_consistent(predictions: DataFrame, ancestors: Array, slack: float = 1e-9) -> DataFrame:
+    """``id, consistent``: whether no term of ``f`` scores less than one of its descendants."""
+    below = [(i, int(j)) for i in range(len(ancestors)) for j in np.flatnonzero(ancestors[i]) if i != j]
+    pairs = F.array(*[F.struct(F.lit(i).alias("up"), F.lit(j).alias("down")) for i, j in below]) if below else F.array().cast("array<struct<up:int,down:int>>")
+    holds = F.forall(pairs, lambda p: F.get("f", p["up"]) >= F.get("f", p["down"]) - F.lit(slack))
+    return predictions.select("id", holds.alias("consistent"))
+
+
+def save_nets(spark: SparkSession, nets: list[Net], path: str) -> None:
+    """An ensemble as Parquet: a row per member with its settings, the sizes of its layers and its weights."""
+    rows = []
+    for m, net in enumerate(nets):
+        told = asdict(replace(net.settings, ancestors=None))
+        a = net.settings.ancestors
+        rows.append((m, json.dumps(told), [w.shape[0] for w, _ in net.weights] + [net.weights[-1][0].shape[1]], net.flat().tolist(), None if a is None else a.astype(float).ravel().tolist()))
+    kinds = "member int, settings string, sizes array<int>, weights array<double>, ancestors array<double>"
+    spark.createDataFrame(rows, kinds).write.mode("overwrite").parquet(path)
+
+
+def load_nets(spark: SparkSession, path: str) -> list[Net]:
+    out = []
+    for r in sorted(spark.read.parquet(path).collect(), key=lambda r: r["member"]):
+        told = json.loads(r["settings"])
+        a = r["ancestors"]
+        square = None if a is None else np.array(a).reshape(r["sizes"][-1], -1)
+        settings = Settings(**{**told, "hidden": tuple(told["hidden"]), "ancestors": square})
+        net = Net(settings, [(np.zeros((i, o)), np.zeros(o)) for i, o in zip(r["sizes"], r["sizes"][1:], strict=False)])
+        out.append(net.moved(np.array(r["weights"])))
+    return out
+
+
+def save_terms(spark: SparkSession, model: TermEnsemble, path: str) -> None:
+    """A term ensemble: its networks, and one row of what they were scaled by and their terms."""
+    s = model.scaler
+    row = (list(map(int, s.chosen)), s.mean.tolist(), s.sd.tolist(), s.axes.ravel().tolist(), model.terms)
+    kinds = "chosen array<int>, mean array<double>, sd array<double>, axes array<double>, terms array<string>"
+    spark.createDataFrame([row], kinds).write.mode("overwrite").parquet(f"{path}/scaler")
+    save_nets(spark, model.nets, f"{path}/nets")
+
+
+def load_terms(spark: SparkSession, path: str) -> TermEnsemble:
+    r = spark.read.parquet(f"{path}/scaler").first()
+    axes = np.array(r["axes"], float).reshape(len(r["chosen"]), -1) if r["axes"] else np.zeros((len(r["chosen"]), 0))
+    return TermEnsemble(Scaler(list(r["chosen"]), np.array(r["mean"]), np.array(r["sd"]), axes), load_nets(spark, f"{path}/nets"), list(r["terms"]))
+
+
+def save_codebook(spark: SparkSession, centroids: Array, path: str) -> None:
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "code int, x array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_codebook(spark: SparkSession, path: str) -> Array:
+    return np.array([r["x"] for r in sorted(spark.read.parquet(path).collect(), key=lambda r: r["code"])])
+
+
 # --- vector quantisation ----------------------------------------------------------------------
 
 
@@ -425,7 +537,7 @@ def codebook(series: DataFrame, clusters: int = 16, length: int = 16, most: int
     total = every.count()
     unit = F.pmod(F.xxhash64("id", "at", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     some = every.where((unit < most / max(total, 1)) | (F.col("at") == 0)).select(array_to_vector("x").alias("features"))
-    return np.array(KMeans(k=clusters, maxIter=30, seed=seed).fit(some).clusterCenters())
+    return np.array(KMeans(k=clusters, maxIter=100, seed=seed).fit(some).clusterCenters())
 
 
 def quantised(series: DataFrame, centroids: Array, normalize: bool = True) -> DataFrame:

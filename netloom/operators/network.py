@@ -203,16 +203,45 @@ def ordered(ids: DataFrame, column: str = "id") -> DataFrame:
     return local.join(first, "_p").select(column, (F.col("_first") + F.col("_n") - 1).cast("long").alias("ord"))
 
 
-def rewire(net: Network, rounds: int = 3, seed: int = 0) -> Network:
-    """Degree-preserving random rewiring.
+def without_edges(net: Network) -> Network:
+    """The vertices alone."""
+    return Network(net.vertices, net.edges.limit(0))
+
+
+def with_vertices(net: Network, ids: DataFrame) -> Network:
+    """The given vertices (``id``) in place of the network's own, and no edge; what was there goes with its vertices."""
+    return Network(ids.select("id").distinct(), net.edges.limit(0))
+
+
+def renamed(net: Network, to: DataFrame) -> Network:
+    """Other names for the vertices, by ``id, name``; edges stay between them.  Vertices that ``to`` lacks keep theirs."""
+    told = lambda c: to.select(F.col("id").alias(c), F.col("name").alias(f"{c}_to"))
+    v = net.vertices.join(to.select("id", "name"), "id", "left").select(F.coalesce("name", "id").alias("id")).distinct()
+    e = net.edges.join(told("src"), "src", "left").join(told("dst"), "dst", "left")
+    a, b = F.coalesce("src_to", "src"), F.coalesce("dst_to", "dst")
+    return Network(v, e.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "w"))
+
+
+#: Rounds in a row that find nothing to rewire.
+IDLE = 5
+
+
+def rewire(net: Network, share: float = 1.0, seed: int = 0) -> Network:
+    """Degree-preserving random rewiring of ``share`` times as many pairs of edges as there are edges.
 
     Each round deals the edges into random pairs (a, b), (c, d) and turns a pair
     into (a, d), (c, b), weights carried, where all four ends differ and the new
     edges neither exist nor are proposed twice.  All pairs of a round are
-    handled at once, so a round is a few joins whatever the size.
+    handled at once, so a round is a few joins whatever the size; the last one
+    takes only as many as are wanted.  Rewiring ends early after IDLE rounds
+    without any pair that can be turned, as in a complete network.
     """
+    if not 0 <= share <= 1:
+        raise ValueError("share lies in [0, 1]")
     edges = cut(net.edges)
-    for r in range(rounds):
+    left, r, idle = int(share * edges.count()), -1, 0
+    while left and idle < IDLE:
+        r += 1
         dealt = gapless_rank(edges.withColumn("_k", F.lit(0)), ["_k"], [F.col("src"), F.col("dst"), F.lit(seed), F.lit(r)], "rank")
         side = dealt.withColumn("pair", F.floor(F.col("rank") / 2)).withColumn("second", F.col("rank") % 2 == 1)
         # a random end of the second edge comes first, else strings order the outcome
@@ -224,6 +253,12 @@ def rewire(net: Network, rounds: int = 3, seed: int = 0) -> Network:
         new = cut(new)
         taken = new.join(edges.select("src", "dst"), ["src", "dst"], "left_semi").select("pair").union(new.groupBy("src", "dst").agg(F.count("*").alias("n"), F.collect_set("pair").alias("p")).where("n > 1").select(F.explode("p").alias("pair")))
         good = cut(drawn.join(taken.distinct(), "pair", "left_anti"))
+        done = good.count()
+        if done > left:
+            # pairs were dealt at random, so the first ones are as random as any
+            first = gapless_rank(good.select("pair").withColumn("_k", F.lit(0)), ["_k"], [F.col("pair")], "rank").where(F.col("rank") < left)
+            good, done = cut(good.join(first.select("pair"), "pair", "left_semi")), left
+        left, idle = left - done, 0 if done else idle + 1
         gone = good.select(F.explode(F.array(F.struct(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")), F.struct(F.least("c", "d").alias("src"), F.greatest("c", "d").alias("dst")))).alias("e")).select("e.*")
         edges = cut(edges.join(gone, ["src", "dst"], "left_anti").unionByName(new.join(good.select("pair"), "pair", "left_semi").select("src", "dst", "w")))
     return Network(net.vertices, edges)

@@ -1,7 +1,7 @@
 """Ontologies: directed acyclic ``(child, parent)`` relations, and annotations on them.
 
-Closures grow by one level of the hierarchy per round, so the number of rounds
-is the depth, which does not grow with the data.
+Ways up double their length per round, so a hierarchy of any depth takes a few
+rounds; a term that is its own ancestor, by a loop to itself too, is an error.
 """
 
 from __future__ import annotations
@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.plans.session import cut
-
-MAX_DEPTH = 200
+from netloom.plans.session import cut, discard
 
 
 class CycleError(ValueError):
@@ -47,22 +45,26 @@ def resolve(ids: DataFrame, known: DataFrame, alt: DataFrame) -> DataFrame:
     return ids.join(k, "id", "left").join(a, "id", "left").select("id", F.coalesce("_own", "_alt").alias("valid"))
 
 
+def ways_up(rel: DataFrame) -> DataFrame:
+    """``id, ancestor, near, far``: every strict ancestor of each term, with the shortest and the longest way to it."""
+    known = cut(rel.select(F.col("child").alias("id"), F.col("parent").alias("ancestor")).distinct().withColumns({"near": F.lit(1), "far": F.lit(1)}))
+    before = None
+    while True:
+        told = known.agg(F.count("*").alias("n"), F.sum("near"), F.sum("far"), F.count(F.when(F.col("id") == F.col("ancestor"), 1)).alias("loops")).first()
+        if told["loops"]:
+            raise CycleError("a term is its own ancestor")
+        if told == before:
+            return known
+        above = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("top"), F.col("near").alias("near2"), F.col("far").alias("far2"))
+        longer = known.join(above, "ancestor").select("id", F.col("top").alias("ancestor"), (F.col("near") + F.col("near2")).alias("near"), (F.col("far") + F.col("far2")).alias("far"))
+        old, before = known, told
+        known = cut(known.union(longer).groupBy("id", "ancestor").agg(F.min("near").alias("near"), F.max("far").alias("far")))
+        discard(old)
+
+
 def closure(rel: DataFrame) -> DataFrame:
     """``id, ancestor`` for every term and each of its ancestors, itself included."""
-    rel = cut(rel.select("child", "parent").distinct())
-    step = rel.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"))
-    known = frontier = cut(step)
-    up = rel.select(F.col("child").alias("ancestor"), F.col("parent").alias("_next"))
-    for _ in range(MAX_DEPTH):
-        frontier = cut(frontier.join(up, "ancestor").select("id", F.col("_next").alias("ancestor")).distinct().join(known, ["id", "ancestor"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        if not frontier.where("id = ancestor").isEmpty():
-            raise CycleError("a term is its own ancestor")
-        known = cut(known.union(frontier))
-    else:
-        raise CycleError(f"more than {MAX_DEPTH} levels")
-    return known.union(terms(rel).select("id", F.col("id").alias("ancestor")))
+    return ways_up(rel).select("id", "ancestor").union(terms(rel).select("id", F.col("id").alias("ancestor")))
 
 
 def ancestors(rel: DataFrame, ids: DataFrame) -> DataFrame:
@@ -76,31 +78,14 @@ def offspring(rel: DataFrame, ids: DataFrame) -> DataFrame:
 
 def depths(rel: DataFrame) -> DataFrame:
     """``id, depth``: 0 at the roots, else one more than the smallest depth of a parent."""
-    rel = cut(rel.select("child", "parent").distinct())
-    level = known = cut(roots(rel).withColumn("depth", F.lit(0)))
-    for d in range(1, MAX_DEPTH):
-        below = rel.join(level.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
-        level = cut(below.join(known, "id", "left_anti").withColumn("depth", F.lit(d)))
-        if level.isEmpty():
-            break
-        known = cut(known.union(level))
-    return known
+    top = roots(rel)
+    below = ways_up(rel).join(top.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").groupBy("id").agg(F.min("near").alias("depth"))
+    return below.union(top.withColumn("depth", F.lit(0)))
 
 
 def topological(rel: DataFrame) -> DataFrame:
-    """``id, level``: the longest way from a root; ordered by it and the id, parents come before children.
-
-    A relation that closes a circle never comes to rest and is reported.
-    """
-    rel = cut(rel.select("child", "parent").distinct())
-    level = cut(terms(rel).withColumn("level", F.lit(0)))
-    for _ in range(MAX_DEPTH):
-        high = rel.join(level.select(F.col("id").alias("parent"), "level"), "parent").groupBy(F.col("child").alias("id")).agg((F.max("level") + 1).alias("_up"))
-        new = cut(level.join(high, "id", "left").select("id", F.greatest("level", F.coalesce("_up", F.lit(0))).alias("level"), (F.coalesce("_up", F.lit(0)) > F.col("level")).alias("_moved")))
-        level = new.select("id", "level")
-        if new.where("_moved").isEmpty():
-            return level
-    raise CycleError("levels keep rising: the relations close a circle")
+    """``id, level``: the longest way from a root; ordered by it and the id, parents come before children."""
+    return ways_up(rel).groupBy("id").agg(F.max("far").alias("level")).union(roots(rel).withColumn("level", F.lit(0)))
 
 
 def branching_factor(rel: DataFrame) -> DataFrame:
@@ -114,17 +99,12 @@ def subontology(rel: DataFrame, ids: DataFrame) -> DataFrame:
     """
     rel = cut(rel.select("child", "parent").distinct())
     chosen = ids.select("id").distinct()
-    inside = lambda df, c: df.join(chosen.withColumnRenamed("id", c), c, "left_semi")
-    outside = lambda df, c: df.join(chosen.withColumnRenamed("id", c), c, "left_anti")
-    way = cut(inside(rel, "child").select("child", "parent"))
-    done = inside(way, "parent").select("child", "parent")
-    for _ in range(MAX_DEPTH):
-        up = rel.select(F.col("child").alias("parent"), F.col("parent").alias("_next"))
-        way = cut(outside(way, "parent").join(up, "parent").select("child", F.col("_next").alias("parent")).distinct())
-        if way.isEmpty():
-            return done.distinct()
-        done = cut(done.union(inside(way, "parent").select("child", "parent")))
-    raise CycleError(f"more than {MAX_DEPTH} levels")
+    inside = lambda df, c: df.join(chosen.withColumnRenamed("id", c), c, "left_semi").select(*df.columns)
+    outside = lambda df, c: df.join(chosen.withColumnRenamed("id", c), c, "left_anti").select(*df.columns)
+    passed = ways_up(outside(rel, "child")).select(F.col("id").alias("parent"), F.col("ancestor").alias("top"))
+    own = inside(rel, "child")
+    led = outside(own, "parent").join(passed, "parent").select("child", F.col("top").alias("parent"))
+    return inside(own.union(led), "parent").select("child", "parent").distinct()
 
 
 def split(rel: DataFrame) -> DataFrame:
@@ -191,3 +171,56 @@ def top_terms(predictions: DataFrame, k: int = 1500) -> DataFrame:
     scored = predictions.withColumn("score", F.round(F.nanvl(F.col("score"), F.lit(0.0)), 6)).where("score > 0")
     over = Window.partitionBy("seq").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
+
+
+def names(known: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, name`` of the listed terms of ``known`` (``id, name``); null for an unknown one."""
+    return ids.select("id").join(known.select("id", "name"), "id", "left")
+
+
+def size(rel: DataFrame, known: DataFrame | None = None) -> int:
+    """How many terms there are: those of the relations, and those of ``known`` (``id``) that have none."""
+    every = terms(rel) if known is None else terms(rel).union(known.select("id")).distinct()
+    return every.count()
+
+
+def equal(one: DataFrame, other: DataFrame) -> bool:
+    """Whether two ontologies list the same terms in the same order, parents first."""
+    a, b = topological(one), topological(other)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def terms_of(annotation: DataFrame, sequences: DataFrame) -> DataFrame:
+    """``seq, term``: what the listed sequences (``seq``) are annotated with."""
+    return annotation.join(sequences.select("seq"), "seq", "left_semi").select("seq", "term").distinct()
+
+
+def sequences_of(annotation: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``term, seq``: what is annotated with the listed terms (``term``)."""
+    return annotation.join(wanted.select("term"), "term", "left_semi").select("term", "seq").distinct()
+
+
+def add_annotations(annotation: DataFrame, rows: DataFrame) -> DataFrame:
+    return annotation.select("seq", "term").union(rows.select("seq", "term")).distinct()
+
+
+def remove_annotations(annotation: DataFrame, rows: DataFrame) -> DataFrame:
+    return annotation.join(rows.select("seq", "term"), ["seq", "term"], "left_anti").select("seq", "term")
+
+
+def load_predictions(rows: DataFrame, known: DataFrame, alt: DataFrame, rel: DataFrame, dense: bool = True) -> DataFrame:
+    """``seq, term, score`` of predictions as the ontology has them.
+
+    Alternative ids become the terms they stand for and unknown terms go; each
+    term scores as high as its best descendant; with ``dense`` every sequence
+    has every term of ``known`` (``id``), 0 where nothing scores it.
+    """
+    told = resolve(rows.select(F.col("term").alias("id")).distinct(), known.select("id"), alt).where("valid is not null")
+    own = rows.join(told.withColumnRenamed("id", "term"), "term").groupBy("seq", F.col("valid").alias("term")).agg(F.max("score").alias("score"))
+    lone = known.select("id").join(terms(rel), "id", "left_anti").select("id", F.col("id").alias("ancestor"))
+    up = closure(rel).union(lone).withColumnRenamed("id", "term")
+    best = own.join(up, "term").groupBy("seq", F.col("ancestor").alias("term")).agg(F.max("score").alias("score"))
+    if not dense:
+        return best
+    grid = rows.select("seq").distinct().crossJoin(known.select(F.col("id").alias("term")).distinct())
+    return grid.join(best, ["seq", "term"], "left").select("seq", "term", F.coalesce("score", F.lit(0.0)).alias("score"))

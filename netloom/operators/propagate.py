@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators.network import Network, arcs, normalised
 from netloom.operators.ranking import gapless_rank
-from netloom.plans.session import cut
+from netloom.plans.session import cut, discard
 
 #: Reservoirs closer than this exchange nothing.
 EPSILON = 1e-8
@@ -28,15 +28,16 @@ def functional_flow(net: Network, seeds: DataFrame, steps: int = 5, capacity: st
     over the sum at the giving (``out``) or the taking end (``in``).  Vertices
     without edges, and all vertices if no seed is in the network, score 0.
 
-    A step is one join of arcs with the state of their source, one with that of
-    their target, and one map-side combined sum by vertex.
+    The arcs are dealt by their source once and stay there.  A step moves the
+    state to them, the arcs of sources that hold something to their targets,
+    and map-side combined sums to the vertices.
     """
     if capacity not in CAPACITIES:
         raise ValueError(f"capacity is one of {CAPACITIES}")
     keys = ["fold"] if "fold" in seeds.columns else []
-    flows = cut(normalised(net).select("src", "dst", "out_w", F.col({"raw": "w", "out": "out_w", "in": "in_w"}[capacity]).alias("cap")))
+    flows = normalised(net).select("src", "dst", "out_w", F.col({"raw": "w", "out": "out_w", "in": "in_w"}[capacity]).alias("cap")).repartition("src").persist()
     folds = seeds.select(*keys).distinct() if keys else None
-    everyone = net.vertices if folds is None else net.vertices.crossJoin(F.broadcast(folds))
+    everyone = net.vertices if folds is None else net.vertices.crossJoin(folds)
     marked = seeds.select(*keys, "id").distinct().withColumn("seed", F.lit(True))
     state = cut(everyone.join(marked, [*keys, "id"], "left").select(*keys, "id", F.when(F.col("seed"), F.lit(float("inf"))).otherwise(0.0).alias("r"), F.lit(0.0).alias("score")))
     for _ in range(steps):
@@ -46,7 +47,10 @@ def functional_flow(net: Network, seeds: DataFrame, steps: int = 5, capacity: st
         moved = moved.withColumn("flow", F.least("cap", F.col("r_src") * F.col("out_w")))
         both = F.array(F.struct(F.col("dst").alias("id"), F.col("flow").alias("net"), F.col("flow").alias("got")), F.struct(F.col("src").alias("id"), (-F.col("flow")).alias("net"), F.lit(0.0).alias("got")))
         change = moved.select(*keys, F.explode(both).alias("c")).select(*keys, "c.*").groupBy(*keys, "id").agg(F.sum("net").alias("net"), F.sum("got").alias("got"))
-        state = cut(state.join(change, [*keys, "id"], "left").select(*keys, "id", (F.col("r") + F.coalesce("net", F.lit(0.0))).alias("r"), (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("score")))
+        after = state.join(change, [*keys, "id"], "left").select(*keys, "id", (F.col("r") + F.coalesce("net", F.lit(0.0))).alias("r"), (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("score"))
+        old, state = state, cut(after)
+        discard(old)
+    flows.unpersist()
     return state.select(*keys, "id", "score")
 
 
@@ -74,8 +78,8 @@ def cross_validated(net: Network, genes: DataFrame, steps: int = 5, capacity: st
     ``genes`` has ``id, label, fold``.  Scores are pooled and normalised once;
     positives are not raised to 1.
     """
-    folds = F.broadcast(genes.select(F.col("fold").alias("held")).distinct())
-    seeds = genes.where("label").select("id", F.col("fold").alias("own")).crossJoin(folds).where("own <> held").select("id", F.col("held").alias("fold"))
+    folds = genes.select(F.col("fold").alias("held")).distinct()
+    seeds = genes.where("label").select("id", F.col("fold").alias("own")).join(folds, F.col("own") != F.col("held")).select("id", F.col("held").alias("fold"))
     scores = functional_flow(net, seeds, steps, capacity)
     return normalise(genes.select("id", "label", "fold").join(scores, ["id", "fold"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
 
@@ -96,30 +100,41 @@ def _unit(*of: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*of), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def random_field(net: Network, seeds: DataFrame, alpha: float = 0.0, beta: float = 0.0, gamma: float = 0.0, prior: float | None = None, burn_in: int = 4, sweeps: int = 8, lag: int = 2, chains: int = 16, seed: int = 0) -> DataFrame:
+#: Sweeps before the first sample, between samples, and samples of all chains that the defaults come to at least.
+BURN_IN, LAG, SAMPLES = 100, 10, 200
+
+
+def random_field(net: Network, seeds: DataFrame, alpha: float = 0.0, beta: float = 0.0, gamma: float = 0.0, prior: float | None = None, burn_in: int = BURN_IN, sweeps: int = 130, lag: int = LAG, chains: int = 16, seed: int = 0) -> DataFrame:
     """``id, score``: the share of sampled states 1 in a Markov random field.
 
     Synchronous Gibbs sampling: ``P(1) = sigmoid(alpha + (beta - 1) * m0 +
     (gamma - beta) * m1)`` with ``m0`` and ``m1`` neighbours in state 0 and 1;
     seeds in the network stay 1.  States start by ``prior``, by default the
-    share of seeds.  Many short chains stand for one long chain: they are a key
-    column, so a sweep of all of them is one join and one sum.  Draws are
-    hashes of chain, sweep and vertex.
+    share of seeds.  Every chain runs through the whole ``burn_in`` and then
+    ``sweeps``, of which each ``lag``-th is a sample, so 16 chains of 130 sweeps
+    give 208 samples.  A vertex is one row with a column per chain: a sweep is
+    one join and one sum for all chains, and the arcs stay where they were
+    dealt.  Draws are hashes of chain, sweep and vertex.
     """
-    spark = net.vertices.sparkSession
-    links = cut(arcs(net.edges).select("src", "dst"))
+    x = [f"x{k}" for k in range(chains)]
+    links = arcs(net.edges).select("src", "dst").repartition("dst").persist()
     marked = net.vertices.join(seeds.select("id").distinct().withColumn("seed", F.lit(True)), "id", "left").select("id", F.coalesce("seed", F.lit(False)).alias("seed"))
     share = F.lit(prior) if prior is not None else F.avg(F.col("seed").cast("double"))
-    start = marked.join(F.broadcast(marked.agg(share.alias("pi")))).crossJoin(F.broadcast(spark.range(chains).select(F.col("id").cast("int").alias("chain"))))
-    state = cut(start.select("chain", "id", "seed", F.when(F.col("seed") | (_unit("chain", "id", F.lit(seed)) < F.col("pi")), 1).otherwise(0).alias("x"), F.lit(0).alias("hits")))
+    start = marked.join(F.broadcast(marked.agg(share.alias("pi"))))
+    first = [F.when(F.col("seed") | (_unit(F.lit(k), F.col("id"), F.lit(seed)) < F.col("pi")), 1).otherwise(0).alias(x[k]) for k in range(chains)]
+    # the sweep's number is a column, so that every sweep runs the code compiled for the first
+    state = cut(start.select("id", "seed", F.lit(1).alias("t"), *first, F.lit(0).cast("long").alias("hits")))
     kept = 0
     for t in range(1, burn_in + sweeps + 1):
         sampled = t > burn_in and (t - burn_in) % lag == 0
         kept += sampled
-        around = links.join(state.select("chain", F.col("id").alias("dst"), "x"), "dst").groupBy("chain", F.col("src").alias("id")).agg(F.sum("x").alias("m1"), F.count("*").alias("m"))
-        m1, m = F.coalesce("m1", F.lit(0)), F.coalesce("m", F.lit(0))
-        z = F.lit(alpha) + (beta - 1) * (m - m1) + (gamma - beta) * m1
-        drawn = F.when(F.col("seed") | (_unit("chain", "id", F.lit(seed), F.lit(t)) < 1 / (1 + F.exp(-z))), 1).otherwise(0)
-        state = state.join(around, ["chain", "id"], "left").select("chain", "id", "seed", drawn.alias("x"), "hits")
-        state = cut(state.withColumn("hits", F.col("hits") + F.col("x")) if sampled else state)
-    return state.groupBy("id").agg((F.sum("hits") / F.lit(float(max(1, kept * chains)))).alias("score"))
+        near = links.join(state.select(F.col("id").alias("dst"), *x), "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("m"), *[F.sum(c).alias(f"m_{c}") for c in x])
+        unit = lambda k: f"(shiftrightunsigned(xxhash64({k}, id, {seed}, t), 11) + 0.5D) / {float(1 << 53)!r}D"
+        z = lambda k: f"{alpha!r}D + {beta - 1!r}D * (coalesce(m, 0) - coalesce(m_x{k}, 0)) + {gamma - beta!r}D * coalesce(m_x{k}, 0)"
+        drawn = [f"CASE WHEN seed OR {unit(k)} < 1 / (1 + exp(-({z(k)}))) THEN 1 ELSE 0 END AS x{k}" for k in range(chains)]
+        after = state.join(near, "id", "left").selectExpr("id", "seed", "t + 1 AS t", *drawn, "hits")
+        hits = sum((F.col(c) for c in x), F.lit(0)) if sampled else F.lit(0)
+        old, state = state, cut(after.withColumn("hits", F.col("hits") + hits))
+        discard(old)
+    links.unpersist()
+    return state.select("id", (F.col("hits") / F.lit(float(max(1, kept * chains)))).alias("score"))

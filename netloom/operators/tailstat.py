@@ -69,7 +69,7 @@ def cutoff(scores: DataFrame, q: float = 0.95, log: bool = False, keys: list[str
 def contingency(scores: DataFrame, cut: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, a, b, c, d``: controls under and from the cutoff, cases under and from it."""
     keys = keys or []
-    joined = scores.join(F.broadcast(cut), keys) if keys else scores.join(F.broadcast(cut))
+    joined = scores.join(cut, keys) if keys else scores.join(F.broadcast(cut))
     hit = F.col("score") >= F.col("cutoff")
     n = lambda grp, yes: F.sum(((F.col("grp") == grp) & (hit if yes else ~hit)).cast("long"))
     return joined.groupBy(*keys).agg(n("control", False).alias("a"), n("control", True).alias("b"), n("case", False).alias("c"), n("case", True).alias("d"))

@@ -66,3 +66,22 @@ def save_matrix_csv(long: DataFrame, columns: list[str], path: str, digits: int
     """A wide CSV with header from ``row_tag, col_tag, v``; missing cells are 0."""
     wide = long.groupBy("row_tag").pivot("col_tag", columns).agg(F.first("v")).na.fill(0.0)
     wide.select(F.col("row_tag").alias("id"), *[F.format_string(f"%.{digits}e", F.col(f"`{c}`")).alias(c) for c in columns]).write.mode("overwrite").csv(path, header=True)
+
+
+def save_ontology(ontology: dict[str, DataFrame], path: str) -> None:
+    """``terms``, ``rel`` and ``alt``, as :func:`netloom.sources.text.read_obo` returns them, as Parquet."""
+    for name in ("terms", "rel", "alt"):
+        ontology[name].write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_ontology(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("terms", "rel", "alt")}
+
+
+def save_matrix(cells: DataFrame, path: str) -> None:
+    """``row_tag, col_tag, v`` as Parquet."""
+    cells.select("row_tag", "col_tag", "v").write.mode("overwrite").parquet(path)
+
+
+def load_matrix(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("row_tag", "col_tag", "v")

@@ -1,7 +1,8 @@
 """Readers of the text formats, each with an explicit schema.
 
-``line`` is a file's own order: lines get their number from the position inside
-the file, by partition sizes and local ranks, so a file may have any length.
+``line`` is a row id of the scan: it grows along each file, and is not gapless.
+Between several files its order is that in which Spark packs them, so where the
+last line of an id counts, an id should not be in two files.
 """
 
 from __future__ import annotations
@@ -100,7 +101,8 @@ def read_annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_config(spark: SparkSession, path: str) -> dict[str, str]:
     """``name = value`` lines; ``#`` starts a comment; a line without ``=`` is an error."""
     out = {}
-    for row in spark.read.text(path).limit(100_000).collect():
+    said = spark.read.text(path).where(F.trim(F.substring_index("value", "#", 1)) != "")
+    for row in said.toLocalIterator():
         text = row["value"].split("#", 1)[0].strip()
         if text:
             name, sign, value = text.partition("=")

@@ -90,10 +90,10 @@ def test_gapless_rank(spark):
 def test_random_operators_keep_their_invariants(spark):
     net = network.random_network(spark.range(60).select(F.format_string("v%03d", "id").alias("id")), 300, seed=3)
     assert net.edges.where("src < dst").distinct().count() == 300
-    turned = network.rewire(net, rounds=3, seed=5)
+    turned = network.rewire(net, 1.0, seed=5)
     assert rows(network.degrees(turned).select("id", "degree")) == rows(network.degrees(net).select("id", "degree"))
     assert rows(turned.edges) != rows(net.edges) and turned.edges.select("src", "dst").distinct().count() == 300
-    assert rows(network.rewire(net, rounds=3, seed=5).edges) == rows(turned.edges)
+    assert rows(network.rewire(net, 1.0, seed=5).edges) == rows(turned.edges)
 
 
 def test_random_field_clamps_seeds_and_repeats(spark):

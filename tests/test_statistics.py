@@ -1,9 +1,12 @@
 import math
+import random
+from decimal import Decimal, getcontext
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.functions.stats import fisher, hazen, student_cdf
+from netloom.functions.stats import TAILS, exact_p, fisher, hazen, student_p, with_p_value
 from netloom.operators import evaluate, ontology, tailstat
 
 
@@ -29,10 +32,48 @@ def test_fisher(spark):
     assert left + right == pytest.approx(1, abs=1e-8)
 
 
+def _exact(a, b, c, d, tail):
+    ab, ac, n = a + b, a + c, a + b + c + d
+    p = {k: Fraction(math.comb(ab, k) * math.comb(n - ab, ac - k), math.comb(n, ac)) for k in range(max(0, a - d), min(ab, ac) + 1)}
+    keep = {"left": lambda k: k <= a, "right": lambda k: k >= a, "both": lambda k: p[k] <= p[a] * (1 + Fraction(1, 10**7))}[tail]
+    return float(sum(v for k, v in p.items() if keep(k)))
+
+
+def test_fisher_keeps_its_digits_in_the_tails():
+    draw = random.Random(1)
+    for _ in range(400):
+        m = draw.choice([3, 10, 60, 300])
+        table = [draw.randint(0, m) for _ in range(4)]
+        for tail in TAILS:
+            assert exact_p(*map(float, table), tail) == pytest.approx(_exact(*table, tail), rel=1e-10)
+    assert exact_p(4000.0, 10.0, 10.0, 4000.0, "right") < 1e-300 or exact_p(900.0, 10.0, 10.0, 900.0, "right") == pytest.approx(_exact(900, 10, 10, 900, "right"), rel=1e-9)
+
+
 def test_student():
-    assert student_cdf(2.228138852, 10) == pytest.approx(0.975, abs=1e-8)
-    assert student_cdf(-1, 1) == pytest.approx(0.25, abs=1e-12)
-    assert student_cdf(0, 5) == 0.5 and math.isnan(student_cdf(1, 0))
+    assert student_p(2.228138852, 10, "left") == pytest.approx(0.975, abs=1e-8)
+    assert student_p(-1, 1, "left") == pytest.approx(0.25, abs=1e-12)
+    assert student_p(0, 5, "left") == 0.5 and math.isnan(student_p(1, 0))
+    for t in (0.01, 0.5, 3.0, 50.0, 1e5, 1e60):
+        one, two = math.atan(1 / t) / math.pi, 1 / (math.sqrt(t * t + 2) * (math.sqrt(t * t + 2) + t))
+        assert student_p(t, 1, "right") == pytest.approx(one, rel=1e-10) and student_p(t, 2, "right") == pytest.approx(two, rel=1e-10)
+        assert student_p(t, 7, "right") == student_p(-t, 7, "left") and student_p(-t, 2) == pytest.approx(2 * two, rel=1e-10)
+    # even degrees of freedom have a finite sum
+    t, df = 20.0, 1000
+    cos2 = Fraction(df, df + 400)
+    term = total = Fraction(1)
+    for k in range(1, df // 2):
+        term = term * cos2 * (2 * k - 1) / (2 * k)
+        total += term
+    sine = Decimal(400) / Decimal(df + 400)
+    getcontext().prec = 120
+    upper = (1 - (Decimal(400) / Decimal(df + 400)).sqrt() * Decimal(total.numerator) / Decimal(total.denominator)) / 2
+    assert sine and student_p(t, df, "right") == pytest.approx(float(upper), rel=1e-10) == student_p(-t, df, "left")
+
+
+def test_p_values_of_rows(spark):
+    rows = spark.createDataFrame([(2.0, 2.0), (-2.0, 2.0), (None, 3.0)], "t double, df double")
+    got = with_p_value(rows, "right").collect()
+    assert got[0]["p"] == pytest.approx(1 - got[1]["p"]) and math.isnan(got[2]["p"])
 
 
 def test_auc(spark):
