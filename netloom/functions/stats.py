@@ -197,7 +197,7 @@ def student_p(t: float, df: float, tail: str = "both") -> float:
 
 
 def with_p_value(rows: DataFrame, tail: str = "both") -> DataFrame:
-    """Add ``p`` to rows with ``t`` and ``df``; a null or a number that is none gives NaN."""
+    """Add ``p`` to rows with ``t`` and ``df``; a null, or no degree of freedom, gives null."""
 
     @F.pandas_udf("double")
     def p(t: pd.Series, df: pd.Series) -> pd.Series:
