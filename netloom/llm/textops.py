@@ -2,8 +2,9 @@
 
 A :class:`Block` lays the UTF-8 bytes of some texts end to end and finds words
 and lines with array operations, so that no Python loop runs per word.  Equal
-strings get equal 64-bit hashes: a rolling polynomial over the bytes (modulo
-2**64, odd base), mixed at the end.
+strings get equal 62-bit hashes: two rolling polynomials over the bytes modulo
+the prime 2**31 - 1, mixed at the end.  Different strings of L bytes are equal
+in both for about L**2 of 2**62 choices of the bases, whatever the strings are.
 """
 
 from __future__ import annotations
@@ -16,20 +17,34 @@ import numpy as np
 #: Texts are laid out in blocks of about so many bytes and at most so many texts; a longer text is a block of its own.
 BLOCK_BYTES, BLOCK_TEXTS = 1 << 20, 1024
 
+#: For runs of words; the words' own hashes are mixed already.
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 31) - 1
+_BASES = (1_202_857_339, 1_839_464_317)
+#: Bytes whose weighted sums fit 64 bits before they are reduced.
+_PLAIN = 1 << 24
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, for values under 2**63."""
+    p, shift = np.uint64(_PRIME), np.uint64(31)
+    x = (x & p) + (x >> shift)
+    x = (x & p) + (x >> shift)
+    x[x >= p] -= p
+    return x
+
+
 def _power(base: int, n: int) -> np.ndarray:
+    """Powers 0 to ``n - 1`` of ``base`` modulo the prime."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
+        size, have = max(n, BLOCK_BYTES + 2), np.ones(1, np.uint64)
+        while len(have) < size:
+            have = np.concatenate((have, _reduced(have * np.uint64(pow(base, len(have), _PRIME)))))
+        _powers[base] = have
     return have[:n]
 
 
@@ -82,16 +97,21 @@ class Block:
         return np.repeat(np.arange(self.n), self.n_words)
 
     @cached_property
-    def _rolling(self) -> np.ndarray:
-        n = len(self.bytes)
-        out = np.empty(n + 1, np.uint64)
-        out[0] = 0
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=out[1:])
+    def _rolling(self) -> list[np.ndarray]:
+        """For each base the sums of the bytes' values before each byte."""
+        n, out = len(self.bytes), []
+        value = self.bytes.astype(np.uint64) + np.uint64(1)
+        for base in _BASES:
+            terms = value * _power(base, n)
+            upto = np.zeros(n + 1, np.uint64)
+            np.cumsum(terms if n < _PLAIN else _reduced(terms), out=upto[1:])
+            out.append(upto)
         return out
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of the byte ranges."""
-        return mix((self._rolling[ends] - self._rolling[starts]) * _power(_INVERSE, len(self.bytes) + 1)[starts])
+        low, high = (_reduced(_reduced(r[ends] - r[starts]) * _power(pow(base, -1, _PRIME), len(self.bytes) + 1)[starts]) for r, base in zip(self._rolling, _BASES, strict=True))
+        return mix(low | high << np.uint64(31))
 
     @cached_property
     def words(self) -> np.ndarray:
