@@ -325,7 +325,7 @@ def flow_cv(spark, sf_dir):
 
 @query()
 def mrf_scores(spark, sf_dir):
-    return propagate.random_field(_net(spark, sf_dir), _seeds(spark, sf_dir), alpha=-1.0, beta=0.9, gamma=1.2, burn_in=20, sweeps=20, lag=2, seed=1)
+    return propagate.random_field(_net(spark, sf_dir), _seeds(spark, sf_dir), alpha=-1.0, beta=0.9, gamma=1.2, seed=1)
 
 
 @query("SELECT count(*) FILTER (p_size <= 5) AS n_positive, count(*) AS n, CAST(greatest(1, floor(0.2 * count(*) FILTER (p_size <= 5))) AS BIGINT) AS n_swapped FROM part")
@@ -938,13 +938,13 @@ def anno_edited(spark, sf_dir):
     return ontology.add_annotations(ontology.remove_annotations(anno, gone), some.withColumn("term", F.lit("S:1")))
 
 
-@query(f"{ONT}, {fx.ANNOTATION}, p AS (SELECT a.seq, c.ancestor AS term, max(a.score) AS score FROM anno a JOIN clo c ON c.id = a.term WHERE a.seq LIKE '%7' GROUP BY 1, 2) SELECT g.seq, t.id AS term, round(coalesce(p.score, 0), 6) AS score FROM (SELECT DISTINCT seq FROM anno WHERE seq LIKE '%7') g CROSS JOIN ({TERMS}) t LEFT JOIN p ON p.seq = g.seq AND p.term = t.id")
+@query(f"{ONT}, {fx.ANNOTATION}, p AS (SELECT a.seq, c.ancestor AS term, max(a.score) AS score FROM anno a JOIN clo c ON c.id = a.term GROUP BY 1, 2) SELECT g.seq, t.id AS term, round(coalesce(p.score, 0), 6) AS score FROM (SELECT DISTINCT seq FROM anno) g CROSS JOIN ({TERMS}) t LEFT JOIN p ON p.seq = g.seq AND p.term = t.id")
 def cafa_load(spark, sf_dir):
     """Terms come in under other names and a term that the ontology does not know."""
     rel = fx.ontology(spark, sf_dir)
     known = ontology.terms(rel)
     alt = known.select(F.concat(F.lit("alt "), "id").alias("alt_id"), "id")
-    rows = fx.annotation(spark, sf_dir).join(_some_parts(spark, sf_dir), "seq", "left_semi")
+    rows = fx.annotation(spark, sf_dir)
     odd = F.when(F.length("seq") % 2 == 0, F.col("term")).otherwise(F.concat(F.lit("alt "), "term"))
     rows = rows.select("seq", odd.alias("term"), "score").union(rows.select("seq", F.lit("none").alias("term"), "score"))
     return _six(ontology.load_predictions(rows, known, alt, rel), "score")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.components import connected_components
+from netloom.operators.hubs import FEW_ROWS, SHARE
 from netloom.operators.ranking import gapless_rank
 from netloom.plans.session import cut
 
@@ -141,11 +142,31 @@ def interest(net: Network, ids: DataFrame, min_degree: int = 2) -> DataFrame:
     return ids.select("id").distinct().join(degrees(net), "id", "left").agg(F.count("*").alias("n_listed"), F.coalesce(F.sum((F.col("degree") >= min_degree).cast("long")), F.lit(0)).alias("n_connected"))
 
 
-def normalised(net: Network) -> DataFrame:
-    """Arcs with ``out_w = w / sum of src`` and ``in_w = w / sum of dst``."""
+def hub_ids(edges: DataFrame, share: int = SHARE) -> list[str]:
+    """Vertices with over ``1 / share`` of the arcs, so no more than ``share``; none in a small network."""
+    degree = ends(edges).groupBy("id").agg(F.count("*").alias("n"))
+    total = 2 * edges.count()
+    return [] if total < FEW_ROWS else [r["id"] for r in degree.where(F.col("n") * share > F.lit(total)).select("id").collect()]
+
+
+def attach(rows: DataFrame, one: DataFrame, end: str, hubs: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``one`` (``id`` and others, a row for each vertex) for the vertex in ``end``.
+
+    What is told of hubs goes out by broadcast, a row for each at most, so
+    their rows stay where they are; all others meet in a shuffled join.
+    """
+    other = one.withColumnRenamed("id", end)
+    if not hubs:
+        return rows.join(other, end)
+    hub = F.col(end).isin(hubs)
+    return rows.where(~hub).join(other.where(~hub), end).unionByName(rows.where(hub).join(F.broadcast(other.where(hub)), end))
+
+
+def normalised(net: Network, hubs: list[str] | None = None) -> DataFrame:
+    """Arcs with ``out_w = w / sum of src`` and ``in_w = w / sum of dst``; with ``hubs`` known, theirs are not moved."""
     total = ends(net.edges).groupBy("id").agg(F.sum("w").alias("s"))
-    a = arcs(net.edges).join(total.select(F.col("id").alias("src"), F.col("s").alias("s_src")), "src")
-    a = a.join(total.select(F.col("id").alias("dst"), F.col("s").alias("s_dst")), "dst")
+    a = attach(arcs(net.edges), total.withColumnRenamed("s", "s_src"), "src", hubs or [])
+    a = attach(a, total.withColumnRenamed("s", "s_dst"), "dst", hubs or [])
     return a.select("src", "dst", "w", (F.col("w") / F.col("s_src")).alias("out_w"), (F.col("w") / F.col("s_dst")).alias("in_w"))
 
 
