@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators.components import connected_components
@@ -13,17 +13,22 @@ from netloom.plans.session import cut, discard
 
 #: Pairs of one group are dealt to a task for each so many.
 SALT = 512
-#: Members that stand for the largest component of a group when others are held against it a second time.
-PIVOTS = 4
+#: Members of a group that all others are held against first, besides its pivot.
+AGENTS = 4
 
 
-def meeting(members: DataFrame) -> DataFrame:
-    """``key, id, n`` of ``members`` (``key, id``, each pair once) whose key is shared by ``n`` of two or more; written down."""
+def meeting(members: DataFrame, traits: DataFrame) -> DataFrame:
+    """``key, id, n, t`` of ``members`` (``key, id``, each pair once) whose key is shared by ``n`` of two or more; written down.
+
+    ``traits`` (``id, t``) tells of each member what a first look at a pair needs.
+    """
     shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     total = shared.agg(F.sum("n")).first()[0] or 0
     rows = needed(members, F.col("key"), shared.select("key"))[0]
-    out = cut(join_by_key(rows, shared.withColumn("size", F.col("n")), ["key"], "n", total).withColumnRenamed("size", "n"))
-    discard(shared)
+    met = cut(join_by_key(rows, shared.withColumn("size", F.col("n")), ["key"], "n", total).withColumnRenamed("size", "n"))
+    weight = met.groupBy("id").agg(F.sum("n").alias("w")).join(traits, "id")
+    out = cut(met.join(weight, "id"))
+    discard(shared, met)
     return out
 
 
@@ -33,56 +38,44 @@ def _salted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.min(salt).alias("salt"))
 
 
-def _others(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """``met`` with ``comp``, and ``main``, the component with most members in the group, where a group holds several."""
-    told = met.join(labels.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    told = cut(told)
-    each = told.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("best"), F.sum("c").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
-    total = told.count()
-    out = cut(join_by_key(told.drop("n"), mixed.select("key", "n", F.col("n").alias("size"), F.col("best.comp").alias("main")), ["key"], "n", total).withColumnRenamed("size", "n"))
-    discard(told)
-    return out
-
-
-def similar(met: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar(met: DataFrame, alike: Callable[[str, str], Column], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(a, b)``: pairs that ``judge`` finds similar and that connect all that similar pairs with a shared key connect.
 
-    ``met`` is what ``meeting`` returns; ``judge`` takes pairs ``a, b, salt``,
-    each once, and returns the similar ones; a pair's ``a`` may stand in very
-    many pairs, which ``salt`` deals into tasks.
-
-    In each group all members are held against one pivot, the member that meets
-    most others, which is near the middle of a family.  Then those outside the
-    largest component of a group are held against a few members of it.  What
-    is still apart after that is held against all of its group that is in
-    another component.  So a family of any size costs a star and its stragglers.
+    ``met`` is what ``meeting`` returns.  ``alike`` tells from the names of two
+    members' traits whether the pair is worth judging, and must hold for every
+    similar pair.  ``judge`` takes pairs ``a, b, salt``, each once, and returns
+    the similar ones; a pair's ``a`` may stand in very many pairs, which
+    ``salt`` deals into tasks.
+
+    In each group all members are held against a few of it: the one that meets
+    most others, which is near the middle of a family, and some by chance.
+    What is in another component than most of the group after that is held
+    against all of its group; only pairs that are alike leave the join.  So a
+    family of any size costs a star and its stragglers.
     """
-    weight = met.groupBy("id").agg(F.sum("n").alias("w"))
-    weighed = cut(met.join(weight, "id"))
-    total = weighed.count()
-    pivot = weighed.groupBy("key").agg(F.max(F.struct("w", "id")).alias("pivot"), F.count("*").alias("n"))
-    star = join_by_key(weighed.withColumn("size", F.col("n")).drop("n"), pivot, ["key"], "n", total)
-    star = star.select(F.col("pivot.id").alias("a"), F.col("id").alias("b"), F.col("size").alias("n")).where("a <> b")
-    links = cut(judge(_salted(star)))
-    discard(weighed)
-
-    apart = _others(met, connected_components(links))
-    agents = [F.min(F.when(F.col("comp") == F.col("main"), F.struct(F.xxhash64("id", F.lit(k)), "id")))["id"].alias(f"p{k}") for k in range(PIVOTS)]
-    agent = apart.groupBy("key").agg(F.count("*").alias("n"), *agents)
-    strayed = join_by_key(apart.where("comp <> main").withColumn("size", F.col("n")).drop("n"), agent, ["key"], "n", total)
-    held = strayed.select(F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("a"), F.col("id").alias("b"), F.col("size").alias("n"))
-    more = cut(judge(_salted(held.join(links, ["a", "b"], "left_anti"))))
-    discard(apart)
-    links = cut(links.union(more))
-
-    apart = _others(met, connected_components(links))
-    stray = apart.where("comp <> main").groupBy("key").agg(F.count("*").alias("n"), F.max("n").alias("size"))
-    group = join_by_key(apart.drop("n"), stray, ["key"], "n", total).withColumn("salts", F.floor(F.col("size") / SALT) + 1)
-    one = group.where("comp <> main").withColumn("deal", F.pmod(F.xxhash64("id"), F.col("salts")))
-    every = group.select("key", F.col("id").alias("o_id"), F.col("comp").alias("o_comp"), F.col("main").alias("o_main"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("deal"))
+    total = met.count()
+    told = F.struct("id", "t")
+    agents = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), told.alias("m")))["m"].alias(f"m{k}") for k in range(AGENTS)]
+    lead = met.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("w", told.alias("m")))["m"].alias("pivot"), *agents)
+    lead = lead.select("key", "n", F.array_distinct(F.array("pivot", *[f"m{k}" for k in range(AGENTS)])).alias("lead"))
+    held = join_by_key(met.withColumn("size", F.col("n")).drop("n"), lead, ["key"], "n", total)
+    held = held.select(F.explode("lead").alias("lead"), F.col("id").alias("b"), F.col("t").alias("tb"), F.col("size").alias("n"))
+    held = held.select(F.col("lead.id").alias("a"), F.col("lead.t").alias("ta"), "b", "tb", "n").where("a <> b").where(alike("ta", "tb"))
+    links = cut(judge(_salted(held)))
+
+    component = connected_components(links).withColumnRenamed("component", "comp")
+    told = cut(met.join(component, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    each = told.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("best"), F.sum("c").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = mixed.select("key", "n", F.col("best.comp").alias("main"), (F.floor(F.col("n") / SALT) + 1).alias("salts"))
+    group = cut(join_by_key(told.withColumn("size", F.col("n")).drop("n"), mixed, ["key"], "n", total))
+    stray = group.where("comp <> main").select("key", F.pmod(F.xxhash64("id"), F.col("salts")).alias("deal"), "id", "comp", "t", "size")
+    deals = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("deal")
+    every = group.select("key", deals, F.col("id").alias("o_id"), F.col("comp").alias("o_comp"), F.col("t").alias("o_t"), (F.col("comp") == F.col("main")).alias("o_main"))
     # of two strays each meets the other once
-    pairs = one.join(every, ["key", "deal"]).where((F.col("comp") != F.col("o_comp")) & ((F.col("o_comp") == F.col("o_main")) | (F.col("id") < F.col("o_id"))))
+    apart = (F.col("comp") != F.col("o_comp")) & (F.col("o_main") | (F.col("id") < F.col("o_id")))
+    on = [stray[c] == every[c] for c in ("key", "deal")]
+    pairs = stray.join(every, on[0] & on[1] & apart & alike("t", "o_t"))
     rest = cut(judge(_salted(pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"), F.col("size").alias("n")))))
-    discard(apart)
+    discard(told, group)
     return links.union(rest)
