@@ -109,50 +109,56 @@ def marked(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """``sid, shingles`` for each set of ``wanted`` (``sid, body``), made again from a text that has it; texts stay where they are."""
+    """``sid, shingles`` for each set of ``wanted`` (``sid, row_id, body``), made again from a row that has it; texts stay where they are."""
     body = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    rows = needed(docs.select(body.alias("body"), "text"), F.col("body"), wanted.select("body"))[0]
+    mark = lambda i, b: F.xxhash64(i, b)
+    rows = needed(docs.select(F.col("doc_id").alias("row_id"), body.alias("body"), "text"), mark(F.col("row_id"), F.col("body")), wanted.select(mark(F.col("row_id"), F.col("body"))))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in blocks([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
+            for at, texts in blocks([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]):
                 sets = shingle_sets(texts, words)
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), values], ["body", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), values], ["row_id", "body", "shingles"])
 
-    made = rows.mapInArrow(run, "body binary, shingles array<long>")
-    # copies of a text have equal sets; the first one found is handed on by each task
-    return made.join(wanted, "body", "left_semi").groupBy("body").agg(F.first("shingles").alias("shingles")).join(wanted, "body").select("sid", "shingles")
+    made = rows.mapInArrow(run, f"row_id {rows.dtypes[0][1]}, body binary, shingles array<long>").withColumnRenamed("row_id", "own_id").withColumnRenamed("body", "own_body")
+    same = F.col("own_id").eqNullSafe(F.col("row_id")) & (F.col("own_body") == F.col("body"))
+    # rows that are equal have equal sets; each task hands on one
+    return made.join(wanted, same).groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
-def _close(a: str, b: str) -> Column:
-    """Whether sketches differ in few enough bits."""
-    apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(COORDINATES // 64)), F.lit(0))
-    return apart <= SKETCH_BITS
+def _alike(a: str, b: str, least: int) -> Column:
+    """Whether sizes allow the similarity and sketches differ in few enough bits."""
+    n, m = F.col(a)["n"], F.col(b)["n"]
+    apart = sum((F.bit_count(F.col(a)[f"s{i}"].bitwiseXOR(F.col(b)[f"s{i}"])) for i in range(COORDINATES // 64)), F.lit(0))
+    return (100 * F.least(n, m) >= least * F.greatest(n, m)) & (apart <= SKETCH_BITS)
 
 
 def set_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """``(a, b)``: links between different sets (``sid, body, n, keys, sketch``) whose similarity is ``least`` percent or more."""
-    met = meeting(sets.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("sid").alias("id")))
-    known = cut(sets.select("sid", "body", "n", "sketch").join(met.select(F.col("id").alias("sid")).distinct(), "sid"))
+    """``(a, b)``: links between different sets (``sid, row_id, body, n, keys, sketch``) whose similarity is ``least`` percent or more."""
+    traits = F.struct("n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(COORDINATES // 64)])
+    keyed = sets.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("sid").alias("id"))
+    met = meeting(keyed, sets.select(F.col("sid").alias("id"), traits.alias("t")))
+    size = sets.select("sid", "n", "row_id", "body")
 
     def judge(pairs: DataFrame) -> DataFrame:
-        side = lambda c: known.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+        pairs = cut(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        wanted = cut(size.join(ids, "sid"))
+        full = full_sets(docs, wanted.select("sid", "row_id", "body"), words).join(wanted.select("sid", "n"), "sid")
+        full = cut(full)
+        side = lambda c: full.select(F.col("sid").alias(c), F.col("shingles").alias(f"x_{c}"), F.col("n").alias(f"n_{c}"))
         first = pairs.select("a", "salt").distinct().join(side("a"), "a")
         both = pairs.join(side("b"), "b").join(first, ["a", "salt"])
-        fits = 100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
-        close = cut(both.where(fits & _close("s_a", "s_b")).select("a", "b", "salt", "n_a", "n_b"))
-        ids = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        full = cut(full_sets(docs, known.select("sid", "body").join(ids, "sid"), words))
-        first = close.select("a", "salt").distinct().join(full.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
-        both = close.join(full.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b").join(first, ["a", "salt"])
-        shared = F.size(F.array_intersect("x", "y"))
+        shared = F.size(F.array_intersect("x_a", "x_b"))
         out = cut(both.where((100 + least) * shared >= least * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
-        discard(close, full)
+        discard(pairs, wanted, full)
         return out
 
-    return similar(met, judge)
+    links = cut(similar(met, lambda a, b: _alike(a, b, least), judge))
+    discard(met)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -171,8 +177,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     """
     rows = cut(marked(docs, words))
     held = rows.where("sid is not null")
-    sets = cut(held.groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.min("body").alias("body"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    group = connected_components(set_links(docs, sets, words, least)).select(F.col("id").alias("sid"), "component")
+    sets = cut(held.groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "body")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    known = sets.select("sid", F.col("row.doc_id").alias("row_id"), F.col("row.body").alias("body"), "n", "keys", "sketch")
+    group = connected_components(set_links(docs, known, words, least)).select(F.col("id").alias("sid"), "component")
     labelled = cut(sets.select("sid", "low", "copies").join(group, "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     named = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     told = labelled.join(named, "component").select("sid", "copies", "component_id")
