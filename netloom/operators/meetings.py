@@ -15,6 +15,8 @@ from netloom.plans.session import cut, discard
 SALT = 512
 #: Members of a group that all others are held against first, besides its pivot.
 AGENTS = 4
+#: Components of more members than this are large: what meets them is settled for all of it at once, where that can be done.
+LARGE = 64
 
 
 def meeting(members: DataFrame, traits: DataFrame) -> DataFrame:
@@ -38,12 +40,12 @@ def _salted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.min(salt).alias("salt"))
 
 
-def similar(met: DataFrame, alike: Callable[[str, str], Column], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar(met: DataFrame, alike: Callable[[str, str, str], Column], judge: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame, DataFrame], DataFrame] | None = None, agents: int = AGENTS) -> DataFrame:
     """``(a, b)``: pairs that ``judge`` finds similar and that connect all that similar pairs with a shared key connect.
 
     ``met`` is what ``meeting`` returns.  ``alike`` tells from the names of two
-    members' traits whether the pair is worth judging, and must hold for every
-    similar pair.  ``judge`` takes pairs ``a, b, salt``, each once, and returns
+    members' traits, and of the size of the group they meet in, whether the
+    pair is worth judging.  ``judge`` takes pairs ``a, b, salt``, each once, and returns
     the similar ones; a pair's ``a`` may stand in very many pairs, which
     ``salt`` deals into tasks.
 
@@ -52,30 +54,43 @@ def similar(met: DataFrame, alike: Callable[[str, str], Column], judge: Callable
     What is in another component than most of the group after that is held
     against all of its group; only pairs that are alike leave the join.  So a
     family of any size costs a star and its stragglers.
+
+    A large family may have many stragglers.  ``settle`` gets them as ``id,
+    comp`` with the component that they met, and the members of these as ``id,
+    comp``; it returns links to members, so that no row a pair is made.
     """
     total = met.count()
     told = F.struct("id", "t")
-    agents = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), told.alias("m")))["m"].alias(f"m{k}") for k in range(AGENTS)]
-    lead = met.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("w", told.alias("m")))["m"].alias("pivot"), *agents)
-    lead = lead.select("key", "n", F.array_distinct(F.array("pivot", *[f"m{k}" for k in range(AGENTS)])).alias("lead"))
+    some = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), told.alias("m")))["m"].alias(f"m{k}") for k in range(agents)]
+    lead = met.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("w", told.alias("m")))["m"].alias("pivot"), *some)
+    lead = lead.select("key", "n", F.array_distinct(F.array("pivot", *[f"m{k}" for k in range(agents)])).alias("lead"))
     held = join_by_key(met.withColumn("size", F.col("n")).drop("n"), lead, ["key"], "n", total)
     held = held.select(F.explode("lead").alias("lead"), F.col("id").alias("b"), F.col("t").alias("tb"), F.col("size").alias("n"))
-    held = held.select(F.col("lead.id").alias("a"), F.col("lead.t").alias("ta"), "b", "tb", "n").where("a <> b").where(alike("ta", "tb"))
+    held = held.select(F.col("lead.id").alias("a"), F.col("lead.t").alias("ta"), "b", "tb", "n").where("a <> b").where(alike("ta", "tb", "n"))
     links = cut(judge(_salted(held)))
 
-    component = connected_components(links).withColumnRenamed("component", "comp")
-    told = cut(met.join(component, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    each = told.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("best"), F.sum("c").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = mixed.select("key", "n", F.col("best.comp").alias("main"), (F.floor(F.col("n") / SALT) + 1).alias("salts"))
+    component = cut(connected_components(links).withColumnRenamed("component", "comp"))
+    most = component.groupBy("comp").agg(F.count("*").alias("many")).where(F.col("many") > (LARGE if settle else (1 << 62)))
+    placed = component.join(most, "comp", "left").select("id", "comp", "many")
+    told = cut(met.join(placed, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    each = told.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("many").alias("many"))
+    large = F.collect_list(F.when(F.col("many").isNotNull(), F.struct("many", "comp")))
+    mixed = each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("best"), F.sum("c").alias("n"), F.count("*").alias("kinds"), large.alias("large")).where("kinds > 1")
+    mixed = mixed.select("key", "n", F.col("best.comp").alias("main"), "large", (F.floor(F.col("n") / SALT) + 1).alias("salts"))
     group = cut(join_by_key(told.withColumn("size", F.col("n")).drop("n"), mixed, ["key"], "n", total))
-    stray = group.where("comp <> main").select("key", F.pmod(F.xxhash64("id"), F.col("salts")).alias("deal"), "id", "comp", "t", "size")
-    deals = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("deal")
-    every = group.select("key", deals, F.col("id").alias("o_id"), F.col("comp").alias("o_comp"), F.col("t").alias("o_t"), (F.col("comp") == F.col("main")).alias("o_main"))
+    if settle:
+        strays = group.select("id", F.struct(F.coalesce("many", F.lit(0)).alias("many"), "comp").alias("own"), F.explode("large").alias("of"))
+        strays = cut(strays.where((F.col("own.comp") != F.col("of.comp")) & (F.col("own") < F.col("of"))).select("id", F.col("of.comp").alias("comp")).distinct())
+        links = links.union(cut(settle(strays, placed.where("many is not null").select("id", "comp"))))
+
     # of two strays each meets the other once
     apart = (F.col("comp") != F.col("o_comp")) & (F.col("o_main") | (F.col("id") < F.col("o_id")))
+    single = group.where("many is null")
+    stray = single.where("comp <> main").select("key", F.pmod(F.xxhash64("id"), F.col("salts")).alias("deal"), "id", "comp", "t", "size")
+    deals = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("deal")
+    every = single.select("key", deals, F.col("id").alias("o_id"), F.col("comp").alias("o_comp"), F.col("t").alias("o_t"), (F.col("comp") == F.col("main")).alias("o_main"))
     on = [stray[c] == every[c] for c in ("key", "deal")]
-    pairs = stray.join(every, on[0] & on[1] & apart & alike("t", "o_t"))
+    pairs = stray.join(every, on[0] & on[1] & apart & alike("t", "o_t", "size"))
     rest = cut(judge(_salted(pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"), F.col("size").alias("n")))))
     discard(told, group)
     return links.union(rest)
