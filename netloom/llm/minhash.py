@@ -31,6 +31,8 @@ WORDS, LEAST = 2, 80
 PLACES, COORDINATES, BAND, SEED = 1 << 20, 512, 8, 7
 #: Of the signatures' low bits so many may differ before the sets are read: seven standard deviations at a similarity of 0.8.
 SKETCH_BITS = 100
+#: Strays and members of a large component that are held against each other at once.
+TILE = 512
 _RUN = 256
 
 
@@ -135,29 +137,72 @@ def _alike(a: str, b: str, least: int) -> Column:
     return (100 * F.least(n, m) >= least * F.greatest(n, m)) & (apart <= SKETCH_BITS)
 
 
+def _tiles(rows: DataFrame, comp: DataFrame, own: str, other: str) -> DataFrame:
+    """``rows`` (``id, comp``) dealt by hash to the chunks of their side, once for each chunk of the other."""
+    chunk = F.pmod(F.xxhash64("id"), F.col(own)).alias(own)
+    return rows.join(comp, "comp").select("comp", "id", chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
+
+
+def settled(strays: DataFrame, members: DataFrame, full: DataFrame, least: int = LEAST) -> DataFrame:
+    """``(a, b)``: links of strays to members of the component they met, one at most from each tile.
+
+    A tile holds up to about TILE strays and TILE members of a component with
+    their sets (``full``: ``sid, shingles``); it gives back links alone, so no
+    row a pair is made.
+    """
+    n = strays.groupBy("comp").agg((F.floor(F.count("*") / TILE) + 1).alias("i"))
+    m = members.groupBy("comp").agg((F.floor(F.count("*") / TILE) + 1).alias("j"))
+    comp = cut(n.join(m, "comp"))
+    sets = lambda c: full.select(F.col("sid").alias("id"), F.col("shingles").alias(c))
+
+    def parts(table: pa.Table, of: str) -> tuple[list, np.ndarray, np.ndarray]:
+        lists = table.column(of).combine_chunks()
+        return table.column("id").to_pylist(), lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
+
+    def links(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            ids, own, sizes = parts(left, "own")
+            others, values, counts = parts(right, "held")
+            first = np.cumsum(counts) - counts
+            at = 0
+            for i, size in zip(ids, sizes.tolist(), strict=True):
+                x, at = own[at : at + size], at + size
+                hit = x[np.minimum(np.searchsorted(x, values), size - 1)] == values
+                shared = np.add.reduceat(hit, first, dtype=np.int64)
+                linked = np.flatnonzero((100 + least) * shared >= least * (size + counts))
+                if len(linked):
+                    a.append(i)
+                    b.append(others[linked[0]])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    keys = ["comp", "i", "j"]
+    left = _tiles(strays, comp, "i", "j").join(sets("own"), "id")
+    right = _tiles(members, comp, "j", "i").join(sets("held"), "id")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(links, "a binary, b binary")
+
+
 def set_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """``(a, b)``: links between different sets (``sid, row_id, body, n, keys, sketch``) whose similarity is ``least`` percent or more."""
     traits = F.struct("n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(COORDINATES // 64)])
     keyed = sets.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("sid").alias("id"))
     met = meeting(keyed, sets.select(F.col("sid").alias("id"), traits.alias("t")))
-    size = sets.select("sid", "n", "row_id", "body")
+    ids = met.select(F.col("id").alias("sid")).distinct()
+    wanted = cut(sets.select("sid", "n", "row_id", "body").join(ids, "sid"))
+    full = cut(full_sets(docs, wanted.select("sid", "row_id", "body"), words))
 
     def judge(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        wanted = cut(size.join(ids, "sid"))
-        full = full_sets(docs, wanted.select("sid", "row_id", "body"), words).join(wanted.select("sid", "n"), "sid")
-        full = cut(full)
-        side = lambda c: full.select(F.col("sid").alias(c), F.col("shingles").alias(f"x_{c}"), F.col("n").alias(f"n_{c}"))
+        side = lambda c: full.select(F.col("sid").alias(c), F.col("shingles").alias(f"x_{c}"))
         first = pairs.select("a", "salt").distinct().join(side("a"), "a")
         both = pairs.join(side("b"), "b").join(first, ["a", "salt"])
         shared = F.size(F.array_intersect("x_a", "x_b"))
-        out = cut(both.where((100 + least) * shared >= least * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
-        discard(pairs, wanted, full)
+        out = cut(both.where((100 + least) * shared >= least * (F.size("x_a") + F.size("x_b"))).select("a", "b"))
+        discard(pairs)
         return out
 
-    links = cut(similar(met, lambda a, b: _alike(a, b, least), judge))
-    discard(met)
+    links = cut(similar(met, lambda a, b, _: _alike(a, b, least), judge, lambda strays, members: settled(strays, members, full, least)))
+    discard(met, wanted, full)
     return links
 
 

@@ -102,6 +102,21 @@ def test_one_family_of_very_many_and_loose_sharers(spark):
     assert told(minhash.near_duplicates(docs)) == brute(list(enumerate(texts)))
 
 
+def test_a_large_family_with_many_stragglers(spark, monkeypatch):
+    """Copies with few changes are one component; those with many meet it in most groups and are settled in tiles."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(120)]
+    noisy = lambda share: " ".join(rng.choice(words) if rng.random() < share else w for w in base)
+    texts = [noisy(0.02) for _ in range(200)] + [noisy(0.08) for _ in range(200)] + [noisy(0.14) for _ in range(100)]
+    monkeypatch.setattr(minhash, "TILE", 40)
+    seen, settled = [], minhash.settled
+    monkeypatch.setattr(minhash, "settled", lambda strays, members, *rest: seen.append((strays.count(), members.count())) or settled(strays, members, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert told(minhash.near_duplicates(docs)) == brute(list(enumerate(texts)))
+    assert seen[0][0] > 30 and seen[0][1] > 100
+
+
 def test_bands_meet_as_often_as_the_theory_says():
     """Sets with a similarity of 0.8: agreeing coordinates, and pairs none of whose bands agree."""
     rng = np.random.default_rng(3)
