@@ -563,6 +563,32 @@ def micro_fmax(spark, sf_dir):
     return _six(evaluate.fmax(evaluate.prc(evaluate.confusion_at(panel, taus))), "fmax")
 
 
+MICRO_CM = f"{MICRO}, cm AS (SELECT r.tau, CAST(count(*) FILTER (p >= tau AND t) AS DOUBLE) AS tp, CAST(count(*) FILTER (p >= tau AND NOT t) AS DOUBLE) AS fp, CAST(count(*) FILTER (t) AS DOUBLE) AS pos, CAST(count(*) FILTER (NOT t) AS DOUBLE) AS neg FROM r, panel GROUP BY r.tau)"
+
+
+@query(f"{MICRO_CM}, pts AS (SELECT DISTINCT fp / neg AS x, tp / pos AS y FROM cm), l AS (SELECT *, lag(x) OVER (ORDER BY x, y) AS px, lag(y) OVER (ORDER BY x, y) AS py FROM pts) SELECT round(coalesce(sum((y + py) * (x - px) / 2), 0), 6) AS auc FROM l")
+def micro_auc(spark, sf_dir):
+    return _six(evaluate.micro_average(_panel(spark, sf_dir), "auc"), "auc")
+
+
+@query(f"{MICRO_CM} SELECT round(sqrt(min((pos - tp) * (pos - tp) + fp * fp)), 6) AS sdmin FROM cm")
+def micro_sdmin(spark, sf_dir):
+    return _six(evaluate.micro_average(_panel(spark, sf_dir), "sdmin"), "sdmin")
+
+
+@query(f"WITH g AS ({fx.GENES}), s AS ({fx.GENE_SCORES}) SELECT g.id, round(CASE WHEN s.id LIKE '%3' THEN 0 ELSE s.score END, 6) AS score, g.label FROM g LEFT JOIN s USING (id)")
+def auc_inputs(spark, sf_dir):
+    """Labelled rows without a prediction score 0."""
+    scored = fx.gene_scores(spark, sf_dir).where("id not like '%3'")
+    return _six(evaluate.label_scores(fx.genes(spark, sf_dir), scored), "score")
+
+
+@query("SELECT round(-log10(0.05), 6) AS level, round(-log10(0.05 / count(*)), 6) AS corrected FROM part")
+def bonferroni(spark, sf_dir):
+    level, corrected = evaluate.significance(F.col("n"))
+    return fx.table(spark, sf_dir, "part").agg(F.count("*").alias("n")).select(F.round(level, 6).alias("level"), F.round(corrected, 6).alias("corrected"))
+
+
 @query(f"{PANEL_CM}, a AS (SELECT entity, sqrt(min(CAST((pos - tp) * (pos - tp) + fp * fp AS DOUBLE))) AS sdmin FROM k WHERE pos > 0 AND neg > 0 GROUP BY entity) SELECT round(avg(sdmin), 6) AS sdmin, count(*) AS n_used, (SELECT count(DISTINCT entity) FROM panel) - count(*) AS n_skipped FROM a")
 def macro_sdmin(spark, sf_dir):
     return _six(evaluate.macro_average(_panel(spark, sf_dir), "entity", "sdmin"), "sdmin")
@@ -950,6 +976,98 @@ def cafa_load(spark, sf_dir):
     return _six(ontology.load_predictions(rows, known, alt, rel), "score")
 
 
+@query(f"WITH {fx.ANNOTATION} SELECT DISTINCT seq, term FROM anno")
+def io_annotation_files(spark, sf_dir):
+    """Two files; some terms come under other names, and one that the ontology does not know."""
+    anno, path = fx.annotation(spark, sf_dir), _scratch(spark)
+    known = ontology.terms(fx.ontology(spark, sf_dir))
+    alt = known.select(F.concat(F.lit("alt:"), "id").alias("alt_id"), "id")
+    even = F.length("seq") % 2 == 0
+    sinks.save_table(anno.where(even).select("seq", "term"), f"{path}/a")
+    other = anno.where(~even).select("seq", F.concat(F.lit("alt:"), "term").alias("term"))
+    sinks.save_table(other.union(other.select("seq", F.lit("none"))), f"{path}/b")
+    return ontology.annotate(text.read_annotations(spark, [f"{path}/a", f"{path}/b"]), known, alt)
+
+
+@query(f"WITH {fx.ONTOLOGY} SELECT parent, child FROM ont")
+def io_ontology_text(spark, sf_dir):
+    rel, path = fx.ontology(spark, sf_dir), _scratch(spark)
+    named = ontology.terms(rel).withColumn("name", F.concat(F.lit("the "), "id"))
+    sinks.save_ontology_text(named, rel, f"{path}/terms", f"{path}/relations")
+    return spark.read.csv(f"{path}/relations", sep="\t", schema="parent string, child string")
+
+
+@query(f"WITH {fx.LABELLED} SELECT source AS id, '0.5' AS cutoff, '5' AS steps, round(avg(r.score), 6) AS auc FROM roc r JOIN documents d ON d.doc_id = r.id GROUP BY source")
+def io_auc_file(spark, sf_dir):
+    docs, path = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), _scratch(spark)
+    each = fx.labelled_scores(spark, sf_dir).join(docs, "id").groupBy("source").agg(F.avg("score").alias("auc"))
+    sinks.save_table(each.select("source", F.lit("0.5"), F.lit("5"), "auc"), path)
+    return _six(text.read_aucs(spark, path).select("id", "cutoff", "steps", "auc"), "auc")
+
+
+@query(f"WITH s AS ({fx.GENE_SCORES}) SELECT id, CASE WHEN id LIKE '%7' THEN 0 ELSE round(score, 6) END AS score FROM s")
+def io_calibration_file(spark, sf_dir):
+    scored, path = fx.gene_scores(spark, sf_dir), _scratch(spark)
+    value = F.when(F.col("id").like("%7"), F.when(F.length("id") % 2 == 0, "NAS").otherwise("")).otherwise(F.col("score").cast("string"))
+    scored.select(F.concat_ws("\t", "id", value).alias("value")).write.text(path)
+    return _six(text.read_calibration(spark, path), "score")
+
+
+@query("SELECT CAST(p_partkey AS STRING) AS id FROM part")
+def io_item_file(spark, sf_dir):
+    """Items in lines of several each, read as the vertices of a network without edges."""
+    path = _scratch(spark)
+    parts = fx.table(spark, sf_dir, "part").groupBy("p_size").agg(F.concat_ws("  ", F.collect_list(F.col("p_partkey").cast("string"))).alias("value"))
+    parts.select("value").write.text(path)
+    return text.read_nodes(spark, path).vertices
+
+
+@query("SELECT c_custkey AS id, c_name AS name, round(c_acctbal, 2) AS balance, CAST(greatest(least(c_custkey, 127), -128) AS TINYINT) AS small FROM customer")
+def io_csv_policies(spark, sf_dir):
+    """Trimmed fields, doubled quotes, comments, and numbers that are too large for their type."""
+    path = _scratch(spark)
+    c = fx.table(spark, sf_dir, "customer")
+    row = F.concat_ws(" , ", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), F.round("c_acctbal", 2).cast("string"), F.col("c_custkey").cast("string"))
+    lines = c.select(F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("# said\n"), row)).otherwise(row).alias("value"))
+    lines.write.text(path)
+    return text.read_csv(spark, path, "id bigint, name string, balance double, small tinyint", comment="#", overflow="saturate")
+
+
+@query(f"{A}, both AS (SELECT src, dst, w FROM net_a UNION ALL SELECT dst, src, w FROM net_a), n AS (SELECT CAST(p_partkey AS STRING) AS id FROM part WHERE p_partkey <= 40) SELECT b.src AS id, count(*) FILTER (b.dst = '1') AS to_1, count(*) FILTER (b.dst = '2') AS to_2, count(*) AS n_linked FROM both b JOIN n x ON x.id = b.src JOIN n y ON y.id = b.dst GROUP BY b.src")
+def small_matrix(spark, sf_dir):
+    """Who is linked in the matrix of forty vertices."""
+    ids = [str(k) for k in range(1, 41)]
+    m = sinks.matrix(fx.net_a(spark, sf_dir), ids)
+    linked = lambda k: (F.col(f"`{k}`") != "-").cast("long")
+    return m.select(F.col("src").alias("id"), linked("1").alias("to_1"), linked("2").alias("to_2"), sum((linked(k) for k in ids), F.lit(0)).alias("n_linked"))
+
+
+@query("SELECT 300 AS n, 300 AS n_different, 300 AS n_known")
+def randsample_invariants(spark, sf_dir):
+    """How many of 300 orders drawn without replacement there are, are different and are orders."""
+    orders = fx.table(spark, sf_dir, "orders").select("o_orderkey")
+    some = cut(sampling.sample(orders, 300, ["o_orderkey"], seed=2))
+    known = some.join(orders, "o_orderkey", "left_semi").agg(F.count("*").cast("int").alias("n_known"))
+    return some.agg(F.count("*").cast("int").alias("n"), F.countDistinct("o_orderkey").cast("int").alias("n_different")).join(known)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
+def out_of_bag(spark, sf_dir):
+    orders = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    bag = fx.table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))
+    return sampling.out_of_bag(orders, bag.union(bag), ["o_custkey"]).select("o_orderkey")
+
+
+@query()
+def term_members_predict(spark, sf_dir):
+    """Members that each learn six of ten terms, on their own part of the ontology, of masked outputs."""
+    names = [f"t{k}" for k in range(10)]
+    rel = spark.createDataFrame([(n, "t0") for n in names[1:5]] + [("t6", "t5"), ("t7", "t6"), ("t9", "t5"), ("t8", "t0"), ("t5", "t0")], "child string, parent string")
+    up = lambda v, k: F.when(k == 0, F.aggregate("y", F.lit(0.0), lambda a, b: F.greatest(a, b))).when(k == 5, F.greatest(*[F.get("y", F.lit(i)) for i in (5, 6, 7, 9)])).when(k == 6, F.greatest(F.get("y", F.lit(6)), F.get("y", F.lit(7)))).otherwise(v)
+    rows = _vectors(spark, sf_dir).withColumn("y", F.transform("y", up))
+    return learn.predict_members(rows, learn.train_members(rows, names, rel, learn.Settings(models=5, loss="mse_con_reg", mask=True), per_member=6))
+
+
 # --- matrices ---------------------------------------------------------------------------------
 
 CELLS = "cells AS (SELECT CAST(user_id AS STRING) AS row_tag, event_type AS col_tag, max(value) AS v FROM events GROUP BY 1, 2)"
@@ -998,8 +1116,7 @@ def _vectors(spark, sf_dir):
 
 
 def _series(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    return e.select("id", F.col("s.value").alias("x"))
+    return learn.points(fx.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
 
 
 @query()
@@ -1033,6 +1150,22 @@ def vq_windows(spark, sf_dir):
     return learn.windows(_series(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("n_windows"))
 
 
+POINTS = "p AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS at, value AS x, count(*) OVER (PARTITION BY user_id) AS total FROM events)"
+
+
+@query(f"WITH {POINTS}, w AS (SELECT id, at, total, sum(x) OVER s AS total_x, first(x) OVER s AS first_x, last(x) OVER s AS last_x FROM p WINDOW s AS (PARTITION BY id ORDER BY at ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) SELECT id, at, round(total_x, 6) AS total_x, round(first_x, 6) AS first_x, round(last_x, 6) AS last_x FROM w WHERE at + 8 < total AND at % 3 = 0")
+def vq_window_values(spark, sf_dir):
+    """Every third window of eight values: what is in it."""
+    w = learn.windows(_series(spark, sf_dir), 8, 3, size=64)
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return _six(w.select("id", "at", total.alias("total_x"), F.col("x")[0].alias("first_x"), F.col("x")[7].alias("last_x")), "total_x", "first_x", "last_x")
+
+
+@query("WITH n AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1), t AS (SELECT count(*) AS k, greatest(1, sum(n) - count(*)) AS rest FROM n) SELECT id, least(n - 16, CAST(floor((n - 1)::DOUBLE / rest * (4000 - k)) AS BIGINT) + 1) AS n_sampled FROM n, t WHERE n > 16")
+def vq_sample_sizes(spark, sf_dir):
+    return learn.sampled_windows(_series(spark, sf_dir), most=4000).groupBy("id").agg(F.count("*").alias("n_sampled"))
+
+
 @query()
 def vq_features(spark, sf_dir):
     series = _series(spark, sf_dir)

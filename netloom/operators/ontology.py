@@ -1,16 +1,25 @@
 """Ontologies: directed acyclic ``(child, parent)`` relations, and annotations on them.
 
-Ways up double their length per round, so a hierarchy of any depth takes a few
-rounds; a term that is its own ancestor, by a loop to itself too, is an error.
+Depth and order need a row a term: runs of terms with one parent each are
+jumped over in doubling steps, and what is left is peeled from the top.  Scores
+and annotations go up level by level, combined at each.  Where all ancestors
+are asked for, ways up double their length per round.  A term that is its own
+ancestor, by a loop to itself too, is an error.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.hubs import join_by_key
 from netloom.plans.session import cut, discard
 
+#: Levels up to which scores go up one by one.
+MOST_LEVELS = 64
+
 
 class CycleError(ValueError):
     """The relations do not form an acyclic graph."""
@@ -45,9 +54,10 @@ def resolve(ids: DataFrame, known: DataFrame, alt: DataFrame) -> DataFrame:
     return ids.join(k, "id", "left").join(a, "id", "left").select("id", F.coalesce("_own", "_alt").alias("valid"))
 
 
-def ways_up(rel: DataFrame) -> DataFrame:
-    """``id, ancestor, near, far``: every strict ancestor of each term, with the shortest and the longest way to it."""
-    known = cut(rel.select(F.col("child").alias("id"), F.col("parent").alias("ancestor")).distinct().withColumns({"near": F.lit(1), "far": F.lit(1)}))
+def ways_up(rel: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``id, ancestor, near, far``: every strict ancestor of each term, with the shortest and the longest way to it; within ``keys``, if given."""
+    keys = keys or []
+    known = cut(rel.select(*keys, F.col("child").alias("id"), F.col("parent").alias("ancestor")).distinct().withColumns({"near": F.lit(1), "far": F.lit(1)}))
     before = None
     while True:
         told = known.agg(F.count("*").alias("n"), F.sum("near"), F.sum("far"), F.count(F.when(F.col("id") == F.col("ancestor"), 1)).alias("loops")).first()
@@ -55,10 +65,10 @@ def ways_up(rel: DataFrame) -> DataFrame:
             raise CycleError("a term is its own ancestor")
         if told == before:
             return known
-        above = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("top"), F.col("near").alias("near2"), F.col("far").alias("far2"))
-        longer = known.join(above, "ancestor").select("id", F.col("top").alias("ancestor"), (F.col("near") + F.col("near2")).alias("near"), (F.col("far") + F.col("far2")).alias("far"))
+        above = known.select(*keys, F.col("id").alias("ancestor"), F.col("ancestor").alias("top"), F.col("near").alias("near2"), F.col("far").alias("far2"))
+        longer = known.join(above, [*keys, "ancestor"]).select(*keys, "id", F.col("top").alias("ancestor"), (F.col("near") + F.col("near2")).alias("near"), (F.col("far") + F.col("far2")).alias("far"))
         old, before = known, told
-        known = cut(known.union(longer).groupBy("id", "ancestor").agg(F.min("near").alias("near"), F.max("far").alias("far")))
+        known = cut(known.union(longer).groupBy(*keys, "id", "ancestor").agg(F.min("near").alias("near"), F.max("far").alias("far")))
         discard(old)
 
 
@@ -76,16 +86,80 @@ def offspring(rel: DataFrame, ids: DataFrame) -> DataFrame:
     return closure(rel).join(ids.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct()
 
 
+def _anchored(rel: DataFrame) -> DataFrame:
+    """``id, anchor, way, own``: for every term the first one on its way up that has no parent or several, and how far it is; itself, 0, where it is one.
+
+    ``rel`` holds each relation once.  A term with a single parent points to
+    it; pointers double their length per round, so a chain takes the logarithm
+    of its length.  Pointers that never end run in a loop.
+    """
+    lone = rel.groupBy("child").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).where("n = 1")
+    jump = cut(lone.select(F.col("child").alias("id"), F.col("parent").alias("anchor"), F.lit(1).cast("long").alias("way")))
+    total = jump.count()
+    for _ in range(total.bit_length() + 1):
+        held = jump.groupBy(F.col("anchor").alias("id")).agg(F.count("*").alias("n"))
+        above = jump.join(held, "id").select(F.col("id").alias("anchor"), F.col("anchor").alias("top"), F.col("way").alias("more"), "n")
+        if above.isEmpty():
+            break
+        longer = join_by_key(jump, above, ["anchor"], "n", total).select("id", F.col("top").alias("anchor"), (F.col("way") + F.col("more")).alias("way"))
+        ended = jump.join(above.select("anchor"), "anchor", "left_anti").select("id", "anchor", "way")
+        old, jump = jump, cut(longer.union(ended))
+        discard(old)
+    else:
+        if total:
+            raise CycleError("a term is its own ancestor")
+    own = terms(rel).join(jump.select("id"), "id", "left_anti")
+    return jump.union(own.select("id", F.col("id").alias("anchor"), F.lit(0).cast("long").alias("way")))
+
+
+def levels(rel: DataFrame) -> DataFrame:
+    """``id, depth, level``: the shortest and the longest way from a root to each term; written down.
+
+    Terms with several parents are told once all of these are (Kahn's order); a
+    round tells all that can be told, with the runs of single parents below
+    them.  So there are as many rounds as terms with several parents lie above
+    each other, and no state is larger than the relations.
+    """
+    rel = cut(rel.select("child", "parent").where("child is not null and parent is not null").distinct())
+    if not rel.where("child = parent").isEmpty():
+        raise CycleError("a term is its own ancestor")
+    place = cut(_anchored(rel))
+    several = place.where("id = anchor").select(F.col("id").alias("child"))
+    up = rel.join(several, "child").join(place.withColumnRenamed("id", "parent"), "parent")
+    links = cut(up.groupBy("child", "anchor").agg((F.min("way") + 1).alias("near"), (F.max("way") + 1).alias("far")))
+    told = cut(several.join(links.select("child").distinct(), "child", "left_anti").select(F.col("child").alias("anchor"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("level")))
+    waiting = cut(links.groupBy("child").agg(F.count("*").alias("open")).withColumns({"depth": F.lit(None).cast("long"), "level": F.lit(None).cast("long")}))
+    found, new = [told], told
+    left = waiting.count()
+    while left:
+        come = links.join(new, "anchor").groupBy("child").agg(F.count("*").alias("n"), F.min(F.col("depth") + F.col("near")).alias("d"), F.max(F.col("level") + F.col("far")).alias("l"))
+        after = cut(waiting.join(come, "child", "left").select("child", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.least("depth", "d").alias("depth"), F.greatest("level", "l").alias("level")))
+        discard(waiting)
+        new = cut(after.where("open = 0").select(F.col("child").alias("anchor"), "depth", "level"))
+        waiting = after.where("open > 0")
+        got = new.count()
+        if not got:
+            raise CycleError("a term is its own ancestor")
+        left -= got
+        found.append(new)
+        if len(found) > 32:
+            found = [cut(reduce(DataFrame.union, found))]
+    anchor = reduce(DataFrame.union, found)
+    held = place.groupBy("anchor").agg(F.count("*").alias("n"))
+    every = join_by_key(place, anchor.join(held, "anchor"), ["anchor"], "n", place.count())
+    out = cut(every.select("id", (F.col("depth") + F.col("way")).cast("int").alias("depth"), (F.col("level") + F.col("way")).cast("int").alias("level")))
+    discard(rel, place, links)
+    return out
+
+
 def depths(rel: DataFrame) -> DataFrame:
     """``id, depth``: 0 at the roots, else one more than the smallest depth of a parent."""
-    top = roots(rel)
-    below = ways_up(rel).join(top.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").groupBy("id").agg(F.min("near").alias("depth"))
-    return below.union(top.withColumn("depth", F.lit(0)))
+    return levels(rel).select("id", "depth")
 
 
 def topological(rel: DataFrame) -> DataFrame:
     """``id, level``: the longest way from a root; ordered by it and the id, parents come before children."""
-    return ways_up(rel).groupBy("id").agg(F.max("far").alias("level")).union(roots(rel).withColumn("level", F.lit(0)))
+    return levels(rel).select("id", "level")
 
 
 def branching_factor(rel: DataFrame) -> DataFrame:
@@ -97,14 +171,23 @@ def subontology(rel: DataFrame, ids: DataFrame) -> DataFrame:
 
     A way up is only followed through dropped terms.
     """
-    rel = cut(rel.select("child", "parent").distinct())
-    chosen = ids.select("id").distinct()
-    inside = lambda df, c: df.join(chosen.withColumnRenamed("id", c), c, "left_semi").select(*df.columns)
-    outside = lambda df, c: df.join(chosen.withColumnRenamed("id", c), c, "left_anti").select(*df.columns)
-    passed = ways_up(outside(rel, "child")).select(F.col("id").alias("parent"), F.col("ancestor").alias("top"))
+    return subontologies(rel, ids.select(F.lit(0).alias("member"), "id"), 1).select("child", "parent")
+
+
+def subontologies(rel: DataFrame, chosen: DataFrame, members: int) -> DataFrame:
+    """``member, child, parent``: the sub-ontology of each member 0 to ``members - 1``, whose terms are its rows of ``chosen`` (``member, id``).
+
+    All members are contracted together; a relation is a row for each of them.
+    """
+    each = rel.select("child", "parent").distinct().withColumn("member", F.explode(F.array(*[F.lit(m) for m in range(members)])))
+    rel = cut(each.select("member", "child", "parent"))
+    chosen = chosen.select(F.col("member").cast("int").alias("member"), "id").distinct()
+    inside = lambda df, c: df.join(chosen.withColumnRenamed("id", c), ["member", c], "left_semi").select(*df.columns)
+    outside = lambda df, c: df.join(chosen.withColumnRenamed("id", c), ["member", c], "left_anti").select(*df.columns)
+    passed = ways_up(outside(rel, "child"), ["member"]).select("member", F.col("id").alias("parent"), F.col("ancestor").alias("top"))
     own = inside(rel, "child")
-    led = outside(own, "parent").join(passed, "parent").select("child", F.col("top").alias("parent"))
-    return inside(own.union(led), "parent").select("child", "parent").distinct()
+    led = outside(own, "parent").join(passed, ["member", "parent"]).select("member", "child", F.col("top").alias("parent"))
+    return inside(own.union(led), "parent").select("member", "child", "parent").distinct()
 
 
 def split(rel: DataFrame) -> DataFrame:
@@ -128,15 +211,40 @@ def annotate(rows: DataFrame, known: DataFrame, alt: DataFrame) -> DataFrame:
     return rows.join(told.withColumnRenamed("id", "term"), "term").select("seq", F.col("valid").alias("term")).distinct()
 
 
+def carried(scores: DataFrame, rel: DataFrame) -> DataFrame:
+    """``seq, term, score``: each term scores as high as its best descendant; terms without a relation are left out.
+
+    The lowest level goes first.  What a level has is combined once, before and
+    after the shuffle, and handed to the parents, so every row of the result
+    goes up once by each relation of its term.  Hierarchies of over MOST_LEVELS
+    are carried by their closure, whose rounds are few.
+    """
+    place = levels(rel).select("id", "level")
+    deep = place.agg(F.max("level")).first()[0] or 0
+    if deep > MOST_LEVELS:
+        up = scores.join(closure(rel).withColumnRenamed("id", "term"), "term")
+        return up.groupBy("seq", F.col("ancestor").alias("term")).agg(F.max("score").alias("score"))
+    at = place.withColumnRenamed("id", "term")
+    above = rel.select("child", "parent").distinct().join(place.withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("term"), "parent", "level")
+    parts, done = [cut(scores.join(at, "term").groupBy("seq", "term", "level").agg(F.max("score").alias("score")), by="level")], []
+    for level in range(deep, -1, -1):
+        here = reduce(DataFrame.union, [p.where(F.col("level") == level) for p in parts])
+        done.append(cut(here.groupBy("seq", "term").agg(F.max("score").alias("score"))))
+        if level:
+            sent = done[-1].join(above, "term").groupBy("seq", F.col("parent").alias("term"), "level").agg(F.max("score").alias("score"))
+            parts.append(cut(sent, by="level"))
+    discard(*parts)
+    return reduce(DataFrame.union, done)
+
+
 def replenish(annotation: DataFrame, rel: DataFrame) -> DataFrame:
     """Annotations carried to all ancestors."""
-    return annotation.join(closure(rel).withColumnRenamed("id", "term"), "term").select("seq", F.col("ancestor").alias("term")).distinct()
+    return carried(annotation.select("seq", "term", F.lit(1).alias("score")), rel).select("seq", "term")
 
 
 def propagate_scores(predictions: DataFrame, rel: DataFrame) -> DataFrame:
     """``seq, term, score``: each term scores as high as its best descendant."""
-    up = predictions.join(closure(rel).withColumnRenamed("id", "term"), "term")
-    return up.groupBy("seq", F.col("ancestor").alias("term")).agg(F.max("score").alias("score"))
+    return carried(predictions.select("seq", "term", "score"), rel)
 
 
 def counts(annotation: DataFrame, known: DataFrame) -> DataFrame:
@@ -217,9 +325,8 @@ def load_predictions(rows: DataFrame, known: DataFrame, alt: DataFrame, rel: Dat
     """
     told = resolve(rows.select(F.col("term").alias("id")).distinct(), known.select("id"), alt).where("valid is not null")
     own = rows.join(told.withColumnRenamed("id", "term"), "term").groupBy("seq", F.col("valid").alias("term")).agg(F.max("score").alias("score"))
-    lone = known.select("id").join(terms(rel), "id", "left_anti").select("id", F.col("id").alias("ancestor"))
-    up = closure(rel).union(lone).withColumnRenamed("id", "term")
-    best = own.join(up, "term").groupBy("seq", F.col("ancestor").alias("term")).agg(F.max("score").alias("score"))
+    lone = known.select("id").join(terms(rel), "id", "left_anti").distinct()
+    best = carried(own, rel).union(own.join(lone.withColumnRenamed("id", "term"), "term").select("seq", "term", "score"))
     if not dense:
         return best
     grid = rows.select("seq").distinct().crossJoin(known.select(F.col("id").alias("term")).distinct())

@@ -38,16 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The rows survive the loss of any executor, the lineage ends here, and the
-    next read prunes columns, which a row-wise checkpoint could not.
+    next read prunes columns, which a row-wise checkpoint could not.  With
+    ``by`` each value of that column has a folder of its own, so that a filter
+    on it reads nothing else.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out.cut_path = path
     return out
 

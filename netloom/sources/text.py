@@ -1,13 +1,13 @@
 """Readers of the text formats, each with an explicit schema.
 
-``line`` is a row id of the scan: it grows along each file, and is not gapless.
-Between several files its order is that in which Spark packs them, so where the
-last line of an id counts, an id should not be in two files.
+``line`` counts lines from 0 through a file, and through all files in the order
+of their paths, however Spark cuts and packs them: a file and its lines in
+several are read alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,13 +15,19 @@ from netloom.operators.network import Network, from_edges
 from netloom.operators.tailstat import last_score
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line, value``: every line with a number that grows along each file.
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``line, value``: every line with its number.
 
-    The number is Spark's row id within the scan, which follows the file's
-    byte order; it orders lines and is not gapless.
+    Rows of one block of a file are read in order by one task, so the number is
+    the place within the block and the lines of all blocks before it, in the
+    order of paths and of their starts.  A block is a row of what is sent out.
     """
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
+    read = spark.read.text(path).select(*place, "value")
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    span = read.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    span = span.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    return read.join(F.broadcast(span), ["_file", "_start"]).select((F.col("_base") + F.col("_row")).alias("line"), "value")
 
 
 def _fields(spark: SparkSession, path: str, names: list[str], delimiter: str = r"\s+") -> DataFrame:

@@ -83,7 +83,7 @@ def test_csv_policies(spark, tmp_path):
 def test_matrix_and_windows(spark, tmp_path):
     (tmp_path / "m.csv").write_text("1,2\n3,4\n")
     assert [r["x"] for r in text.read_matrix(spark, str(tmp_path / "m.csv")).orderBy("row").collect()] == [[1, 2], [3, 4]]
-    series = spark.createDataFrame([(1, [float(i) for i in range(6)]), (2, [1.0])], "id long, x array<double>")
+    series = learn.points(spark.createDataFrame([(1, i, float(i)) for i in range(6)] + [(2, 0, 1.0)], "id long, t long, x double"), "id", ["t"], "x")
     assert [r["x"] for r in learn.windows(series, 4).orderBy("at").collect()] == [[0, 1, 2, 3], [1, 2, 3, 4]]
 
 
