@@ -13,10 +13,11 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.plans.session import cut, discard
+from netloom.operators.ranking import ordered_rank
+from netloom.plans.session import cut
 
 #: Levels of a tree inside one superblock.
 LEVELS = 10
@@ -53,26 +54,6 @@ def fold(node: str, siblings: list[str], sides: str) -> str:
     return node
 
 
-def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``at``, 0, 1, .. within each ``tree`` in the order given, and ``total``, the size of the tree.
-
-    Ranges of tree and order are sorted on their own and start where the ranges
-    before them end; rows that are equal in all of these may be split anywhere.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # written first, as finding the ranges reads the rows once more
-    told = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
-    by = [tree, *order, "_row"]
-    dealt = cut(told.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id()))
-    part = F.shiftright("_row", 33).alias("_part")
-    spans = dealt.groupBy(tree, part).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(tree).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(tree, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(tree)).alias("total"))
-    out = cut(dealt.withColumn("_part", F.shiftright("_row", 33)).join(spans, [tree, "_part"]).withColumn("at", F.col("_base") + F.col("_row") - F.col("_first")).select(*rows.columns, "at", "total"))
-    discard(told, dealt)
-    return out
-
-
 def _block(levels: int) -> Column:
     return F.shiftright("at", levels).alias("block")
 
@@ -164,10 +145,10 @@ def manifest(docs: DataFrame, now: dict[str, Column] | None = None, levels: int
     tree = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("tree")
     told = docs.select("doc_id", tree, leaf_digest(then).alias("node"), (F.when(changed, leaf_digest(today)) if now else F.lit(None).cast("string")).alias("now"))
     # ids travel as text, as pandas has no null among integers
-    leaves = numbered(told, "tree", ["doc_id", "node"]).withColumn("doc_id", F.col("doc_id").cast("string"))
+    leaves = ordered_rank(told, "tree", ["doc_id", "node"]).withColumn("doc_id", F.col("doc_id").cast("string"))
     trees = climb(leaves, levels)
     tops = cut(trees[-1].select(F.lit("").alias("tree"), F.col("tree").alias("of"), "node"))
-    over = climb(numbered(tops, "tree", ["of"]), levels)
+    over = climb(ordered_rank(tops, "tree", ["of"]), levels)
     nothing = F.lit(None).cast("string")
     lead = over[-1].select("tree", "at", F.array().cast("array<string>").alias("proof"), F.lit("").alias("sides"), nothing.alias("subroot"), F.col("node").alias("root"))
     tops = _descended(over, lead, levels).select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("at"), "proof", "sides", F.col("node").alias("subroot"), "root")

@@ -226,8 +226,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     known = sets.select("sid", F.col("row.doc_id").alias("row_id"), F.col("row.body").alias("body"), "n", "keys", "sketch")
     group = connected_components(set_links(docs, known, words, least)).select(F.col("id").alias("sid"), "component")
     labelled = cut(sets.select("sid", "low", "copies").join(group, "sid", "left").withColumn("component", F.coalesce("component", "sid")))
-    named = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
-    told = labelled.join(named, "component").select("sid", "copies", "component_id")
+    named = labelled.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("kinds"))
+    told = join_by_key(labelled, named, ["component"], "kinds", labelled.count()).select("sid", "copies", "component_id")
     linked = join_by_key(held.select("doc_id", "n", "sid"), told, ["sid"], "copies", held.count()).select("doc_id", "n", "component_id")
     lone = rows.where("sid is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.union(lone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

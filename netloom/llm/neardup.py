@@ -260,8 +260,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
     """
     marked = cut(fingerprints(docs, words))
     grouped = components_of(marked, radius)
-    named = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    group = grouped.select("fp", "n", "component").join(named, "component").select("fp", "n", "component_id")
+    grouped = cut(grouped)
+    named = grouped.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("kinds"))
+    group = join_by_key(grouped.select("fp", "n", "component"), named, ["component"], "kinds", grouped.count()).select("fp", "n", "component_id")
     told = join_by_key(marked, group, ["fp"], "n", marked.count())
     return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
