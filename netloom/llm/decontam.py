@@ -24,11 +24,19 @@ from netloom.llm.textops import Block, blocks
 from netloom.operators.hubs import needed
 from netloom.plans.session import cut
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
+SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints at a similarity of 0.8 are 9.7 bits apart on average, with a deviation of 2.9: RADIUS is five of
+#: these above.  With fewer than FEW shingles on one side the law is coarser, and every item of the length is compared.
+RADIUS, FEW = 24, 16
 #: Blocks of a fingerprint; some block of two within RADIUS differs in at most RADIUS // TABLES bits.
 TABLES = 8
-#: Items that go out at once; more items are more passes over the documents.
-ITEMS_AT_ONCE = 20_000
+#: Items, and bytes of them, that go out at once; more are more passes over the documents.
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 1 << 26
+
+_SIZE = 64 // TABLES
+_BLOCK = np.arange(1 << _SIZE, dtype=np.uint64)
+#: For each value of a block, the values at most RADIUS // TABLES bits away.
+_NEAR = [np.flatnonzero(np.bitwise_count(_BLOCK ^ v) <= RADIUS // TABLES) for v in _BLOCK]
 
 #: Bytes that separate words: all of ASCII but letters and digits.
 _GAPS = np.ones(256, bool)
@@ -107,22 +115,33 @@ class Items:
         return dict(out)
 
     @cached_property
-    def tables(self) -> dict[int, list[dict[int, list[int]]]]:
-        """For each length and block, items by every block value within RADIUS // TABLES bits of theirs."""
-        size, most = 64 // TABLES, RADIUS // TABLES
-        if most > 1:
-            raise ValueError("the tables hold values at most one bit away")
-        flips = [0] + [1 << i for i in range(size)] * most
+    def tables(self) -> dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+        """For each length its items, their fingerprints, and for each block (places of the items by the block's value, first place of each value)."""
         out = {}
         for n, items in self.lengths.items():
-            out[n] = [defaultdict(list) for _ in range(TABLES)]
-            for k in items:
-                for t in range(TABLES):
-                    value = int(self.marks[k]) >> (t * size) & ((1 << size) - 1)
-                    for f in flips:
-                        out[n][t][value ^ f].append(k)
+            marks = np.array([self.marks[k] for k in items], np.uint64)
+            blocks = []
+            for t in range(TABLES):
+                value = (marks >> np.uint64(t * _SIZE)) & np.uint64((1 << _SIZE) - 1)
+                order = np.argsort(value, kind="stable")
+                blocks.append((order, np.searchsorted(value[order], np.arange((1 << _SIZE) + 1))))
+            out[n] = np.array(items), marks, blocks
         return out
 
+    def near(self, n: int, mark: np.uint64, shingles: int) -> tuple[np.ndarray, np.ndarray]:
+        """Items of ``n`` words whose fingerprints are within the radius, and how far they are; all of them where there are few shingles."""
+        items, marks, blocks = self.tables[n]
+        if shingles < FEW:
+            return items, np.bitwise_count(marks ^ mark)
+        met = []
+        for t, (order, first) in enumerate(blocks):
+            for v in _NEAR[int(mark) >> (t * _SIZE) & ((1 << _SIZE) - 1)]:
+                if first[v] < first[v + 1]:
+                    met.append(order[first[v] : first[v + 1]])
+        at = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+        apart = np.bitwise_count(marks[at] ^ mark)
+        return items[at[apart <= RADIUS]], apart[apart <= RADIUS]
+
     @cached_property
     def counted(self) -> list[Counter]:
         return [Counter(h.tolist()) for h in self.shingles]
@@ -140,7 +159,6 @@ def search(words: np.ndarray, hits: dict[int, np.ndarray], hashes: dict[int, np.
     """(item, similarity, first word, bits apart) of the best window of each item that some window reaches."""
     best: dict[int, tuple[float, int, int]] = {}
     upto: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    size = 64 // TABLES
     for n in items.lengths:
         width = min(SHINGLE, n)
         if not len(hits[width]) or not hits[width].any():
@@ -157,11 +175,9 @@ def search(words: np.ndarray, hits: dict[int, np.ndarray], hashes: dict[int, np.
             continue
         marked = _packed(marks[start + m] - marks[start])
         for s, mark in zip(start.tolist(), marked, strict=True):
-            near = {k for t in range(TABLES) for k in items.tables[n][t].get(int(mark) >> (t * size) & ((1 << size) - 1), ())}
             own = None
-            for k in near:
-                apart = int(np.bitwise_count(mark ^ items.marks[k]))
-                if apart > RADIUS or best.get(k, (0.0,))[0] >= 1:
+            for k, apart in zip(*(x.tolist() for x in items.near(n, mark, min(m, n - width + 1))), strict=True):
+                if best.get(k, (0.0,))[0] >= 1:
                     continue
                 own = own or Counter(hashes[width][s : s + m].tolist())
                 got = similarity(own, items.counted[k])
@@ -207,21 +223,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITE
 
     Words are runs of letters and digits, lower-cased.  A row is returned when
     some window of as many words as the item has a weighted Jaccard similarity
-    of five-word shingles of 0.8 or more and a SimHash within 15 bits; it tells
-    the most similar such window, the first on a tie.  A row of fewer words
+    of five-word shingles of 0.8 or more; it tells the most similar such
+    window, the first on a tie.  Windows and items of 16 shingles or more meet
+    when their SimHashes are within 24 bits, which one in millions of such
+    windows is not.  A row of fewer words
     than the item is one window as a whole.  An item of fewer than
     five words is one shingle.  Null and wordless texts and items match
     nothing; repeated rows and items are matched one by one; null ids are kept;
     an empty table gives an empty result; other columns are ignored.
 
-    The benchmark is read in blocks of ``items_at_once``, each one pass over
-    the documents, so what is sent out has a fixed bound.
+    The benchmark is read in blocks of about ``items_at_once``, and of about
+    BYTES_AT_ONCE, each one pass over the documents, so what is sent out has a
+    bound that does not grow with the benchmark.
     """
     wanted = benchmark.select("item_id", "text")
-    total = wanted.count()
-    if not total:
+    told = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    if not told["n"]:
         return _matches(docs.limit(0), [])
-    passes = -(-total // items_at_once)
+    passes = max(-(-told["n"] // items_at_once), -(-told["size"] // BYTES_AT_ONCE))
     out = None
     for k in range(passes):
         block = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
