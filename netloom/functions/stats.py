@@ -173,6 +173,18 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return out
 
 
+#: Degrees of freedom from which a value of t is turned into one of the normal law, by a series in their inverse square.
+MANY = 1e5
+
+
+def _normal_value(t: float, df: float) -> float:
+    """The value of the normal law with the tail that ``t`` has (Hill's expansion); what it leaves out is of the order of ``df ** -6``."""
+    a = df - 0.5
+    b = 48 * a * a
+    z = math.sqrt(a * math.log1p(t * t / df))
+    return z + (z**3 + 3 * z) / b - (4 * z**7 + 33 * z**5 + 240 * z**3 + 855 * z) / (10 * b * (b + 0.8 * z**4 + 100))
+
+
 def student_tail(t: float, df: float) -> float:
     """Probability of a value above ``abs(t)`` of Student's t, worked out from that tail, so small ones keep their digits."""
     if not (df > 0) or math.isnan(t):
@@ -181,6 +193,8 @@ def student_tail(t: float, df: float) -> float:
         return 0.0
     if t == 0:
         return 0.5
+    if df >= MANY:
+        return math.erfc(_normal_value(t, df) / math.sqrt(2)) / 2
     square = t * t
     x, rest, a, b = df / (df + square), square / (df + square), df / 2, 0.5
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - a * math.log1p(square / df) + b * math.log(rest))

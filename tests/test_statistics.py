@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.functions.stats import TAILS, exact_p, fisher, hazen, student_p, with_p_value
+from netloom.functions.stats import MANY, TAILS, exact_p, fisher, hazen, student_p, student_tail, with_p_value
 from netloom.operators import evaluate, ontology, tailstat
 
 
@@ -128,3 +128,15 @@ def test_calibration(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 0.5), ("c", 1.0)], "id string, score double")
     assert rows(evaluate.calibrate(df, 0.1)) == [("a", 0.0), ("b", 0.1), ("c", 1.0)]
     assert dict(rows(evaluate.calibrate(df, 0.1, option=3)))["a"] == float("-inf")
+
+
+@pytest.mark.parametrize("t", [0.3, 2.0, 5.0, 12.0])
+def test_t_tails_of_very_many_degrees_are_normal(t):
+    """Beyond the first term of its expansion in 1 / df the tail is that of the normal law."""
+    normal = math.erfc(t / math.sqrt(2)) / 2
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    for df in (1e6, 1e9, 1e12):
+        want = normal + density * (t**3 + t) / (4 * df)
+        assert abs(student_tail(t, df) / want - 1) < (1e-4 if df == 1e6 else 1e-9)
+    # both ways of working it out agree where one hands over to the other
+    assert abs(student_tail(t, MANY * 0.999999) / student_tail(t, MANY) - 1) < 1e-6
