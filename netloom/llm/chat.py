@@ -75,6 +75,22 @@ def assemble(tokenizer: Tokenizer, roles: list[str], texts: list[str]) -> tuple[
     return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], [mask[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+#: Turns, and characters of them, that are encoded at once; a longer turn is encoded alone.
+SLICE_TURNS, SLICE_CHARS = 1000, 1 << 22
+
+
+def slices_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of turns within the bounds."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and (held + size > SLICE_CHARS or i - first >= SLICE_TURNS):
+            yield first, i
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def format_turns(conversations: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``conv_id, turn, role, ids, loss`` for every row: its tokens and their loss mask.
 
@@ -85,8 +101,9 @@ def format_turns(conversations: DataFrame, path: str = TOKENIZER) -> DataFrame:
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load(path)
         for frame in frames:
-            for at in range(0, len(frame), 1000):
-                some = frame.iloc[at : at + 1000]
+            sizes = frame["text"].str.len().to_numpy()
+            for at, end in slices_of(sizes):
+                some = frame.iloc[at:end]
                 ids, loss = assemble(tokenizer, list(some["role"]), list(some["text"]))
                 yield pd.DataFrame({"conv_id": some["conv_id"].astype("Int64"), "turn": some["turn"].astype("Int64"), "role": some["role"], "ids": ids, "loss": loss})
 
