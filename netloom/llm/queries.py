@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import chat, decontam, fim, langid, linededup, merkle, minhash, neardup, packing, pii, quality_model, quality_rules, sharding
+from netloom.llm import chat, decontam, fim, langid, linededup, merkle, minhash, neardup, oracle, packing, pii, quality_model, quality_rules, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

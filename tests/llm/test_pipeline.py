@@ -59,5 +59,18 @@ def test_stages_on_odd_input(spark, sf_dir):
 
 def test_registration(spark, sf_dir):
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(__spark_entry__.llm_queries.oracle_sql()))
+def test_queries_with_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = __spark_entry__.queries()[name](spark, sf_dir)
+    assert got.columns == columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
