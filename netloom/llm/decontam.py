@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -72,6 +72,7 @@ class Items:
     words: list[int]
     shingles: list[np.ndarray]
     marks: list[np.uint64]
+    buckets: dict[tuple[int, int, int], np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]], shingle: int = SHINGLE) -> Items:
@@ -98,6 +99,11 @@ class Items:
             by[min(SHINGLE, n)].append(h)
         return {w: np.unique(np.concatenate(h)) for w, h in by.items()}
 
+    @cached_property
+    def of_length(self) -> dict[int, np.ndarray]:
+        """Sorted shingles of the items of each length."""
+        return {n: np.unique(np.concatenate([self.shingles[k] for k in items])) for n, items in self.lengths.items()}
+
     @cached_property
     def sieve(self) -> dict[int, np.ndarray]:
         """For each width, 2**20 flags by the low bits of its shingles: most others fail at one look."""
@@ -115,32 +121,37 @@ class Items:
         return dict(out)
 
     @cached_property
-    def tables(self) -> dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
-        """For each length its items, their fingerprints, and for each block (places of the items by the block's value, first place of each value)."""
+    def tables(self) -> dict[int, tuple[np.ndarray, np.ndarray, list[list[np.ndarray]]]]:
+        """For each length its items, their fingerprints, and for each block the places of the items by the block's value."""
         out = {}
         for n, items in self.lengths.items():
             marks = np.array([self.marks[k] for k in items], np.uint64)
             blocks = []
             for t in range(TABLES):
                 value = (marks >> np.uint64(t * _SIZE)) & np.uint64((1 << _SIZE) - 1)
-                order = np.argsort(value, kind="stable")
-                blocks.append((order, np.searchsorted(value[order], np.arange((1 << _SIZE) + 1))))
+                order = np.argsort(value, kind="stable").astype(np.int32)
+                blocks.append(np.split(order, np.searchsorted(value[order], np.arange(1, 1 << _SIZE))))
             out[n] = np.array(items), marks, blocks
         return out
 
+    def bucket(self, n: int, table: int, value: int) -> np.ndarray:
+        """Places of the items of ``n`` words whose block is at most RADIUS // TABLES bits from ``value``; gathered when first asked for."""
+        key = n, table, value
+        if key not in self.buckets:
+            self.buckets[key] = np.concatenate([self.tables[n][2][table][v] for v in _NEAR[value]])
+        return self.buckets[key]
+
     def near(self, n: int, mark: np.uint64, shingles: int) -> tuple[np.ndarray, np.ndarray]:
         """Items of ``n`` words whose fingerprints are within the radius, and how far they are; all of them where there are few shingles."""
-        items, marks, blocks = self.tables[n]
+        items, marks, _ = self.tables[n]
         if shingles < FEW:
             return items, np.bitwise_count(marks ^ mark)
-        met = []
-        for t, (order, first) in enumerate(blocks):
-            for v in _NEAR[int(mark) >> (t * _SIZE) & ((1 << _SIZE) - 1)]:
-                if first[v] < first[v + 1]:
-                    met.append(order[first[v] : first[v + 1]])
-        at = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
-        apart = np.bitwise_count(marks[at] ^ mark)
-        return items[at[apart <= RADIUS]], apart[apart <= RADIUS]
+        met = np.zeros(len(items), bool)
+        for t in range(TABLES):
+            met[self.bucket(n, t, int(mark) >> (t * _SIZE) & ((1 << _SIZE) - 1))] = True
+        apart = np.bitwise_count(marks ^ mark)
+        met &= apart <= RADIUS
+        return items[met], apart[met]
 
     @cached_property
     def counted(self) -> list[Counter]:
@@ -158,21 +169,33 @@ def _windows(words: np.ndarray, width: int) -> np.ndarray:
 def search(words: np.ndarray, hits: dict[int, np.ndarray], hashes: dict[int, np.ndarray], items: Items, least: float = SIMILARITY) -> list[tuple[int, float, int, int]]:
     """(item, similarity, first word, bits apart) of the best window of each item that some window reaches."""
     best: dict[int, tuple[float, int, int]] = {}
-    upto: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    upto: dict[int, np.ndarray] = {}
+    places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in items.lengths:
         width = min(SHINGLE, n)
-        if not len(hits[width]) or not hits[width].any():
-            continue
-        if width not in upto:
-            marks = np.zeros((len(hashes[width]) + 1, 64), np.int32)
-            np.cumsum(_bits(hashes[width]), axis=0, out=marks[1:])
-            upto[width] = np.concatenate(([0], np.cumsum(hits[width]))), marks
-        known, marks = upto[width]
         # a shorter document is its own one window
         m = min(n, len(words)) - width + 1
-        start = np.flatnonzero((known[m:] - known[:-m]) >= least / (1 + least) * (m + n - width + 1) - 1e-9)
+        enough = least / (1 + least) * (m + n - width + 1) - 1e-9
+        if width not in places:
+            at = np.flatnonzero(hits[width])
+            places[width] = at, hashes[width][at]
+        at, value = places[width]
+        if m < 1 or len(at) < enough:
+            continue
+        shingles = items.of_length[n]
+        at = at[shingles[np.minimum(np.searchsorted(shingles, value), len(shingles) - 1)] == value]
+        if len(at) < enough:
+            continue
+        known = np.zeros(len(hashes[width]) + 1, np.int32)
+        known[at + 1] = 1
+        np.cumsum(known, out=known)
+        start = np.flatnonzero((known[m:] - known[:-m]) >= enough)
         if not len(start):
             continue
+        if width not in upto:
+            upto[width] = np.zeros((len(hashes[width]) + 1, 64), np.int32)
+            np.cumsum(_bits(hashes[width]), axis=0, out=upto[width][1:])
+        marks = upto[width]
         marked = _packed(marks[start + m] - marks[start])
         for s, mark in zip(start.tolist(), marked, strict=True):
             own = None
