@@ -1033,7 +1033,25 @@ def io_csv_policies(spark, sf_dir):
     return text.read_csv(spark, path, "id bigint, name string, balance double, small tinyint", comment="#", overflow="saturate")
 
 
-@query(f"{A}, both AS (SELECT src, dst, w FROM net_a UNION ALL SELECT dst, src, w FROM net_a), n AS (SELECT CAST(p_partkey AS STRING) AS id FROM part WHERE p_partkey <= 40) SELECT b.src AS id, count(*) FILTER (b.dst = '1') AS to_1, count(*) FILTER (b.dst = '2') AS to_2, count(*) AS n_linked FROM both b JOIN n x ON x.id = b.src JOIN n y ON y.id = b.dst GROUP BY b.src")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT -1, 'none' FROM customer WHERE c_custkey % 9 = 0")
+def io_csv_empty_lines(spark, sf_dir):
+    """Two comment characters, and empty lines that count as rows."""
+    path = _scratch(spark)
+    c = fx.table(spark, sf_dir, "customer")
+    row = F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name")
+    said = F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit(" \t\n"), row)).when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("!none\n#none\n"), row)).otherwise(row)
+    c.select(said.alias("value")).write.text(path)
+    got = text.read_csv(spark, path, "id bigint, name string", delimiter=";", comment="#!", empty_lines="row")
+    return got.select(F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("name", F.lit("none")).alias("name"))
+
+
+@query(f"WITH {fx.LABELLED}, p AS (SELECT DISTINCT score % 7 AS x, score % 5 AS y, label FROM roc) SELECT label, row_number() OVER (PARTITION BY label ORDER BY x, y) - 1 AS at, x, y FROM p")
+def ordered_points(spark, sf_dir):
+    points = fx.labelled_scores(spark, sf_dir).select("label", (F.col("score") % 7).alias("x"), (F.col("score") % 5).alias("y"))
+    return evaluate.ordered_points(points, "label")
+
+
+@query(f"{A}, arc AS (SELECT src, dst, w FROM net_a UNION ALL SELECT dst, src, w FROM net_a), n AS (SELECT CAST(p_partkey AS STRING) AS id FROM part WHERE p_partkey BETWEEN 1 AND 40) SELECT b.src AS id, count(*) FILTER (b.dst = '1') AS to_1, count(*) FILTER (b.dst = '2') AS to_2, count(*) AS n_linked FROM arc b JOIN n x ON x.id = b.src JOIN n y ON y.id = b.dst GROUP BY b.src")
 def small_matrix(spark, sf_dir):
     """Who is linked in the matrix of forty vertices."""
     ids = [str(k) for k in range(1, 41)]
@@ -1153,7 +1171,7 @@ def vq_windows(spark, sf_dir):
 POINTS = "p AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS at, value AS x, count(*) OVER (PARTITION BY user_id) AS total FROM events)"
 
 
-@query(f"WITH {POINTS}, w AS (SELECT id, at, total, sum(x) OVER s AS total_x, first(x) OVER s AS first_x, last(x) OVER s AS last_x FROM p WINDOW s AS (PARTITION BY id ORDER BY at ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) SELECT id, at, round(total_x, 6) AS total_x, round(first_x, 6) AS first_x, round(last_x, 6) AS last_x FROM w WHERE at + 8 < total AND at % 3 = 0")
+@query(f'''WITH {POINTS}, w AS (SELECT id, "at", total, sum(x) OVER s AS total_x, first(x) OVER s AS first_x, last(x) OVER s AS last_x FROM p WINDOW s AS (PARTITION BY id ORDER BY "at" ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) SELECT id, "at", round(total_x, 6) AS total_x, round(first_x, 6) AS first_x, round(last_x, 6) AS last_x FROM w WHERE "at" + 8 < total AND "at" % 3 = 0''')
 def vq_window_values(spark, sf_dir):
     """Every third window of eight values: what is in it."""
     w = learn.windows(_series(spark, sf_dir), 8, 3, size=64)

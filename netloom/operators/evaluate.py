@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import rates
 from netloom.functions.stats import hazen, running
+from netloom.operators.ranking import ordered_rank
 
 
 def confusion(rows: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -72,6 +73,13 @@ def rmc(cm: DataFrame) -> DataFrame:
     return cm.withColumn("x", rates.nru()).withColumn("y", rates.nmi())
 
 
+def ordered_points(points: DataFrame, key: str | None = None) -> DataFrame:
+    """``at, x, y``, and ``key`` if given: the different points of each key in the order of x, then y, numbered from 0; points with a null are none."""
+    own = points.where("x is not null and y is not null").select(*([F.col(key).alias("_key")] if key else [F.lit(0).alias("_key")]), "x", "y").distinct()
+    told = ordered_rank(own.where("_key is not null"), "_key", ["x", "y"])
+    return told.select(*([F.col("_key").alias(key)] if key else []), "at", "x", "y")
+
+
 def trapezoid(points: DataFrame, keys: list[str] | None = None, name: str = "auc", start: bool = False) -> DataFrame:
     """Area under different points ordered by x, then y; 0 if there are fewer than two.
 

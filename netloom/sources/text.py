@@ -178,9 +178,11 @@ def read_matrix(spark: SparkSession, path: str, header: bool = False) -> DataFra
     return rows.select(F.col("line").alias("row"), F.transform(F.split("value", r"\s*,\s*"), lambda x: x.try_cast("double")).alias("x"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, trim: bool = True, comment: str | None = None, quote: str | None = '"', delimiter: str = ",", header: bool = False, overflow: str = "error", decimal_comma: bool = False) -> DataFrame:
-    """A CSV file by policies: trimming, single-line comments, doubled quotes, overflow and decimal commas.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, trim: bool = True, comment: str | None = None, quote: str | None = '"', delimiter: str = ",", header: bool = False, overflow: str = "error", decimal_comma: bool = False, empty_lines: str = "skip") -> DataFrame:
+    """A CSV file by policies: trimming, comments, empty lines, doubled quotes, overflow and decimal commas.
 
+    A line whose first character is one of ``comment`` is none.  ``empty_lines``:
+    ``skip`` takes lines of blanks as comments, ``row`` as rows of nulls.
     ``overflow`` of a number: ``error`` fails, ``ignore`` gives null, ``saturate``
     the nearest number of the type.  Columns are bound by position, or by name
     with ``header``; rows that are too short get nulls.
@@ -189,9 +191,20 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, trim: b
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in want])
     reader = spark.read.option("sep", delimiter).option("header", header).option("enforceSchema", not header).option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim)
     reader = reader.option("quote", quote or "").option("escape", quote or "")
-    if comment:
-        reader = reader.option("comment", comment)
-    rows = reader.schema(text).csv(path)
+    if empty_lines not in ("skip", "row"):
+        raise ValueError("empty_lines is skip or row")
+    if empty_lines == "row" or len(comment or "") > 1:
+        if header:
+            raise ValueError("a header goes with one comment character, and with empty lines skipped")
+        value = F.rtrim(F.col("value"), F.lit(" \t"))
+        said = lines(spark, path).where(~F.left("value", F.lit(1)).isin(list(comment or "")) & ((F.lit(empty_lines == "row")) | (value != "")))
+        options = {"sep": delimiter, "quote": quote or "", "escape": quote or "", "ignoreLeadingWhiteSpace": str(trim).lower(), "ignoreTrailingWhiteSpace": str(trim).lower(), "mode": "PERMISSIVE"}
+        fields = ", ".join(f"`{f.name}` string" for f in want)
+        rows = said.select(F.when(value != "", F.from_csv("value", fields, options)).alias("f")).select(*[F.col("f")[f.name].alias(f.name) for f in want])
+    else:
+        if comment:
+            reader = reader.option("comment", comment)
+        rows = reader.schema(text).csv(path)
     limits = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}
     out = []
     for f in want:
