@@ -26,11 +26,11 @@ def meeting(members: DataFrame, traits: DataFrame) -> DataFrame:
     """
     shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     total = shared.agg(F.sum("n")).first()[0] or 0
-    rows = needed(members, F.col("key"), shared.select("key"))[0]
+    rows = cut(needed(members, F.col("key"), shared.select("key"))[0])
     met = cut(join_by_key(rows, shared.withColumn("size", F.col("n")), ["key"], "n", total).withColumnRenamed("size", "n"))
     weight = met.groupBy("id").agg(F.sum("n").alias("w")).join(traits, "id")
     out = cut(met.join(weight, "id"))
-    discard(shared, met)
+    discard(shared, rows, met)
     return out
 
 
