@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.textops import Block, blocks
+from netloom.llm.textops import Block, blocks, sliced
 from netloom.operators.hubs import needed
 from netloom.plans.session import cut
 
@@ -214,7 +214,7 @@ def _matches(docs: DataFrame, rows: list[tuple[int | None, str | None]]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items.of(sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
             for first, texts in blocks([normalised(t) for t in batch.column(1).to_pylist()]):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.textops import Block, blocks
+from netloom.llm.textops import Block, blocks, sliced
 
 #: Fixed values of the format: what stands before prefix, suffix and middle.
 MARKERS = (b"<P>", b"<S>", b"<M>")
@@ -139,7 +139,7 @@ def transform(docs: DataFrame, rate: int = RATE, suffix_first: int = SUFFIX_FIRS
     names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0).to_pylist()
             for at, texts in blocks([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
                 got = scattered(texts, ids[at : at + len(texts)], rate, suffix_first, seed)
@@ -159,7 +159,7 @@ def restore(rows: DataFrame) -> DataFrame:
     asked = rows.select(*[F.col(f"`{c}`") for c in kept], F.col("form").alias("_form"), F.col("output").alias("_output"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             forms = batch.column(len(kept)).to_pylist()
             for at, some in blocks([t or b"" for t in batch.column(len(kept) + 1).cast(pa.binary()).to_pylist()]):
                 own = batch.slice(at, len(some))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.textops import blocks
+from netloom.llm.textops import blocks, sliced
 
 #: Family of a language code.  A code that is not listed is a family of its own.
 FAMILIES = {
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     names = ["doc_id", "lang_pred", "score", "family", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for first, raw in blocks([t.encode() for t in texts]):
                 some = texts[first : first + len(raw)]

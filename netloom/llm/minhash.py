@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.textops import Block, blocks, mix
+from netloom.llm.textops import Block, blocks, mix, sliced
 from netloom.operators.components import connected_components
 from netloom.operators.hubs import join_by_key, needed
 from netloom.operators.meetings import meeting, similar
@@ -97,7 +97,7 @@ def marked(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for at, texts in blocks([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]):
                 sets = shingle_sets(texts, words)
                 signed = np.stack([signature(s) if len(s) else np.zeros(COORDINATES, np.int32) for s in sets])
@@ -117,7 +117,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFra
     rows = needed(docs.select(F.col("doc_id").alias("row_id"), body.alias("body"), "text"), mark(F.col("row_id"), F.col("body")), wanted.select(mark(F.col("row_id"), F.col("body"))))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for at, texts in blocks([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]):
                 sets = shingle_sets(texts, words)
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)

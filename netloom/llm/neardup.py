@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.textops import sliced
 from netloom.operators.components import connected_components
 from netloom.operators.hubs import join_by_key, needed
 from netloom.plans.session import cut
@@ -74,7 +75,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, also: li
     names = ["doc_id", "fp", *asked.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fp = [fingerprint(t or b"", words, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), *batch.columns[2:]], names)
 

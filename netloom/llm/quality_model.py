@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.textops import Block, blocks
+from netloom.llm.textops import Block, blocks, sliced
 from netloom.plans.session import cut
 
 STATISTICS = (
@@ -64,7 +64,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """``doc_id, x`` for every row: its statistics, from the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for first, some in blocks(texts):
                 x = statistics(some)

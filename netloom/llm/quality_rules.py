@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netloom.llm.textops import Block, blocks
+from netloom.llm.textops import Block, blocks, sliced
 
 #: Highest share of the words' characters inside repeated n-grams, by n, and inside repeated lines.
 GRAM_SHARES = {5: 0.35, 8: 0.30, 10: 0.25}
@@ -56,7 +56,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         for first, some in blocks(texts):
             got = measure(some)

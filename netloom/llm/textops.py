@@ -13,9 +13,12 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts are laid out in blocks of about so many bytes and at most so many texts; a longer text is a block of its own.
 BLOCK_BYTES, BLOCK_TEXTS = 1 << 20, 1024
+#: Rows of an Arrow batch that are turned into Python objects at once.
+SLICE_ROWS = 256
 
 #: For runs of words; the words' own hashes are mixed already.
 _BASE = 0x9E3779B97F4A7C15
@@ -41,9 +44,10 @@ def _power(base: int, n: int) -> np.ndarray:
     """Powers 0 to ``n - 1`` of ``base`` modulo the prime."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size, have = max(n, BLOCK_BYTES + 2), np.ones(1, np.uint64)
+        size, have = max(n, BLOCK_BYTES + 2), np.ones(1, np.uint32)
         while len(have) < size:
-            have = np.concatenate((have, _reduced(have * np.uint64(pow(base, len(have), _PRIME)))))
+            more = _reduced(have[: size - len(have)].astype(np.uint64) * np.uint64(pow(base, len(have), _PRIME)))
+            have = np.concatenate((have, more.astype(np.uint32)))
         _powers[base] = have
     return have[:n]
 
@@ -57,6 +61,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE_ROWS rows, so that no task holds all texts of a batch twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Cut a list of texts into (index of the first, texts) by BLOCK_BYTES and BLOCK_TEXTS."""
     first, size = 0, 0
