@@ -143,19 +143,24 @@ def macro_average(panel: DataFrame, by: str, metric: str = "auc", weight: str |
     return joined.agg(F.avg(F.when(used, F.col(metric))).alias(metric), F.sum(used.cast("long")).alias("n_used"), F.sum((~used).cast("long")).alias("n_skipped"))
 
 
-def micro_thresholds(panel: DataFrame) -> DataFrame:
-    """``tau``: Hazen percentiles 0 to 100 of the positive scores, and 0 and 1."""
-    q = hazen(panel.where("score > 0"), "score", [i / 100 for i in range(101)]).select(F.col("q").alias("tau"))
+def micro_thresholds(panel: DataFrame, digits: int | None = None) -> DataFrame:
+    """``tau``: Hazen percentiles 0 to 100 of the positive scores, and 0 and 1.
+
+    A percentile between two scores may miss a score that it equals by the last
+    bit.  Where scores have fewer decimals, ``digits`` rounds that off.
+    """
+    tau = F.col("q") if digits is None else F.round("q", digits)
+    q = hazen(panel.where("score > 0"), "score", [i / 100 for i in range(101)]).select(tau.alias("tau"))
     return q.union(panel.sparkSession.range(2).select(F.col("id").cast("double"))).distinct()
 
 
-def micro_confusion(panel: DataFrame, weight: str | None = None) -> DataFrame:
+def micro_confusion(panel: DataFrame, weight: str | None = None, digits: int | None = None) -> DataFrame:
     """Counts summed over all rows of a panel at :func:`micro_thresholds`."""
-    return confusion_at(panel, micro_thresholds(panel), weight)
+    return confusion_at(panel, micro_thresholds(panel, digits), weight)
 
 
-def micro_average(panel: DataFrame, metric: str = "auc", weight: str | None = None) -> DataFrame:
-    cm = micro_confusion(panel, weight)
+def micro_average(panel: DataFrame, metric: str = "auc", weight: str | None = None, digits: int | None = None) -> DataFrame:
+    cm = micro_confusion(panel, weight, digits)
     if metric == "auc":
         return trapezoid(roc(cm))
     return fmax(prc(cm)) if metric == "fmax" else sdmin(cm)
