@@ -31,36 +31,33 @@ def topology(shards: int, regions: int = 2, racks: int = 3, per_rack: int = 4) -
     return [[[1.0] * per_rack for _ in range(racks)] for _ in range(regions)] + [[[1.0]] for _ in range(shards - base)]
 
 
-def _draw(key: Column, node: str, weight: float) -> Column:
-    unit = (F.shiftrightunsigned(F.xxhash64(F.concat_ws("|", key, F.lit(node))), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.log(unit) / weight
+def _child(node: str, weight: float, at: int) -> Column:
+    return F.struct(F.lit(node).alias("node"), F.lit(float(weight)).alias("weight"), F.lit(at).alias("at"))
 
 
-def _winner(key: Column, nodes: list[tuple[str, float]]) -> Column:
-    """Index of the child with the smallest draw; on a tie the first one."""
-    if len(nodes) == 1:
-        return F.lit(0)
-    return F.array_min(F.array(*[F.struct(_draw(key, n, w).alias("d"), F.lit(i).alias("i")) for i, (n, w) in enumerate(nodes)]))["i"]
+def _winner(key: Column, children: Column) -> Column:
+    """``at`` of the child with the smallest draw; on a tie the first one."""
 
+    def draw(child: Column) -> Column:
+        unit = (F.shiftrightunsigned(F.xxhash64(F.concat_ws("|", key, child["node"])), 11).cast("double") + 0.5) / float(1 << 53)
+        return F.struct((-F.log(unit) / child["weight"]).alias("d"), child["at"].alias("at"))
 
-def _case(on: Column, branches: list[Column]) -> Column:
-    out = F.when(on == 0, branches[0])
-    for i, b in enumerate(branches[1:], 1):
-        out = out.when(on == i, b)
-    return out
+    return F.array_min(F.transform(children, draw))["at"]
 
 
 def assign(df: DataFrame, key: Column, tree: Topology, name: str = "shard") -> DataFrame:
     """Add ``name``, the number of the shard in reading order of ``tree``.
 
     Rows of one key go to one shard; a null key hashes as the empty string.
+    The children of a node are looked up in a constant, so the code that is
+    generated has one draw a level; one for each shard makes methods of 38,000
+    bytes, which cost the compiler memory that no heap limit bounds.
     """
-    text, number = F.coalesce(key.cast("string"), F.lit("")), count()
-    ids = [[[next(number) for _ in rack] for rack in region] for region in tree]
-    out = df.withColumn("_region", _winner(text, [(f"{i}", sum(map(sum, region))) for i, region in enumerate(tree)]))
-    out = out.withColumn("_rack", _case(F.col("_region"), [_winner(text, [(f"{i}/{j}", sum(rack)) for j, rack in enumerate(region)]) for i, region in enumerate(tree)]))
-    leaf = _case(F.col("_region"), [_case(F.col("_rack"), [F.lit(ids[i][j][0]) + _winner(text, [(f"{i}/{j}/{k}", w) for k, w in enumerate(rack)]) for j, rack in enumerate(region)]) for i, region in enumerate(tree)])
-    return out.withColumn(name, leaf).drop("_region", "_rack")
+    text, rack_at, shard_at = F.coalesce(key.cast("string"), F.lit("")), count(), count()
+    regions = F.array(*[_child(f"{i}", sum(map(sum, region)), i) for i, region in enumerate(tree)])
+    racks = F.array(*[F.array(*[_child(f"{i}/{j}", sum(rack), next(rack_at)) for j, rack in enumerate(region)]) for i, region in enumerate(tree)])
+    shards = F.array(*[F.array(*[_child(f"{i}/{j}/{k}", w, next(shard_at)) for k, w in enumerate(rack)]) for i, region in enumerate(tree) for j, rack in enumerate(region)])
+    return df.withColumn(name, _winner(text, F.get(shards, _winner(text, F.get(racks, _winner(text, regions))))))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

@@ -562,6 +562,18 @@ def test_clashing_column_names(spark):
 # 10 ------------------------------------------------------------------------------------------
 
 
+def test_sharding_code_does_not_grow_with_the_shards(spark, docs):
+    """Code of a draw for each shard took an executor over its memory while it was compiled."""
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+
+    def most(shards):
+        rows = sharding.assign(docs.select("doc_id"), F.col("doc_id"), sharding.topology(shards))
+        made = debug.codegenStringSeq(rows._jdf.queryExecution().executedPlan())
+        return max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size()))
+
+    assert most(24) <= most(25) + 8 and most(25) < 2000 and most(48) < 2000
+
+
 def test_sharding(docs, odd, empty):
     rows = sharding.shard_documents(docs.select("doc_id", "text").union(odd.select("doc_id", "text"))).collect()
     tree, grown = sharding.topology(24), sharding.topology(25)
