@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.textops import blocks, sliced
+from netloom.llm.textops import blocks, memory_of, sliced
+from netloom.plans.session import small_batches
 
 #: Family of a language code.  A code that is not listed is a family of its own.
 FAMILIES = {
@@ -27,6 +28,8 @@ FAMILIES = {
 UNKNOWN = "und"
 #: Hash buckets of trigrams (a power of two), and labelled texts of each language that the model is fitted on, about.
 BUCKETS, PER_LANGUAGE = 4096, 400
+#: Texts whose features are worked out at once; each takes BUCKETS numbers a few times over.
+AT_ONCE = 64
 #: Weight of errors against the margin, passes of the solver, slope from margins to probabilities.
 COST, PASSES, SLOPE = 4.0, 30, 4.0
 
@@ -134,6 +137,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     chosen = usable.where(draw < F.element_at(F.create_map(*[F.lit(v) for kv in share.items() for v in kv]), F.col("lang"))).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("langid")
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 some = batch.slice(at, 100)
@@ -149,10 +153,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, lang_pred, score, family`` for every row, from its text alone, and the columns ``keep``."""
+    small_batches(docs.sparkSession)
     names = ["doc_id", "lang_pred", "score", "family", *keep]
+    # a text goes to the worker once
+    sent = ["doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        memory_of("langid")
+        for batch in sliced(batches, AT_ONCE):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for first, raw in blocks([t.encode() for t in texts]):
                 some = texts[first : first + len(raw)]
@@ -160,12 +168,12 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
                 letters = [any(map(str.isalpha, t)) for t in some]
                 lang = [x if ok else UNKNOWN for x, ok in zip(lang, letters, strict=True)]
                 family = [x if ok else UNKNOWN for x, ok in zip(family, letters, strict=True)]
-                own = [batch.column(2 + i).slice(first, len(some)) for i in range(len(keep))]
+                own = [batch.column(sent.index(c)).slice(first, len(some)) for c in keep]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(family, pa.string()), *own], names)
 
     kinds = dict(docs.dtypes)
     schema = "doc_id long, lang_pred string, score double, family string" + "".join(f", {c} {kinds[c]}" for c in keep)
-    return docs.select("doc_id", "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

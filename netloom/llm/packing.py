@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from netloom.llm.textops import memory_of
 from netloom.operators.ranking import gapless_rank
-from netloom.plans.session import cut
+from netloom.plans.session import cut, small_batches
 
 CAPACITY = 2048
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -33,8 +34,6 @@ REMEMBERED, AT_ONCE = 800_000, 4000
 #: A plan of more rows than this is joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 200_000
 
-_coders: dict[str, "Coder"] = {}
-
 
 class Coder:
     """Encodes whole texts through a memory of words.
@@ -80,9 +79,10 @@ class Coder:
 
 
 def coder(path: str) -> Coder:
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    coders = memory_of("packing")
+    if path not in coders:
+        coders[path] = Coder(path)
+    return coders[path]
 
 
 def tokenise(docs: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
@@ -91,6 +91,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER, k
     A document's ids end with id 0; only a document of more than ``capacity``
     ids is cut, every ``capacity`` ids.  A null or empty text is id 0 alone.
     """
+    small_batches(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     closing = np.array([CLOSING], "<u4").tobytes()
 

@@ -29,6 +29,14 @@ _PLAIN = 1 << 24
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
+_memories: dict[str, dict] = {}
+
+
+def memory_of(operator: str) -> dict:
+    """What this worker remembers for ``operator``; a worker serves many jobs, and what it remembered for other operators is let go."""
+    for other in [k for k in _memories if k != operator]:
+        del _memories[other]
+    return _memories.setdefault(operator, {})
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -61,11 +69,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of SLICE_ROWS rows, so that no task holds all texts of a batch twice."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``rows`` rows, so that no task holds all texts of a batch twice."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -217,6 +218,38 @@ def test_words_are_coded_as_whole_texts():
     assert [np.frombuffer(r, "<u4").tolist() for r in code.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_worker_lets_go_of_the_words_of_packing(spark, sf_dir):
+    """A worker serves one stage after another: what packing remembers does not stay while languages are found."""
+    held = packing.coder(packing.TOKENIZER)
+    assert packing.coder(packing.TOKENIZER) is held
+    textops.memory_of("langid")
+    assert packing.coder(packing.TOKENIZER) is not held
+
+
+def test_texts_go_to_workers_in_small_batches(spark, sf_dir):
+    """Of 3,000 texts in one partition no batch holds over 1,000, in the stages that a pipeline begins and ends with."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang"))
+    for operator in (packing.tokenise, lambda d: langid.predict(d, langid.Model({}, {}, {}))):
+        spark.conf.unset(key)
+        operator(docs)
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+        assert sorted(r["n"] for r in sizes) == [1000] * 3
+    spark.conf.set(key, "77")
+    packing.tokenise(docs)
+    assert spark.conf.get(key) == "77"
+    spark.conf.unset(key)
+
+
+def test_a_text_goes_to_the_worker_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = langid.predict(docs, langid.train(docs), keep=("text", "source", "n_chars"))
+    sent = got._jdf.queryExecution().analyzed().children().head().output().mkString(",")
+    assert sorted(c.split("#")[0] for c in sent.split(",")) == ["doc_id", "n_chars", "source", "text"]
+    assert got.columns == ["doc_id", "lang_pred", "score", "family", "text", "source", "n_chars"]
+    assert sorted(got.select("doc_id", "text", "source", "n_chars").collect()) == sorted(docs.select("doc_id", "text", "source", "n_chars").collect())
+
+
 # 5 -------------------------------------------------------------------------------------------
 
 PERSONAL = "Mail a.b@c.example.com, +1 (555) 555-1234 or 10.0.0.300 or 10.0.0.30; pay 4111 1111 1111 1111 not 4111 1111 1111 1112."
