@@ -747,11 +747,14 @@ def windows(series: DataFrame, length: int = 16, step: int = 1, size: int = RANG
     return seen.where((own == F.col("range")) & (F.col("at") + length < F.col("total")) & (F.col("at") % step == 0)).select("id", "at", F.col("w").alias("x"))
 
 
-def quotas(series: DataFrame, most: int) -> DataFrame:
-    """``id, quota``: how many of at most ``most`` samples each series gets: one, and of what is left a part by its length."""
+def quotas(series: DataFrame, most: int, short: bool = False) -> DataFrame:
+    """``id, quota``: how many of at most ``most`` samples each series gets: one, and of what is left a part by its length.
+
+    More series than samples are an error, unless ``short``: what is missing is then taken off by length too, which makes quotas of 0 and less.
+    """
     length = series.groupBy("id").agg(F.max("total").alias("n"))
     told = length.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
-    if told["k"] > most:
+    if told["k"] > most and not short:
         raise ValueError(f"{told['k']} series are more than {most} samples")
     rest = max(1, (told["n"] or 0) - told["k"])
     return length.select("id", (F.floor((F.col("n") - 1).cast("double") / rest * (most - told["k"])) + 1).cast("long").alias("quota"))
@@ -760,12 +763,12 @@ def quotas(series: DataFrame, most: int) -> DataFrame:
 def sampled_windows(series: DataFrame, length: int = 16, most: int = 20_000, step: int = 1, seed: int = 1) -> DataFrame:
     """``id, at, x``: as many windows of each series as its quota, or all it has: those with the least hashes.
 
-    Windows are counted by the leading zeros of their hashes; the counts tell
+    No series goes without: where there are more than ``most``, each gives one window.  Windows are counted by the leading zeros of their hashes; the counts tell
     how many zeros leave enough, about twice the quota, and only these are ranked.
     """
     every = windows(series, length, step)
     drawn = every.withColumn("h", F.shiftrightunsigned(F.xxhash64("id", "at", F.lit(seed)), 1)).withColumn("zeros", (63 - F.floor(F.log2(F.greatest("h", F.lit(1))))).cast("int"))
-    quota = quotas(series, most)
+    quota = quotas(series, most, short=True).withColumn("quota", F.greatest("quota", F.lit(1)))
     counted = drawn.groupBy("id", "zeros").agg(F.count("*").alias("n")).join(quota, "id")
     upto = F.sum("n").over(Window.partitionBy("id").orderBy(F.desc("zeros")))
     least = counted.withColumn("upto", upto).groupBy("id").agg(F.coalesce(F.max(F.when(F.col("upto") >= F.col("quota"), F.col("zeros"))), F.lit(0)).alias("least"), F.max("quota").alias("quota"))
@@ -775,7 +778,7 @@ def sampled_windows(series: DataFrame, length: int = 16, most: int = 20_000, ste
 
 
 def codebook(series: DataFrame, clusters: int = 16, length: int = 16, most: int = 20_000, seed: int = 1) -> Array:
-    """Centroids of windows by k-means, on ``most`` windows at most, dealt to the series by their lengths."""
+    """Centroids of windows by k-means, on ``most`` windows at most, dealt to the series by their lengths, or on one of each series if these are more."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

@@ -3,10 +3,12 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netloom import catalog
 from netloom.operators import learn, ontology, ranking
 
 
@@ -51,6 +53,23 @@ def test_sampled_windows_fill_the_quotas(series, most):
         learn.quotas(points, 4)
 
 
+def test_more_series_than_samples_give_a_window_each(series):
+    data, points = series
+    got = rows(learn.sampled_windows(points, 16, most=2).select("id", "at", "x"))
+    assert [i for i, _, _ in got] == [k for k, x in data.items() if len(x) > 16]
+    assert all(w == data[i][at : at + 16] for i, at, w in got)
+
+
+def test_query_of_sample_sizes_with_more_series_than_samples(spark, tmp_path):
+    """4,500 users with 17 to 19 events each, where the query asks for 4,000 windows."""
+    n = F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") % 3 + 16))
+    table = spark.range(4500).select(F.col("id").alias("user_id"), n.alias("event_id"))
+    table.withColumns({"ts": F.timestamp_seconds("event_id"), "value": F.rand(1)}).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.sql(catalog.oracle_sql()["vq_sample_sizes"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert len(want) == 4500
+    assert rows(catalog.queries()["vq_sample_sizes"](spark, str(tmp_path))) == sorted(want)
+
+
 def test_shares_of_centroids_against_plain_loops(series):
     data, points = series
     centroids = np.random.default_rng(2).random((5, 16))
