@@ -58,6 +58,7 @@ def test_more_series_than_samples_give_a_window_each(series):
     got = rows(learn.sampled_windows(points, 16, most=2).select("id", "at", "x"))
     assert [i for i, _, _ in got] == [k for k, x in data.items() if len(x) > 16]
     assert all(w == data[i][at : at + 16] for i, at, w in got)
+    assert learn.codebook(points, clusters=2, most=2).shape == (2, 16)
 
 
 def test_query_of_sample_sizes_with_more_series_than_samples(spark, tmp_path):
