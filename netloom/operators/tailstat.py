@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.stats import fisher, hazen
+from netloom.plans.session import cut, discard
 
 #: Score of a variant whose gene or own score is missing, in log mode.
 MISSING_LOG = -999999.0
@@ -92,6 +93,22 @@ def in_tail(scores: DataFrame, cut: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(cut)).where("score >= cutoff").drop("cutoff")
 
 
+def pool(variants: DataFrame) -> DataFrame:
+    """``id, grp, n``: the different ids, how many entries each has, and its group; an id that is in both groups counts as control."""
+    return variants.groupBy("id").agg(F.when(F.max((F.col("grp") == "control").cast("int")) == 1, "control").otherwise("case").alias("grp"), F.count("*").alias("n"))
+
+
+def _comes_up(seed: int) -> Column:
+    """Whether the id comes up in the replicate ``rep``, with a chance of ``_p``."""
+    return (F.shiftrightunsigned(F.xxhash64("id", "rep", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53) < F.col("_p")
+
+
+def _drawn(entries: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """``rep`` and the columns of ``entries`` (``id, n`` and others) for each replicate that an id comes up in."""
+    chance = entries.withColumn("_p", 1 - F.exp(-F.col("n").cast("double")))
+    return chance.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).where(_comes_up(seed)).drop("_p")
+
+
 def bootstrap(variants: DataFrame, replicates: int = 100, seed: int = 0) -> DataFrame:
     """``rep, id, grp``: for each replicate the different ids among as many draws as the pool has entries.
 
@@ -101,7 +118,42 @@ def bootstrap(variants: DataFrame, replicates: int = 100, seed: int = 0) -> Data
     nothing has to be numbered or joined, and only whether it comes up at all
     matters as ids are de-duplicated.
     """
-    pool = variants.groupBy("id").agg(F.count("*").alias("_n"), F.when(F.max((F.col("grp") == "control").cast("int")) == 1, "control").otherwise("case").alias("grp"))
-    drawn = pool.select("id", "grp", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    unit = (F.shiftrightunsigned(F.xxhash64("id", "rep", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    return drawn.where(unit < 1 - F.exp(-F.col("_n").cast("double"))).select("rep", "id", "grp")
+    return _drawn(pool(variants), replicates, seed).select("rep", "id", "grp")
+
+
+def bootstrap_tables(scores: DataFrame, replicates: int = 100, seed: int = 0, q: float = 0.95, log: bool = False) -> DataFrame:
+    """``rep, a, b, c, d``: what ``contingency`` counts in each replicate of ``bootstrap``, from its own ``cutoff``.
+
+    ``scores`` has ``id, grp, n, score``, what ``combine`` makes of ``pool``: a
+    score does not depend on the replicate.  The pool lies in ranges of the
+    score, the same for all replicates; how many controls each draws from a
+    range tells in which range its quantile lies, and only that is ranked.  So
+    draws are made where the pool lies, and none is shuffled.
+    """
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written first, as finding the ranges reads the rows once more
+    told = cut(scores.select("id", "grp", "n", "score"))
+    dealt = cut(told.repartitionByRange(parts, F.col("score"), F.xxhash64("id")).withColumn("_part", F.spark_partition_id()))
+    control = dealt.where("grp = 'control'")
+    counted = cut(_drawn(control.select("id", "n", "_part"), replicates, seed).groupBy("rep", "_part").agg(F.count("*").alias("_c")))
+    over = Window.partitionBy("rep")
+    first = F.coalesce(F.sum("_c").over(over.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counted.select("rep", "_part", "_c", first.alias("_first"), F.sum("_c").over(over).alias("_n"))
+    h = F.greatest(F.lit(0.0), F.least((F.col("_n") - 1).cast("double"), F.lit(float(q)) * F.col("_n") - 0.5))
+    spans = spans.withColumns({"_h": h, "_low": F.floor(h), "_high": F.ceil(h)})
+    holds = lambda rank, first, upto: (F.col(rank) >= first) & (F.col(rank) < upto)
+    ends = (F.col("_first"), F.col("_first") + F.col("_c"))
+    wanted = F.broadcast(cut(spans.where(holds("_low", *ends) | holds("_high", *ends)).drop("_c", "_n")))
+
+    # two rows of wanted for a replicate at most, and most replicates want the same ranges
+    near = control.join(wanted.select("_part").distinct(), "_part", "left_semi").repartition("id").withColumn("_p", 1 - F.exp(-F.col("n").cast("double")))
+    value = near.join(wanted, "_part").where(_comes_up(seed)).groupBy("rep", "_part", "_first", "_h", "_low", "_high", "score").agg(F.count("*").alias("_c"))
+    upto = F.col("_first") + F.sum("_c").over(Window.partitionBy("rep", "_part").orderBy("score"))
+    value = value.withColumn("_upto", upto)
+    of = lambda rank: F.max(F.when(holds(rank, F.col("_upto") - F.col("_c"), F.col("_upto")), F.col("score")))
+    found = value.groupBy("rep").agg(of("_low").alias("_a"), of("_high").alias("_b"), F.max(F.col("_h") - F.col("_low")).alias("_f"))
+    quantile = F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))
+    cutoffs = cut(found.select("rep", (quantile if log else F.greatest(quantile, F.lit(LEAST_CUTOFF))).alias("cutoff")))
+    tables = cut(contingency(_drawn(dealt, replicates, seed), F.broadcast(cutoffs), ["rep"]))
+    discard(told, dealt, counted, cutoffs)
+    return tables

@@ -105,6 +105,20 @@ def test_bootstrap_is_repeatable_and_takes_controls_first(spark):
     assert 0.55 < share < 0.72 and rows(one.where("id = 'g_0'").select("grp").distinct()) == [("control",)]
 
 
+@pytest.mark.parametrize(("q", "log"), [(0.95, False), (0.5, False), (0.0, True), (1.0, False)])
+def test_bootstrap_tables_are_those_of_the_drawn_rows(spark, q, log):
+    """Few scores, most of them equal, ids in both groups and repeated entries."""
+    entries = [(f"g{i % 7}_{i}", "control" if i % 3 else "case") for i in range(600)] + [(f"g{i % 7}_{i}", "case") for i in range(0, 600, 5)]
+    variants = spark.createDataFrame(entries, "id string, grp string").repartition(3)
+    v = spark.createDataFrame([(f"g{i % 7}_{i}", (i % 4) / 4) for i in range(500)], "id string, score double")
+    g = spark.createDataFrame([(f"g{i}", i / 5) for i in range(6)], "id string, score double")
+    scores = tailstat.combine(tailstat.bootstrap(variants, 12, 4), v, g, log=log, keys=("rep", "grp"))
+    want = tailstat.contingency(scores, tailstat.cutoff(scores, q, log, ["rep"]), ["rep"])
+    pool = tailstat.combine(tailstat.pool(variants), v, g, log=log, keys=("grp", "n"))
+    assert len(rows(want)) == 12
+    assert rows(tailstat.bootstrap_tables(pool, 12, 4, q, log)) == rows(want)
+
+
 REL = [("p", "r"), ("q", "r"), ("x", "p"), ("x", "q"), ("y", "x"), ("z", "q")]
 
 
