@@ -163,3 +163,24 @@ def test_scores_go_up_by_levels_as_by_the_closure(spark, most):
         assert rows(ontology.replenish(by, df)) == sorted(want)
     finally:
         ontology.MOST_LEVELS = before
+
+
+@pytest.mark.parametrize(("size", "sent"), [(32, 1 << 15), (1, 2), (1000, 1)])
+def test_densified_tells_every_pair_once(spark, size, sent):
+    """Sequences with all, some and no terms, one without a name, a score that is null, and a term that is not known."""
+    known = [f"t{i}" for i in range(40)]
+    scored = {("all", t): 0.5 for t in known} | {("some", t): 0.25 for t in known[::7]} | {("some", "t1"): None, ("some", "odd"): 1.0}
+    best = spark.createDataFrame([(s, t, x) for (s, t), x in scored.items()] + [(None, "t3", 0.75)], "seq string, term string, score double")
+    sequences = spark.createDataFrame([("all",), ("some",), ("none",), (None,)], "seq string")
+    got = ontology.densified(best, sequences, spark.createDataFrame([(t,) for t in known + ["t0"]], "id string"), size, sent).collect()
+    assert len(got) == 4 * 40
+    assert {(r["seq"], r["term"]): r["score"] for r in got} == {(s, t): scored.get((s, t)) or 0.0 for s in ("all", "some", "none", None) for t in known}
+
+
+def test_dense_predictions_shuffle_no_grid(spark):
+    rows = spark.createDataFrame([("s1", "x", 0.5), ("s2", "p", 0.25)], "seq string, term string, score double")
+    rel = spark.createDataFrame([("x", "p"), ("p", "r")], "child string, parent string")
+    alt = spark.createDataFrame([], "alt_id string, id string")
+    got = ontology.load_predictions(rows, ontology.terms(rel), alt, rel)
+    assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("s1", "p", 0.5), ("s1", "r", 0.5), ("s1", "x", 0.5), ("s2", "p", 0.25), ("s2", "r", 0.25), ("s2", "x", 0.0)]
