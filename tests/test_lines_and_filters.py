@@ -1,11 +1,14 @@
 """Line numbers over several files, and the filter that tells which rows a join needs."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from netloom.operators import hubs
+from netloom.plans import session
 from netloom.sources import text
 
 
@@ -55,3 +58,17 @@ def test_null_keys_are_keys(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, k string")
     hit, _ = hubs.needed(rows, F.col("k"), spark.createDataFrame([("a",), (None,)], "k string"))
     assert sorted(r["id"] for r in hit.collect()) == [1, 2]
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    """What was shuffled for a cut is deleted with it, and the session's own setting stays."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(" "))}
+    setting, before = spark.conf.get(session.CLEANUP), shuffled()
+    out = session.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(session.CLEANUP) == setting
+    assert out.count() == 7
