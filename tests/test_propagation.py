@@ -95,3 +95,13 @@ def test_rule_on_trivial_fields(spark):
             propagate.random_field(one, one.vertices.limit(0), alpha=-40.0, beta=1.0, gamma=81.0, chains=4)
         finally:
             propagate.MOST_SWEEPS = before
+
+
+def test_chains_that_share_a_number_are_counted_apart(spark):
+    """A vertex is 1 where 300 neighbours are, in each of 16 chains; the other one has 299, so no count may carry into the next."""
+    assert [len(p) for p in propagate._packs(16, 9)] == [7, 7, 2]
+    edges = [(hub, f"{hub}{i}", 1.0) for hub in "ab" for i in range(300)]
+    net = network.from_edges(spark.createDataFrame([(s, d, w, i) for i, (s, d, w) in enumerate(edges)], "src string, dst string, weight double, line long"))
+    seeds = net.vertices.where("id not in ('a', 'b', 'b7')")
+    got = propagate.random_field(net, seeds, alpha=-100 * 299.5, beta=1.0, gamma=101.0, burn_in=2, sweeps=2, lag=1)
+    assert {r["id"]: r["score"] for r in got.where("id in ('a', 'b', 'b7', 'a7')").collect()} == {"a": 1.0, "b": 0.0, "b7": 0.0, "a7": 1.0}
